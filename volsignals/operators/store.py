@@ -121,15 +121,20 @@ def merge_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
 
 
 def bars_range(
-    bars: DataFrame, ticker: str, start: dt.date | None = None, end: dt.date | None = None
+    bars: DataFrame,
+    ticker: str | None = None,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
 ) -> DataFrame:
-    """Q1: one ticker's bars by date, both ends included."""
-    out = bars.filter(F.col("ticker") == ticker)
+    """Q1: bars of one ticker (or of all) by date, both ends included."""
+    out = bars
+    if ticker is not None:
+        out = out.filter(F.col("ticker") == ticker)
     if start is not None:
         out = out.filter(F.col("date") >= F.lit(start))
     if end is not None:
         out = out.filter(F.col("date") <= F.lit(end))
-    return out.orderBy("date")
+    return out.orderBy("date") if ticker is not None else out.orderBy("ticker", "date")
 
 
 def tickers(bars: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ DERIVED = Params(min_volume=10, climax_rvol=1.5)
 # Order of line items within a day, by (order, line, part, price). One number instead of a
 # struct: a struct cannot be updated in place, which would turn the hash aggregation into a
 # sort of all line items.
-_LINE_ORDER = """
+LINE_ORDER = """
     CAST(l_orderkey * 10 + l_linenumber AS DECIMAL(15,0)) * 10000000000000000000000
     + CAST(l_partkey AS DECIMAL(11,0)) * 100000000000
     + CAST(floor(l_extendedprice * 100 + 0.5) AS DECIMAL(11,0))
@@ -41,7 +41,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_shipdate").cast("date").alias("date"),
             price.alias("p"),
             F.col("l_quantity").alias("q"),
-            F.expr(_LINE_ORDER).alias("k"),
+            F.expr(LINE_ORDER).alias("k"),
         )
         .groupBy("tk", "date")
         .agg(
