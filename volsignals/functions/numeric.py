@@ -34,7 +34,7 @@ def fixed(fmt: str, digits: int, x: Column) -> Column:
 
 def to_units(x: Column, scale: int) -> Column:
     """Value as a whole number of 10^-scale steps, so that sums do not depend on row order."""
-    return F.floor(F.nanvl(x, F.lit(None).cast("double")) * float(10**scale) + 0.5)
+    return F.floor(x * float(10**scale) + 0.5)
 
 
 def units_mean(total: Column, n: Column, scale: int) -> Column:

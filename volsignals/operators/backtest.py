@@ -19,50 +19,44 @@ TRADE = ["ticker", "entry_no", "entry_date", "entry_price"]
 
 
 def trade_paths(history: DataFrame, p: Params = Params()) -> DataFrame:
-    """Each entry with the bars of its holding horizon and the rule each bar meets.
+    """Each entry with its own bar and the bars of its horizon, and the rule each bar meets.
 
-    Bars and entries are dealt to blocks of ``hold_bars`` bars, an entry to the two its
-    horizon can reach, so the join is an equi-join whose work is bounded per entry, however
-    long the series.
+    Every bar looks back over ``hold_bars`` rows for entries still running and is repeated for
+    each. That takes the ticker window the history already has and no join, so the rows are
+    neither read nor shuffled a second time; grouping by (ticker, entry) afterwards is covered
+    by the same partitioning.
     """
-    h = p.hold_bars
-    block = lambda n: F.floor(n / h)
-    entries = history.filter(
+    w = Window.partitionBy("ticker").orderBy("date")
+    enters = (
         (F.col("signal") == "BUY") & (F.col("status") == "success") & F.col("close").isNotNull()
-    ).select(
-        "ticker",
-        F.col("bar_no").alias("entry_no"),
-        F.col("date").alias("entry_date"),
-        F.col("close").alias("entry_price"),
-        F.explode(
-            F.sequence(block(F.col("bar_no") + 1), block(F.col("bar_no") + h))
-        ).alias("_block"),
     )
-    later = history.select(
-        F.col("ticker").alias("_ticker"), "bar_no", "date", "close",
-        block(F.col("bar_no")).alias("_later_block"),
+    entry = F.when(
+        enters,
+        F.struct(
+            F.col("bar_no").alias("entry_no"),
+            F.col("date").alias("entry_date"),
+            F.col("close").alias("entry_price"),
+        ),
     )
-    near = (
-        (F.col("ticker") == F.col("_ticker"))
-        & (F.col("_block") == F.col("_later_block"))
-        & (F.col("bar_no") > F.col("entry_no"))
-        & (F.col("bar_no") <= F.col("entry_no") + h)
+    running = F.collect_list("_entry").over(w.rowsBetween(-p.hold_bars, 0))
+    bars = (
+        history.select("ticker", "bar_no", "date", "close", entry.alias("_entry"))
+        .withColumn("_running", running)
+        .select("ticker", F.inline("_running"), "bar_no", "date", "close")
     )
-    w = Window.partitionBy("ticker", "entry_no").orderBy("bar_no")
-    seen = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    entry, close = F.col("entry_price"), F.col("close")
-    peak = F.greatest(entry, F.max("close").over(seen))
+    we = Window.partitionBy("ticker", "entry_no").orderBy("bar_no")
+    seen = we.rowsBetween(Window.unboundedPreceding, 0)
+    before = we.rowsBetween(Window.unboundedPreceding, -1)
+    price, close, peak = F.col("entry_price"), F.col("close"), F.col("peak")
+    later = F.col("bar_no") > F.col("entry_no")
     return (
-        entries.join(later, near, "left")
-        .select(*TRADE, "bar_no", "date", "close")
-        .withColumn("peak", peak)
+        bars.withColumn("peak", F.max("close").over(seen))
         .withColumn(
             "rule",
-            F.when(close <= stop_loss(entry, F.col("peak"), p), "STOP_LOSS")
-            .when(close <= trailing_stop(F.col("peak"), p), "TAKE_PROFIT"),
+            F.when(later & (close <= stop_loss(price, peak, p)), "STOP_LOSS")
+            .when(later & (close <= trailing_stop(peak, p)), "TAKE_PROFIT"),
         )
-        .withColumn("held", F.count("rule").over(before) == 0)
+        .withColumn("held", later & (F.count("rule").over(before) == 0))
     )
 
 
@@ -72,8 +66,10 @@ def backtest(history: DataFrame, p: Params = Params()) -> DataFrame:
     bar = F.struct("bar_no", "date", "close", "rule")
     trades = (
         trade_paths(history, p)
-        .groupBy(*TRADE)
+        .groupBy("ticker", "entry_no")
         .agg(
+            F.first("entry_date").alias("entry_date"),
+            F.first("entry_price").alias("entry_price"),
             F.min(F.when(F.col("rule").isNotNull(), bar)).alias("hit"),
             F.max(F.when(priced, bar)).alias("end"),
             F.max("bar_no").alias("_last"),

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from volsignals.functions.numeric import to_units, units_mean
 from volsignals.params import Params
+from volsignals.schema import PRICES
 
 INDICATORS = [
     "bar_no", "sma_200", "avg_volume_20", "rvol", "price_change", "price_change_pct",
@@ -24,6 +25,12 @@ INDICATORS = [
 ]
 
 
+def without_nan(bars: DataFrame) -> DataFrame:
+    """Missing prices as NULL only: a NaN would pass through sums and means."""
+    null = F.lit(None).cast("double")
+    return bars.withColumns({c: F.nanvl(c, null) for c in PRICES if c in bars.columns})
+
+
 def _running(w: WindowSpec, p: Params) -> dict[str, Column]:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return {
@@ -88,7 +95,7 @@ def indicators(bars: DataFrame, p: Params = Params(), keep_last: bool = False) -
     """
     w = Window.partitionBy("ticker").orderBy("date")
     keep = list(bars.columns)
-    df = bars.withColumns(_running(w, p) | _recent(w, p))
+    df = without_nan(bars).withColumns(_running(w, p) | _recent(w, p))
     extra = {}
     if keep_last:
         extra["is_latest"] = F.lead("date", 1).over(w).isNull()
@@ -129,7 +136,7 @@ def indicators_segmented(
     if rows < runup:
         raise ValueError(f"rows must be at least {runup}, the longest window plus one")
     seg = F.date_trunc(segment, F.col("date")).cast("date")
-    cut = bars.withColumn("_segment", seg)
+    cut = without_nan(bars).withColumn("_segment", seg)
     sums = cut.groupBy("ticker", "_segment").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).alias("_last"),

@@ -27,6 +27,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     starts = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0).cast("bigint")).alias("_start")
     )
-    return placed.join(starts, "_part").select(
+    # one row per partition of the sort, so its size is bounded by the session's setting
+    return placed.join(F.broadcast(starts), "_part").select(
         (F.col("_start") + F.col("_place") + 1).alias(name), *df.columns
     )

@@ -16,13 +16,17 @@ def _penny(p: Params) -> Column:
 
 
 def screen(df: DataFrame, p: Params = Params()) -> DataFrame:
-    """Add ``status`` (``success`` / ``filtered``) and ``message`` to indicator rows."""
-    verdict = F.when(F.col("ghost"), texts.GHOST_TOWN).when(F.col("stuck"), texts.STUCK)
-    verdict = verdict.when(
-        F.col("volume") < p.min_volume, F.format_string(texts.LOW_VOLUME, F.col("volume"))
+    """Add ``status`` (``success`` / ``filtered``) and ``message`` to indicator rows.
+
+    ``strict_floor`` takes the strict form of the floor rule (F7) in place of the usual one;
+    ``penny_trap`` adds F6 at the end.
+    """
+    floor = F.col("flat_idle" if p.strict_floor else "stuck")
+    verdict = (
+        F.when(F.col("ghost"), texts.GHOST_TOWN)
+        .when(floor, texts.STUCK)
+        .when(F.col("volume") < p.min_volume, F.format_string(texts.LOW_VOLUME, F.col("volume")))
     )
-    if p.strict_floor:
-        verdict = verdict.when(F.col("flat_idle"), texts.STRICT_FLOOR)
     if p.penny_trap:
         verdict = verdict.when(_penny(p), texts.PENNY_TRAP)
     return df.withColumn("message", verdict.otherwise(texts.PASSED)).withColumn(

@@ -15,9 +15,11 @@ from volsignals.texts import CSV_SOURCE
 TEXT_SCHEMA = ", ".join(f"`{c}` STRING" for c in REQUIRED)
 
 
-def ticker_of(file_name: Column) -> Column:
-    """File name without ``.csv`` and without every ``_data`` in it."""
-    return F.replace(F.regexp_replace(file_name, r"\.csv$", ""), F.lit("_data"), F.lit(""))
+def ticker_of(uri: Column) -> Column:
+    """Last part of a file URI without ``.csv`` and without every ``_data`` in it."""
+    name = F.replace(F.regexp_extract(uri, "[^/]+$", 0), F.lit("+"), F.lit("%2B"))
+    stem = F.regexp_replace(F.url_decode(name), r"\.csv$", "")
+    return F.replace(stem, F.lit("_data"), F.lit(""))
 
 
 def _order() -> Column:
@@ -45,7 +47,7 @@ def read_uniform(
         .csv(path)
         .select(
             "*",
-            (F.lit(ticker) if ticker else ticker_of(F.col("_metadata.file_name"))).alias("ticker"),
+            (F.lit(ticker) if ticker else ticker_of(F.col("_metadata.file_path"))).alias("ticker"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
@@ -63,7 +65,7 @@ class Load:
 def _lines(spark: SparkSession, glob: str) -> DataFrame:
     return spark.read.text(glob).select(
         "value",
-        F.col("_metadata.file_path").alias("_file"),
+        F.input_file_name().alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
@@ -86,14 +88,9 @@ def load_folder(
     needs no special care: its date does not parse.
     """
     glob = f"{folder}/*.csv"
-    files = (
-        spark.read.format("binaryFile")
-        .load(glob)
-        .select(
-            F.col("_metadata.file_path").alias("_file"),
-            ticker_of(F.col("_metadata.file_name")).alias("ticker"),
-        )
-    )
+    # the listing the scan works from; unlike its rows, it has the empty files too
+    listed = [(uri,) for uri in spark.read.text(glob).inputFiles()]
+    files = spark.createDataFrame(listed, "_file STRING").withColumn("ticker", ticker_of(F.col("_file")))
     wanted = F.lit(True) if only is None else F.col("ticker").isin(list(only))
     files = files.withColumn("_wanted", wanted)
     names = F.split(F.regexp_replace(F.regexp_replace("_header", "^﻿", ""), '"', ""), ",")

@@ -23,7 +23,7 @@ def landing_rows(spark: SparkSession, folder: str, max_files: int | None = None)
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.csv(folder).select(
         "*",
-        ticker_of(F.col("_metadata.file_name")).alias("ticker"),
+        ticker_of(F.col("_metadata.file_path")).alias("ticker"),
         F.col("_metadata.file_modification_time").alias("_landed"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),

@@ -8,7 +8,6 @@ PASSED = "All filters passed"
 NO_DATA = "No data available"
 NO_DATA_FOR_DATE = "No data for date %s"
 PENNY_TRAP = "Penny trap - large capital, no movement"
-STRICT_FLOOR = "Floor trap - unchanged price without volume"
 
 # score reasons
 HIGH_RVOL = "High RVOL (%.1fx)"
