@@ -293,8 +293,7 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN l_quantity = 17 THEN NULL ELSE p END AS close,
                 CASE WHEN l_quantity = 19 THEN 0 ELSE CAST(trunc(l_quantity) AS BIGINT) END AS volume,
                 row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k
-              FROM (SELECT *, CAST(format('{:.1f}', CAST(100 AS DOUBLE) + l_discount * CAST(100 AS DOUBLE))
-                                   AS DOUBLE) AS p FROM lineitem))""",
+              FROM (SELECT *, CAST(100 AS DOUBLE) + l_discount * CAST(100 AS DOUBLE) AS p FROM lineitem))""",
             "u AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY k DESC) AS n FROM t"
             " WHERE date IS NOT NULL AND coalesce(open, high, low, close) IS NOT NULL)",
             select=f"""SELECT ticker, {day}, {ohlcv}, 'stocksurferbd' AS source,

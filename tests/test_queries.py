@@ -45,8 +45,14 @@ def test_top_n_is_planned_as_top_n(spark, sf):
     assert "TakeOrderedAndProject" in plan(spark, sf, "top_buy")
 
 
-def test_latest_rows_are_limited_before_the_shuffle(spark, sf):
-    assert plan(spark, sf, "last_20_bars").count("WindowGroupLimit") >= 2
+def test_latest_rows_are_limited_before_the_shuffle(spark, sf, tmp_path):
+    from volsignals.operators.indicators import newest_bars
+    from volsignals.sources import driver_tables as src
+
+    src.bars(spark, sf).write.parquet(str(tmp_path / "b"))
+    df = newest_bars(spark.read.parquet(str(tmp_path / "b")), 20)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert p.count("WindowGroupLimit") == 2  # one on each side of the exchange
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -177,3 +177,14 @@ def test_optional_screens(spark):
     assert build.by(screen(rows))["FLAT"].message == texts.STUCK
     cats = spark.createDataFrame([("HEAVY", "Z"), ("FINE", "A")], "ticker STRING, category STRING")
     assert sorted(r.ticker for r in drop_category(rows, cats).collect()) == ["FINE", "FLAT", "IDLE"]
+
+
+def test_split_series_give_the_same_signals(spark, sf):
+    b, f = src.bars(spark, sf), src.fundamentals(spark, sf)
+    from dataclasses import replace
+
+    cut = replace(src.DERIVED, segment_rows=201)
+    for q in (latest_status, signal_history):
+        x, y = q(b, f, src.DERIVED), q(b, f, cut)
+        assert x.columns == y.columns
+        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0

@@ -91,8 +91,10 @@ def indicators(bars: DataFrame, p: Params = Params(), keep_last: bool = False) -
     """Add the indicator columns to every bar; one exchange on ticker, one sort.
 
     ``keep_last`` adds a boolean ``is_latest`` for the newest bar of each ticker, from the
-    same window.
+    same window. With ``segment_rows`` set, :func:`indicators_segmented` does the work.
     """
+    if p.segment_rows:
+        return indicators_segmented(bars, p, rows=p.segment_rows, keep_last=keep_last)
     w = Window.partitionBy("ticker").orderBy("date")
     keep = list(bars.columns)
     df = without_nan(bars).withColumns(_running(w, p) | _recent(w, p))
@@ -111,13 +113,16 @@ def latest_indicators(bars: DataFrame, p: Params = Params()) -> DataFrame:
 def newest_bars(bars: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` bars of each ticker; planned as a group limit before the shuffle."""
     w = Window.partitionBy("ticker").orderBy(F.desc("date"))
-    return (
-        bars.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)
-    )
+    newest = bars.withColumn("back", F.row_number().over(w)).filter(F.col("back") <= n)
+    return newest.withColumn("back", F.col("back").cast("bigint"))
 
 
 def indicators_segmented(
-    bars: DataFrame, p: Params = Params(), segment: str = "year", rows: int = 4096
+    bars: DataFrame,
+    p: Params = Params(),
+    segment: str = "year",
+    rows: int = 4096,
+    keep_last: bool = False,
 ) -> DataFrame:
     """Equal to :func:`indicators`, with long series cut into pieces of ``rows`` bars.
 
@@ -141,14 +146,14 @@ def indicators_segmented(
         F.count(F.lit(1)).alias("_n"),
         F.max_by("close", F.when(F.col("close").isNotNull(), F.col("date"))).alias("_last"),
     )
-    before = Window.partitionBy("ticker").orderBy("_segment").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    whole = Window.partitionBy("ticker")
+    before = whole.orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
         "ticker",
         "_segment",
         F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_offset"),
         F.last("_last", ignorenulls=True).over(before).alias("_carried"),
+        F.sum("_n").over(whole).alias("_total"),
     )
     ws = Window.partitionBy("ticker", "_segment").orderBy("date")
     numbered = (
@@ -163,7 +168,8 @@ def indicators_segmented(
                 F.col("_carried"),
             ),
         )
-        .drop("_segment", "_offset", "_carried")
+        .withColumn("is_latest", F.col("_no") == F.col("_total"))
+        .drop("_segment", "_offset", "_carried", "_total")
     )
     home = F.floor((F.col("_no") - 1) / rows)
     tail = (F.col("_no") - 1) % rows >= rows - runup
@@ -175,4 +181,5 @@ def indicators_segmented(
     first = {k: v for k, v in (_running(wp, p) | _recent(wp, p)).items() if k != "_filled"}
     first["bar_no"] = F.col("_no")
     done = dealt.withColumns(first).withColumns(_lagged(wp, p))
-    return _finish(done.filter("_piece = _home"), list(bars.columns), p)
+    keep = [*bars.columns, "is_latest"] if keep_last else list(bars.columns)
+    return _finish(done.filter("_piece = _home"), keep, p)

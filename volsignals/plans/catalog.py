@@ -154,12 +154,12 @@ def _judged_latest(i: _Inputs) -> DataFrame:
 
 def _clean_rows(i: _Inputs) -> DataFrame:
     """Every line item as one row of text as a vendor would deliver it, some of it dirty."""
-    price = F.format_string("%.1f", F.lit(100.0) + F.col("l_discount") * 100.0)
-    qty = F.col("l_quantity").cast("bigint")
-    iso = F.date_format("l_shipdate", "yyyy-MM-dd")
-    raw = src.table(i.spark, i.sf, "lineitem").select(
+    price = (F.lit(100.0) + F.col("l_discount") * 100.0).cast("string")
+    qty = F.col("l_quantity")
+    iso = F.col("l_shipdate").cast("date").cast("string")
+    row = F.struct(
         F.when(qty == 13, F.lit("n/a"))
-        .when(qty == 14, F.date_format("l_shipdate", "yyyy/MM/dd"))
+        .when(qty == 14, F.replace(iso, F.lit("-"), F.lit("/")))
         .otherwise(iso)
         .alias("DATE"),
         F.concat(F.lit("T"), F.col("l_suppkey").cast("string")).alias("TRADING_CODE"),
@@ -168,9 +168,11 @@ def _clean_rows(i: _Inputs) -> DataFrame:
         F.when(qty == 17, F.lit("-")).otherwise(price).alias("LOW"),
         F.when(qty.isin(17, 18), F.lit("abc")).otherwise(price).alias("OPENP"),
         F.when(qty == 17, F.lit(None).cast("string")).otherwise(price).alias("CLOSEP"),
-        F.when(qty == 19, F.lit("")).otherwise(F.format_string("%.2f", "l_quantity")).alias("VOLUME"),
+        F.when(qty == 19, F.lit("")).otherwise(qty.cast("string")).alias("VOLUME"),
         F.expr(src.LINE_ORDER).alias("_order"),
     )
+    # a generator keeps the optimizer from copying the making of a text into each of its uses
+    raw = src.table(i.spark, i.sf, "lineitem").select(F.inline(F.array(row)))
     return canonical(parse(from_vendor_b(raw)), VENDOR_B_SOURCE, 1, F.col("_order"))
 
 

@@ -46,14 +46,18 @@ def canonical(
     parsed: DataFrame, source: str, ingest_seq: int, order: Column
 ) -> DataFrame:
     """Drop rows without date or without any price, keep the last row in ``order``
-    per (ticker, date), stamp source and batch number."""
-    rows = parsed.na.drop(subset=["date"]).na.drop(how="all", subset=PRICES)
+    per (ticker, date), stamp source and batch number.
+
+    Unusable rows get no place in the order, which the aggregation passes over, instead of a
+    filter: a filter would move below the parsing and parse everything twice.
+    """
+    usable = F.col("date").isNotNull() & F.coalesce(*PRICES).isNotNull()
+    rows = parsed.select(
+        "ticker", "date", *PRICES, "volume", F.when(usable, order).alias("_order")
+    )
     return (
-        keep_last(
-            rows.select("ticker", "date", *PRICES, "volume", order.alias("_order")),
-            KEY,
-            F.col("_order"),
-        )
+        keep_last(rows, KEY, F.col("_order"))
+        .filter(F.col("_order").isNotNull())
         .withColumns({
             "source": F.lit(source),
             "ingest_seq": F.lit(ingest_seq).cast("bigint"),
