@@ -1,4 +1,4 @@
-"""A rank over a whole table without gathering it in one task."""
+"""Order and rank over a whole table without gathering it in one task."""
 
 from __future__ import annotations
 
@@ -10,14 +10,25 @@ from volsignals.session import checkpointed
 _ROW_BITS = 33  # documented layout of monotonically_increasing_id: partition | row number
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+def sort_result(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Global sort of rows that are few next to what they are computed from.
+
+    A range sort first samples its input, which computes it twice. Shuffling the few rows once
+    before the sort leaves the sample to read the shuffle instead. (A hash of the key, as a
+    shuffle on the key itself is dropped when the rows are already partitioned by it.)
+    """
+    return df.repartition(F.xxhash64(key)).orderBy(*order)
+
+
+def global_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of every row under ``order``, which must be a total order.
 
     A range sort spreads the rows; each row's partition and place in it are fixed in a
     checkpoint, the partition sizes are summed up (one row per partition), and the sum of the
     partitions ahead is added to the place.
     """
-    placed = checkpointed(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    ordered = sort_result(df, key, order)
+    placed = checkpointed(ordered.withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumns({
         "_part": F.shiftright("_id", _ROW_BITS),
         "_place": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),

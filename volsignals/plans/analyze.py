@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from volsignals import texts
 from volsignals.functions.numeric import round_exact
 from volsignals.operators.indicators import indicators, latest_indicators
+from volsignals.operators.ranking import sort_result
 from volsignals.operators.scoring import score, with_capital
 from volsignals.operators.screens import screen
 from volsignals.params import Params
@@ -72,15 +73,26 @@ def latest_status(
     )
 
 
-def analyze(
+def passing(
     bars: DataFrame,
     fundamentals: DataFrame | None = None,
     p: Params = Params(),
     as_of: dt.date | None = None,
 ) -> DataFrame:
-    """Every ticker that passes the screens, best score first."""
+    """Every ticker that passes the screens, in no order; what the reports start from."""
     rows = latest_status(bars, fundamentals, p, as_of=as_of).filter("status = 'success'")
-    return rows.drop("message").orderBy(F.desc("score"), "ticker")
+    return rows.drop("message")
+
+
+def analyze(
+    bars: DataFrame,
+    fundamentals: DataFrame | None = None,
+    p: Params = Params(),
+    as_of: dt.date | None = None,
+) -> DataFrame:
+    """The passing tickers, best score first."""
+    rows = passing(bars, fundamentals, p, as_of)
+    return sort_result(rows, "ticker", [F.desc("score"), F.asc("ticker")])
 
 
 def analyze_ticker(

@@ -24,7 +24,7 @@ from volsignals.operators.indicators import (
 from volsignals.operators.scoring import with_capital
 from volsignals.operators.screens import drop_category, drop_idle_floor, drop_penny_traps, screen
 from volsignals.plans import reports
-from volsignals.plans.analyze import analyze, latest_status, signal_history
+from volsignals.plans.analyze import analyze, latest_status, passing, signal_history
 from volsignals.plans.dashboard import positions_with_stops
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
@@ -70,7 +70,7 @@ class _Inputs:
 
     @property
     def signals(self) -> DataFrame:
-        return analyze(self.bars, self.caps, P)
+        return passing(self.bars, self.caps, P)
 
     @property
     def history(self) -> DataFrame:
@@ -216,7 +216,7 @@ _QUERIES: dict[str, Query] = {
         store.latest_close(i.bars),
         i.lacking.select("ticker", F.lit("Z").alias("category")),
     ),
-    "score_latest": lambda i: _signals_core(i.signals),
+    "score_latest": lambda i: _signals_core(analyze(i.bars, i.caps, P)),
     "score_history": lambda i: i.history.select(
         "ticker", "date", "close", "rvol", "sma_200", "status", "message", "score", "signal",
         "reasons",
@@ -226,7 +226,7 @@ _QUERIES: dict[str, Query] = {
     "top_buy": lambda i: _signals_core(reports.top_buy(i.signals, P)),
     "top_wait": lambda i: _signals_core(reports.top_wait(i.signals, P)),
     "signal_report": lambda i: reports.report_table(i.signals, P),
-    "signal_csv": lambda i: _signals_core(reports.csv_rows(i.signals)),
+    "signal_csv": lambda i: _signals_core(reports.csv_rows(analyze(i.bars, i.caps, P))),
     # ingest and the bar table
     "clean_rows": _clean_rows,
     "upsert": _upsert,

@@ -76,7 +76,7 @@ def report_table(signals: DataFrame, p: Params = Params()) -> DataFrame:
         .otherwise("SKIP")
         .alias("action"),
     )
-    return global_rank(rows, [F.desc("score"), F.asc("ticker")])
+    return global_rank(rows, "ticker", [F.desc("score"), F.asc("ticker")])
 
 
 def csv_rows(signals: DataFrame) -> DataFrame:
