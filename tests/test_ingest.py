@@ -233,9 +233,9 @@ def test_load_and_delivery_plans(spark, folder):
 
 def test_fundamentals_file(spark, tmp_path):
     f = tmp_path / "caps.csv"
-    f.write_text('ticker,paid_up_capital\nA,45.5\nB,"1,200"\nC,n/a\n')
+    f.write_text('ticker,paid_up_capital\nA,45.5\nB,"1,200"\nC,n/a\nA,46\n')
     got = {r.ticker: r.paid_up_capital for r in csv_files.read_fundamentals(spark, str(f)).collect()}
-    assert got == {"A": 45.5, "B": 1200.0}
+    assert got == {"A": 46.0, "B": 1200.0}
 
 
 def test_table_on_disk(spark, tmp_path):
@@ -272,3 +272,29 @@ def test_lookups(spark):
     r = store.ticker_preview(many).first()
     assert (len(r["first"]), r["first"][0], r["more"]) == (50, "T000", 10)
     assert store.ticker_preview(b).first()["more"] == 0
+
+
+def test_small_increment_does_not_shuffle_history(spark, tmp_path):
+    path = str(tmp_path / "old")
+    canonical(spark, *[("A", n, 1.0, "x", 1) for n in range(50)]).write.parquet(path)
+    # a landed increment, whose size Spark knows; a local table counts as of unknown size
+    inc = str(tmp_path / "inc")
+    canonical(spark, ("A", 1, 9.0, "y", 2)).write.parquet(inc)
+    new = spark.read.parquet(inc)
+    p = store.upsert(spark.read.parquet(path), new)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in p and "LeftAnti" in p and "Exchange hashpartitioning" not in p
+
+
+def test_large_increment_is_joined_by_sort_merge(spark, tmp_path):
+    path = str(tmp_path / "old")
+    canonical(spark, *[("A", n, 1.0, "x", 1) for n in range(50)]).write.parquet(path)
+    old = spark.read.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = old.withColumn("close", F.col("close") + 1)
+        got = store.upsert(old, new)
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert got.exceptAll(new).count() == 0 and got.count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

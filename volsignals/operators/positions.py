@@ -46,8 +46,8 @@ def rejected_trades(positions: DataFrame, trades: DataFrame) -> DataFrame:
 
 
 def update_positions(positions: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes(ticker, quantity, avg_price)`` sets the total quantity, and the price if
-    one is given and not zero. The peak stays; unknown tickers are ignored."""
+    """``changes(ticker, quantity, avg_price)``, one row per ticker, sets the total quantity,
+    and the price if one is given and not zero. The peak stays; unknown tickers are ignored."""
     c = changes.select(
         "ticker", F.col("quantity").alias("_q"), F.nullif("avg_price", F.lit(0.0)).alias("_p")
     )

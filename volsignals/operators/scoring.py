@@ -11,7 +11,7 @@ from volsignals.params import Params
 
 
 def with_capital(df: DataFrame, fundamentals: DataFrame | None) -> DataFrame:
-    """Left join of the paid-up capital. Unhinted: Spark broadcasts it only below its own
+    """Left join of the paid-up capital, one row per ticker. Unhinted: Spark broadcasts it only below its own
     size threshold and otherwise joins on the ticker partitioning already in place."""
     if fundamentals is None:
         return df.withColumn("paid_up_capital", F.lit(None).cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volsignals.functions.numeric import DATE_FORMATS, clean_number
+from volsignals.operators.store import keep_last
 from volsignals.schema import PRICES
 from volsignals.sources.cleaning import REQUIRED, canonical, parse
 from volsignals.texts import CSV_SOURCE
@@ -150,14 +151,21 @@ def load_stats(files: DataFrame) -> DataFrame:
 
 
 def read_fundamentals(spark: SparkSession, path: str) -> DataFrame:
-    """CSV ``ticker,paid_up_capital``; rows without a usable number are left out."""
-    return (
+    """CSV ``ticker,paid_up_capital``; rows without a usable number are left out, and of
+    several rows for a ticker the last one counts."""
+    rows = (
         spark.read.schema("ticker STRING, paid_up_capital STRING")
         .options(header=True, enforceSchema=False)
         .csv(path)
         .select(
             F.trim("ticker").alias("ticker"),
             clean_number(F.col("paid_up_capital"), thousands=True).alias("paid_up_capital"),
+            F.struct(
+                F.col("_metadata.file_path"),
+                F.col("_metadata.file_block_start"),
+                F.monotonically_increasing_id(),
+            ).alias("_order"),
         )
-        .na.drop()
+        .na.drop(subset=["ticker", "paid_up_capital"])
     )
+    return keep_last(rows, ["ticker"], F.col("_order")).drop("_order")
