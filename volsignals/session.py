@@ -23,19 +23,27 @@ def build_session(app: str = "volsignals", master: str | None = None, **conf: st
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own; on a cluster a machine-local
-    folder would be lost with the machine, so a missing setting is an error there.
+    Only a local session without the setting gets a folder of its own, set for the session; on a
+    cluster a machine-local folder would be lost with the machine, so there it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared is None:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="volsignals-checkpoint-")
+        sc.setCheckpointDir(shared)
+        shared = sc.getCheckpointDir()
+    return shared.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    shared = shared_folder(df.sparkSession)
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="volsignals-checkpoint-")
         sc.setCheckpointDir(shared)
     return df.checkpoint()
