@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.llm import mixing, oracles
-from volsignals.llm.common import table
+from volsignals.llm import mixing, oracles, packing
+from volsignals.llm.common import table, vocabulary
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,12 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

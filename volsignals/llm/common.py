@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,25 @@ from volsignals.session import shared_folder
 SLICE_BYTES = 1 << 21
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_volsignals_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="volsignals-code-"), "volsignals.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    sc._volsignals_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +61,13 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def vocabulary(name: str) -> str:
+    """Where the public tokenizer files lie; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def width(spark: SparkSession, least: int = 1) -> int:
     """Partitions for explicit shuffles: the session's setting, so that it grows with the cluster."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
