@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from volsignals.llm.common import row_slices, stored, whole_text
+from volsignals.llm.common import row_slices, stored, whole_text, width
 
 CAPACITY = 4096
 END_ID = 1
 #: Pieces of a shard on the first level and on later ones, islands, epochs, packings per island,
 #: crossovers per epoch.
 SHARD, LATER_SHARD, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 1536, 256, 2, 2, 4, 12
+GROUPS_PER_TASK = 8
 #: A bin with more than this share open is opened again, on at most so many levels.
 OPEN_SHARE, LEVELS = 0.002, 6
 
@@ -177,6 +178,11 @@ def _packings(pdf: pd.DataFrame) -> list[list[list[int]]]:
     return out
 
 
+def _tasks(rows: DataFrame, groups: int) -> int:
+    """A task for each few groups; a group is small, so more tasks would only cost their start."""
+    return max(1, min(groups, width(rows.sparkSession)), groups // GROUPS_PER_TASK)
+
+
 def _island_epoch(rows: DataFrame, groups: int, level: int, epoch: int, capacity: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         starts = _packings(pdf) if epoch else []
@@ -189,7 +195,7 @@ def _island_epoch(rows: DataFrame, groups: int, level: int, epoch: int, capacity
         own["bin"], own["bins"] = bin_of, len(best)
         return own
 
-    spread = rows.repartition(groups, "shard", "island")
+    spread = rows.repartition(_tasks(rows, groups), "shard", "island")
     return spread.groupBy("shard", "island").applyInPandas(run, rows.schema)
 
 
@@ -208,7 +214,7 @@ def _settle(rows: DataFrame, groups: int, level: int, capacity: int, last: bool)
     carried = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in carried)
-    spread = rows.repartition(groups, "shard").groupBy("shard")
+    spread = rows.repartition(_tasks(rows, groups), "shard").groupBy("shard")
     return spread.applyInPandas(run, f"{schema}, sequence_id long, offset long, settled boolean")
 
 
