@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.llm import licenses, mixing, oracles, packing, quality
+from volsignals.llm import fingerprints, licenses, mixing, oracles, packing, quality, token_counts
 from volsignals.llm.common import table, vocabulary
 
 
@@ -28,8 +28,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_source_mix, op6_quality, op7_license_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op5_fingerprints, op6_quality, op7_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,7 @@ def row_slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordB
     n = batch.num_rows
     if not n:
         return
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)))
     start = 0
     while start < n:
         before = ends[start - 1] if start else 0
