@@ -40,27 +40,30 @@ def _encoder(path: str):
     return _loaded[path]
 
 
-def line_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte of each line (a line ends after its line feed) and number of lines per text.
+def section_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each sentence or line and their number per text.
 
-    An empty text has one empty line.
+    A section ends after a line feed, or after a space that follows a full stop, an exclamation
+    mark or a question mark. An empty text has one empty section.
     """
-    begins = np.flatnonzero(data == 10) + 1
-    ends = offsets[1:]
-    # a line feed that ends a text opens no further line
-    begins = begins[~np.isin(begins, ends)]
-    texts = np.concatenate([np.searchsorted(ends, begins, side="right"), np.arange(len(ends))])
+    ends = data == 10
+    ends[1:] |= (data[1:] == 32) & np.isin(data[:-1], np.frombuffer(b".!?", np.uint8))
+    # what ends or begins a text opens no further section
+    begins = np.setdiff1d(np.flatnonzero(ends) + 1, offsets)
+    texts = np.concatenate([np.searchsorted(offsets[1:], begins, side="right"), np.arange(len(offsets) - 1)])
     starts = np.concatenate([begins, offsets[:-1]])
     order = np.lexsort((starts, texts))
-    return starts[order], np.bincount(texts, minlength=len(ends))
+    return starts[order], np.bincount(texts, minlength=len(offsets) - 1)
 
 
-def attribute(docs: DataFrame, vocabulary: str, rule: str = "first") -> DataFrame:
-    """Tokens of each line of each row of ``docs`` (doc_id, text), a line ending after its feed.
+def attribute(docs: DataFrame, vocabulary: str, rule: str = "last") -> DataFrame:
+    """Tokens of each sentence of each row of ``docs`` (doc_id, text); see ``section_starts``.
+
+    A token that crosses a boundary, such as a space with the word after it, goes by ``rule``.
 
     Returns doc_id, section (from 0), start and end (code points), tokens, crossing (tokens that
-    begin here and end further on), doc_tokens. Null and empty texts are one line of 0 tokens;
-    repeated rows give their lines each; an empty table gives an empty table; other columns are
+    begin here and end further on), doc_tokens. Null and empty texts are one section of 0 tokens;
+    repeated rows give their sections each; an empty table gives an empty table; other columns are
     left out.
     """
     if rule not in RULES:
@@ -79,8 +82,8 @@ def attribute(docs: DataFrame, vocabulary: str, rule: str = "first") -> DataFram
                 token_start = token_end - size
                 if len(size) and token_end[-1] != len(data):
                     raise ValueError("tokens do not spell the text")
-                starts, lines = line_starts(data, offsets)
-                text = np.repeat(np.arange(len(lines)), lines)
+                starts, sections = section_starts(data, offsets)
+                text = np.repeat(np.arange(len(sections)), sections)
                 ends = np.concatenate([starts[1:], [len(data)]])
                 # of equal starts, as of empty texts, the last one holds the bytes
                 by_start = np.searchsorted(starts, token_start, side="right") - 1
@@ -90,7 +93,7 @@ def attribute(docs: DataFrame, vocabulary: str, rule: str = "first") -> DataFram
                 crossing = np.bincount(by_start[by_start != by_last], minlength=n)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 origin = points[offsets[:-1]][text]
-                first = np.cumsum(lines) - lines
+                first = np.cumsum(sections) - sections
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id").take(pa.array(text)),
