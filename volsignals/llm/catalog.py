@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.llm import fingerprints, licenses, mixing, oracles, packing, quality, token_counts
-from volsignals.llm.common import table, vocabulary
+from volsignals.llm import fingerprints, licenses, line_dedup, mixing, oracles, packing, quality, token_counts
+from volsignals.llm.common import table, vocabulary, whole_text
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +36,17 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = whole_text()
+    return out.select(
+        "doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op5_fingerprints, op6_quality, op7_license_scan)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op5_fingerprints, op6_quality, op7_license_scan, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

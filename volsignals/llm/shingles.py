@@ -46,12 +46,16 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """A hash of each range of bytes, given a code for each byte."""
-    n = len(data)
+#: A code for every byte, for hashes of raw text.
+RAW = mixed(np.arange(1, 257, dtype=np.uint64))
+
+
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of a row of numbers, by differences of running sums."""
+    n = len(values)
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(code[data] * _power("up", n), out=sums[1:])
+        np.cumsum(values * _power("up", n), out=sums[1:])
         h = (sums[ends] - sums[starts]) * _power("down", n + 1)[starts]
         return mixed(h + (ends - starts).astype(np.uint64) * _ODD)
 
@@ -72,7 +76,7 @@ def word_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word, and the index of each text's first word (and their number)."""
     starts, ends, first = word_places(data, offsets)
-    return range_hashes(data, starts, ends, _CODE), first
+    return range_hashes(_CODE[data], starts, ends), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
