@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.llm import fingerprints, licenses, line_dedup, mixing, oracles, packing, quality, token_counts
+from volsignals.llm import fingerprints, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality, token_counts
 from volsignals.llm.common import table, vocabulary, whole_text
 
 
@@ -45,8 +45,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.near_classes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "class_size", "class_texts", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op5_fingerprints, op6_quality, op7_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op4_near_dedup, op5_fingerprints, op6_quality, op7_license_scan, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
