@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.llm import fingerprints, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality, token_counts
+from volsignals.llm import embeddings, fingerprints, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality, token_counts
 from volsignals.llm.common import table, vocabulary, whole_text
 
 
@@ -50,8 +50,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "class_id", "class_size", "class_texts", "kept")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op4_near_dedup, op5_fingerprints, op6_quality, op7_license_scan, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op4_near_dedup, op5_fingerprints, op6_quality, op7_license_scan, op8_embedding_dedup, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
