@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -69,6 +70,38 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Rows of a membership bitmap; each has 64 bits. A broadcast of it is 2 MB whatever the input.
+BITMAP_ROWS = 1 << 17
+
+
+def maybe_in(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` split by a bitmap of the hashes of ``wanted``'s keys: perhaps in it, surely not.
+
+    Saves rows that a join would shuffle in vain; the join itself still decides. ``key`` is a
+    long column of both, not null.
+    """
+    h = F.xxhash64(F.col(key), F.lit(7))
+    row, bit = F.pmod(h, F.lit(BITMAP_ROWS)), F.pmod(F.shiftright(h, 40), F.lit(64))
+    # powers of two by bit: the shift takes no column
+    power = F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]), (bit + 1).cast("int"))
+    bits = stored(
+        wanted.groupBy(row.alias("_row")).agg(F.bit_or(power).alias("_bits")), "bitmap"
+    )
+    seen = rows.join(F.broadcast(bits), row == F.col("_row"), "left").withColumn(
+        "_maybe", F.coalesce(F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), bit.cast("int")) == 1, F.lit(False))
+    )
+    return (
+        seen.filter("_maybe").drop("_row", "_bits", "_maybe"),
+        seen.filter("NOT _maybe").drop("_row", "_bits", "_maybe"),
+    )
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver collect garbage, upon which Spark deletes shuffle files of finished plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def width(spark: SparkSession, least: int = 1) -> int:
     """Partitions for explicit shuffles: the session's setting, so that it grows with the cluster."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
