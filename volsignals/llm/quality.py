@@ -220,6 +220,14 @@ def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
     return measured(docs, F.col("text"), *kept).select(*back, model.column().alias("score"))
 
 
+def kept(docs: DataFrame, model: RuleModel) -> DataFrame:
+    """The rows of ``docs`` that score ``KEEP_FROM`` or more, with the columns of ``docs``."""
+    own = [f"_own{i}" for i in range(len(docs.columns))]
+    columns = [F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)]
+    good = measured(docs, F.col("text"), *columns).filter(model.column() >= KEEP_FROM)
+    return good.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
+
+
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted (1: keep).
 
