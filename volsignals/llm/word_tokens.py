@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import filterfalse
 
 import numpy as np
 
@@ -75,6 +76,7 @@ class WordTokens:
         if len(self.known) > CACHE_RUNS:
             self.known.clear()
         new: set[str] = set()
+        known = self.known.__contains__
         for i, text in enumerate(texts):
             if _OTHER.search(text):
                 whole.append(i)
@@ -83,8 +85,7 @@ class WordTokens:
             if "'" not in low:  # an apostrophe may open a run of its own kind
                 low = _SIGN_RUN.sub(r" \1 ", low)
             words[i] = own = low.split()
-            new.update(own)
-        new.difference_update(self.known.keys())
+            new.update(filterfalse(known, own))
         if new:
             self._learn(list(new))
         get = self.known.__getitem__
