@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from volsignals.session import shared_folder
 
 #: Bytes of text that one step of a numpy kernel works on, unless one text alone is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def ship(spark: SparkSession) -> None:
