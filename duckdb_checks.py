@@ -17,7 +17,7 @@ raw AS (
          CAST(sum(q) AS BIGINT) AS v
   FROM px GROUP BY tk, date),
 numbered AS (SELECT raw.*, row_number() OVER (PARTITION BY tk ORDER BY date DESC) AS back FROM raw),
-bars AS (
+bars AS MATERIALIZED (
   SELECT concat('T', CAST(tk AS VARCHAR)) AS ticker, date,
          CASE WHEN tk % 10 = 9 AND back <= 5 THEN CAST(105 AS DOUBLE) ELSE o END AS open,
          CASE WHEN tk % 10 = 9 AND back <= 5 THEN CAST(105 AS DOUBLE) ELSE h END AS high,
@@ -32,7 +32,7 @@ caps AS (
   FROM supplier)"""
 
 POSITIONS = """
-positions AS (
+positions AS MATERIALIZED (
   SELECT ticker, close * (CAST(0.80 AS DOUBLE) + CAST(0.06 AS DOUBLE) * (tk % 5)) AS buy_price,
          tk + 100 AS quantity,
          close * (CAST(0.80 AS DOUBLE) + CAST(0.06 AS DOUBLE) * (tk % 5)) AS highest_seen,
@@ -40,8 +40,23 @@ positions AS (
   FROM bars WHERE back = 30)"""
 
 
-def _units(x: str) -> str:
-    return f"CAST(floor({x} * CAST(1000000 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)"
+def _exact(x: str) -> str:
+    """A double by its shortest text as a decimal, so that sums are exact."""
+    return f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18))"
+
+
+def _mean(total: str, n: str) -> str:
+    """Exact total over n, rounded half up to 18 places, then to the nearest double."""
+    one = "1000000000000000000"
+    q = f"((2 * abs(CAST(replace(CAST({total} AS VARCHAR), '.', '') AS HUGEINT)) + {n}) // (2 * {n}))"
+    return (
+        f"CAST(CASE WHEN {total} IS NOT NULL THEN concat(CASE WHEN {total} < 0 THEN '-' ELSE '' END, CAST({q} // {one} AS VARCHAR), '.', "
+        f"lpad(CAST({q} % {one} AS VARCHAR), 18, '0')) END AS DOUBLE)"
+    )
+
+
+def _total(x: str) -> str:
+    return f"CAST(CAST(sum({_exact(x)}) AS VARCHAR) AS DOUBLE)"
 
 
 def _round2(x: str) -> str:
@@ -54,9 +69,8 @@ def _indicators(bars: str = "bars", name: str = "ind") -> str:
   SELECT ticker, date, open, high, low, close, volume,
          row_number() OVER w AS bar_no,
          row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS from_end,
-         CAST(sum({_units('close')}) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS DOUBLE)
-           / (count(close) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) * CAST(1000000 AS DOUBLE))
-           AS sma_200,
+         sum({_exact('close')}) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS close_sum,
+         count(close) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS close_n,
          CAST(sum(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS DOUBLE)
            / count(volume) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS avg_volume_20,
          close / lag(close) OVER w - 1 AS price_change,
@@ -67,7 +81,8 @@ def _indicators(bars: str = "bars", name: str = "ind") -> str:
          min(close) OVER (w ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS c5min
   FROM {bars} WINDOW w AS (PARTITION BY ticker ORDER BY date)),
 {name} AS (
-  SELECT *, CASE WHEN avg_volume_20 = 0 THEN CAST(0 AS DOUBLE)
+  SELECT *, {_mean('close_sum', 'close_n')} AS sma_200,
+         CASE WHEN avg_volume_20 = 0 THEN CAST(0 AS DOUBLE)
                  ELSE CAST(volume AS DOUBLE) / avg_volume_20 END AS rvol,
          price_change * 100 AS price_change_pct,
          bar_no < 200 AS short_history,
@@ -125,8 +140,23 @@ _OLD = "old AS (SELECT * FROM bars WHERE date <= DATE '2000-01-10')"
 _INC = """inc AS (SELECT ticker, date, open, high, low, close + CAST(1 AS DOUBLE) AS close, volume
   FROM bars WHERE date >= DATE '2000-01-01')"""
 
+_ADJUSTED = """
+ev AS (
+  SELECT ticker, max(CASE WHEN back = 300 THEN date END) AS ex300,
+         max(CASE WHEN back = 100 THEN date END) AS ex100
+  FROM bars WHERE tk % 4 = 0 GROUP BY ticker),
+factors AS (
+  SELECT b.*, CASE WHEN b.date < e.ex300
+                   THEN CAST(1 AS DOUBLE) / CAST(1.1 AS DOUBLE) / CAST(1.2 AS DOUBLE)
+                   WHEN b.date < e.ex100 THEN CAST(1 AS DOUBLE) / CAST(1.2 AS DOUBLE)
+                   ELSE CAST(1 AS DOUBLE) END AS fac
+  FROM bars b LEFT JOIN ev e ON e.ticker = b.ticker),
+adjusted AS (
+  SELECT ticker, date, open * fac AS open, high * fac AS high, low * fac AS low,
+         close * fac AS close, volume FROM factors)"""
+
 STATE = """
-mkt AS (
+mkt AS MATERIALIZED (
   SELECT b.ticker, max(b.date) AS date,
          max(CASE WHEN back = 1 THEN open END) AS current_open,
          max(CASE WHEN back = 1 THEN close END) AS current_price,
@@ -253,7 +283,9 @@ def oracle_sql() -> dict[str, str]:
         "penny_trap": _q(BARS, ind, scored, select=f"""SELECT ticker, {day}, close, price_change_pct,
             paid_up_capital FROM scored WHERE from_end = 1
             AND NOT coalesce(paid_up_capital > 500 AND abs(price_change_pct) < 0.5, false)"""),
-        "idle_floor": _q(BARS, ind, select=f"""SELECT ticker, {day}, close, volume FROM ind
+        "idle_floor": _q(BARS, """idle AS (SELECT * REPLACE (
+              CASE WHEN open = 105 AND close = 105 AND ticker LIKE '%9' THEN CAST(0 AS BIGINT)
+                   ELSE volume END AS volume) FROM bars)""", _indicators("idle"), select=f"""SELECT ticker, {day}, close, volume FROM ind
             WHERE from_end = 1 AND NOT flat_idle"""),
         "category_screen": _q(BARS, select=f"""SELECT ticker, close, {day} FROM bars WHERE back = 1
             AND ticker NOT IN (SELECT ticker FROM caps WHERE paid_up_capital < 0)"""),
@@ -299,12 +331,9 @@ def oracle_sql() -> dict[str, str]:
             select=f"""SELECT ticker, {day}, {ohlcv}, 'stocksurferbd' AS source,
                 CAST(1 AS BIGINT) AS ingest_seq FROM u WHERE n = 1"""),
         "upsert": _q(BARS, _OLD, _INC, select=f"""
-            SELECT coalesce(n.ticker, o.ticker) AS ticker,
-                   CAST(coalesce(n.date, o.date) AS VARCHAR) AS date,
-                   coalesce(n.open, o.open) AS open, coalesce(n.high, o.high) AS high,
-                   coalesce(n.low, o.low) AS low, coalesce(n.close, o.close) AS close,
-                   coalesce(n.volume, o.volume) AS volume
-            FROM old o FULL JOIN inc n ON n.ticker = o.ticker AND n.date = o.date"""),
+            SELECT ticker, {day}, {ohlcv} FROM old o
+            WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
+            UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc"""),
         "load_meta": _q(BARS, _OLD, _INC,
             "a AS (SELECT ticker, count(*) AS c FROM old GROUP BY ticker)",
             "b AS (SELECT ticker, count(*) AS c FROM inc GROUP BY ticker)",
@@ -313,7 +342,7 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(b.c, a.c) AS record_count
                 FROM a FULL JOIN b ON a.ticker = b.ticker"""),
         "reload": _q(BARS, _OLD, _INC, select=f"""
-            SELECT ticker, {day}, {ohlcv} FROM old WHERE ticker <> 'T1'
+            SELECT ticker, {day}, {ohlcv} FROM bars WHERE ticker <> 'T1'
             UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc WHERE ticker = 'T1'"""),
         "delete_tickers": _q(BARS, select=f"""SELECT ticker, {day}, {ohlcv} FROM bars
             WHERE ticker NOT IN (SELECT ticker FROM caps WHERE paid_up_capital < 0)"""),
@@ -337,7 +366,59 @@ def oracle_sql() -> dict[str, str]:
             select="""SELECT count(*) FILTER (ok) AS success, count(*) FILTER (NOT ok) AS failed,
                 count(*) AS total, coalesce((SELECT string_agg(ticker, ' | ' ORDER BY ticker)
                   FROM (SELECT ticker FROM d WHERE NOT ok ORDER BY ticker LIMIT 10)), '')
-                  AS failed_tickers FROM d"""),
+                  AS failed_first, greatest(count(*) FILTER (NOT ok) - 10, 0) AS failed_more FROM d"""),
+        "failed_tickers": _q(BARS, select="""SELECT ticker FROM caps WHERE ticker NOT IN
+            (SELECT ticker FROM bars WHERE date >= DATE '2001-10-31')"""),
+        "reload_meta": _q(BARS, _INC, select="""
+            SELECT ticker, 'adjusted_data' AS data_source, count(*) AS record_count,
+                   '2002-01-01 00:00:00' AS last_updated FROM bars WHERE ticker <> 'T1' GROUP BY ticker
+            UNION ALL SELECT ticker, 'bdshare', count(*), '2002-01-01 00:00:00' FROM inc
+            WHERE ticker = 'T1' GROUP BY ticker"""),
+        "smart_update": _q(BARS, _OLD, _INC, """marks AS (
+              SELECT ticker, max(date) AS mark FROM old GROUP BY ticker)""",
+            select=f"""SELECT ticker, {day}, {ohlcv} FROM old
+                UNION ALL SELECT i.ticker, CAST(i.date AS VARCHAR), i.open, i.high, i.low, i.close, i.volume
+                FROM inc i JOIN marks m ON m.ticker = i.ticker
+                WHERE i.date > m.mark AND i.date <= DATE '2001-06-30'"""),
+        "smart_update_outcome": _q(BARS, _OLD, _INC, """marks AS (
+              SELECT ticker, max(date) AS mark FROM old GROUP BY ticker)""",
+            """got AS (SELECT i.ticker, count(*) AS c FROM inc i JOIN marks m ON m.ticker = i.ticker
+                WHERE i.date > m.mark AND i.date <= DATE '2001-06-30' GROUP BY i.ticker)""",
+            select="""SELECT m.ticker, CASE WHEN g.c > 0 THEN 'updated'
+                WHEN m.mark >= DATE '2001-06-30' THEN 'up to date' ELSE 'failed' END AS status,
+                coalesce(g.c, 0) AS rows FROM marks m LEFT JOIN got g ON g.ticker = m.ticker"""),
+        "upsert_duplicates": _q(BARS, _OLD, _INC, select=f"""
+            SELECT ticker, {day}, {ohlcv}, CAST(0 AS BIGINT) AS ingest_seq FROM old o
+            WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
+            UNION ALL SELECT ticker, {day}, open, high, low, close + CAST(1 AS DOUBLE), volume,
+              CAST(2 AS BIGINT) FROM inc"""),
+        "vendor_a": _q(BARS, select=f"""SELECT ticker, {day}, {ohlcv}, 'bdshare' AS source,
+            CAST(3 AS BIGINT) AS ingest_seq FROM bars"""),
+        "trades_refused": _q(BARS, POSITIONS, """held AS (SELECT ticker FROM positions
+              WHERE ticker IN (SELECT ticker FROM caps WHERE paid_up_capital >= 0))""",
+            """t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS turn FROM bars
+              WHERE date >= DATE '2001-10-31')""",
+            select="""SELECT ticker, close AS buy_price, CAST(10 AS BIGINT) AS quantity,
+                CAST(date AS VARCHAR) AS purchase_date, CAST(NULL AS VARCHAR) AS notes FROM t
+                WHERE turn > 1 OR ticker IN (SELECT ticker FROM held)"""),
+        "adjusted_signals": _q(BARS, _ADJUSTED, _indicators("adjusted"), scored, select=f"""
+            SELECT ticker, {day}, close, status, score, signal FROM scored"""),
+        "one_ticker": _q(
+            BARS, "seen AS (SELECT * FROM bars WHERE date <= DATE '2000-06-15')",
+            _indicators("seen"), scored,
+            f"""hit AS (SELECT ticker, status, message, {day}, {_round2('close')} AS close, score, signal
+                FROM scored WHERE from_end = 1 AND date = DATE '2000-06-15')""",
+            """asked AS (SELECT ticker FROM caps UNION ALL SELECT concat('X', ticker) FROM caps)""",
+            select="""SELECT a.ticker, coalesce(h.status, 'error') AS status,
+                coalesce(h.message, CASE WHEN a.ticker IN (SELECT ticker FROM bars)
+                  THEN 'No data for date 2000-06-15' ELSE 'No data available' END) AS message,
+                h.date, h.close, h.score, h.signal
+                FROM asked a LEFT JOIN hit h ON h.ticker = a.ticker"""),
+        "dashboard": _q(BARS, POSITIONS, STATE, select="""
+            SELECT 'positions' AS part, count(*) AS rows FROM positions
+            UNION ALL SELECT 'summary', 1
+            UNION ALL SELECT 'signals', count(*) FROM decided WHERE signal_type IS NOT NULL
+            UNION ALL SELECT 'tickers', count(DISTINCT ticker) FROM bars"""),
         "position_add": _q(BARS, POSITIONS, """held AS (SELECT * FROM positions
               WHERE ticker IN (SELECT ticker FROM caps WHERE paid_up_capital >= 0))""",
             select=f"""SELECT {held} FROM held UNION ALL
@@ -373,36 +454,26 @@ def oracle_sql() -> dict[str, str]:
             WHERE signal_type IS NOT NULL"""),
         "portfolio_summary": _q(BARS, POSITIONS, f"""s AS (
               SELECT count(*) AS total_positions,
-                CAST(sum({_units('p.buy_price')} * p.quantity) AS DOUBLE) / 1000000 AS total_invested,
-                CAST(sum({_units('b.close')} * p.quantity) AS DOUBLE) / 1000000 AS current_value
+                {_total('p.buy_price * CAST(p.quantity AS DOUBLE)')} AS total_invested,
+                {_total('b.close * CAST(p.quantity AS DOUBLE)')} AS current_value
               FROM positions p JOIN bars b ON b.ticker = p.ticker AND b.back = 1)""",
             select="""SELECT *, current_value - total_invested AS total_profit,
                 (current_value - total_invested) / total_invested * 100 AS profit_pct FROM s"""),
-        "bonus_adjust": _q(BARS, """ev AS (
-              SELECT ticker, max(CASE WHEN back = 300 THEN date END) AS ex300,
-                     max(CASE WHEN back = 100 THEN date END) AS ex100
-              FROM bars WHERE tk % 4 = 0 GROUP BY ticker)""",
-            """f AS (SELECT b.*, CASE WHEN b.date < e.ex300
-                  THEN CAST(1 AS DOUBLE) / CAST(1.1 AS DOUBLE) / CAST(1.2 AS DOUBLE)
-                WHEN b.date < e.ex100 THEN CAST(1 AS DOUBLE) / CAST(1.2 AS DOUBLE)
-                ELSE CAST(1 AS DOUBLE) END AS fac
-              FROM bars b LEFT JOIN ev e ON e.ticker = b.ticker)""",
-            select=f"""SELECT ticker, {day}, open * fac AS open, high * fac AS high, low * fac AS low,
-                close * fac AS close, volume FROM f"""),
+        "bonus_adjust": _q(BARS, _ADJUSTED, select=f"SELECT ticker, {day}, {ohlcv} FROM adjusted"),
         "backtest": _q(BARS, ind, scored, PATHS, select="SELECT * FROM backtest"),
         "trade_quality": _q(BARS, ind, scored, PATHS, f"""s AS (
               SELECT count(*) AS closed_trades, count(*) FILTER (return_pct > 0) AS wins,
                 count(*) FILTER (return_pct < 0) AS losses,
-                CAST(sum({_units('return_pct')}) FILTER (return_pct > 0) AS DOUBLE)
-                  / (count(*) FILTER (return_pct > 0) * CAST(1000000 AS DOUBLE)) AS mean_win_pct,
-                CAST(sum({_units('return_pct')}) FILTER (return_pct < 0) AS DOUBLE)
-                  / (count(*) FILTER (return_pct < 0) * CAST(1000000 AS DOUBLE)) AS mean_loss_pct
+                sum({_exact('return_pct')}) FILTER (return_pct > 0) AS win_sum,
+                sum({_exact('return_pct')}) FILTER (return_pct < 0) AS loss_sum
               FROM backtest WHERE exit_reason <> 'OPEN')""",
+            f"""m AS (SELECT closed_trades, wins, losses, {_mean('win_sum', 'wins')} AS mean_win_pct,
+                {_mean('loss_sum', 'losses')} AS mean_loss_pct FROM s)""",
             select="""SELECT *, CAST(wins AS DOUBLE) / closed_trades AS win_rate,
-                mean_win_pct / abs(mean_loss_pct) AS risk_reward FROM s"""),
+                mean_win_pct / abs(mean_loss_pct) AS risk_reward FROM m"""),
         "paper_profit": _q(BARS, ind, scored, PATHS, select=f"""SELECT CAST(p.date AS VARCHAR) AS date,
             count(*) AS trades,
-            CAST(sum({_units('p.close')} - {_units('p.entry_price')}) AS DOUBLE) / 1000000 AS profit
+            {_total('(p.close - p.entry_price) * 1')} AS profit
             FROM path1 p JOIN trades t ON t.ticker = p.ticker AND t.entry_no = p.entry_no
             WHERE p.bar_no IS NOT NULL AND (t.hit_no IS NULL OR p.bar_no <= t.hit_no)
             GROUP BY p.date"""),

@@ -208,11 +208,11 @@ def test_range_has_both_ends(spark):
 def test_delivery_stats(spark):
     want = spark.createDataFrame([(f"T{i:02d}",) for i in range(15)], "ticker STRING")
     inc = canonical(spark, ("T01", 0, 1.0, "y", 2), ("T01", 1, 1.0, "y", 2), ("ZZ", 1, 1.0, "y", 2))
-    r = increments.delivery_stats(want, inc).first()
+    r = increments.delivery_stats(increments.delivery(want, inc)).first()
     assert (r.success, r.failed, r.total) == (1, 14, 15)
-    assert r.failed_tickers == [f"T{i:02d}" for i in (0, *range(2, 11))]
-    none = increments.delivery_stats(want.filter("ticker = 'T01'"), inc).first()
-    assert (none.success, none.failed, none.failed_tickers) == (1, 0, [])
+    assert r.failed_first == [f"T{i:02d}" for i in (0, *range(2, 11))]
+    none = increments.delivery_stats(increments.delivery(want.filter("ticker = 'T01'"), inc)).first()
+    assert (none.success, none.failed, none.failed_first) == (1, 0, [])
 
 
 def test_load_and_delivery_plans(spark, folder):
@@ -228,7 +228,7 @@ def test_load_and_delivery_plans(spark, folder):
     )
     v = apply_delivery(bars, meta, d, "stocksurferbd", NOW)
     assert sorted(r.ticker for r in v.bars.collect()) == ["GOOD", "KEEP", "KEEP"]
-    assert v.stats.first().failed_tickers == ["GOOD"]
+    assert v.stats.first().failed_first == ["GOOD"]
 
 
 def test_fundamentals_file(spark, tmp_path):

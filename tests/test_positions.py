@@ -125,7 +125,20 @@ def test_add(spark):
     assert (r["A"].buy_price, r["A"].highest_seen) == (10.0, 12.0)
     assert (r["B"].highest_seen, r["B"].purchase_date, r["B"].notes) == (5.0, dt.date(2025, 1, 1), "")
     assert (r["C"].buy_price, r["C"].notes) == (8.0, "first")
-    assert [x.notes for x in pos.rejected_trades(held, new).collect()] == ["dup"]
+    refused = pos.rejected_trades(held, new, dt.date(2025, 1, 1)).collect()
+    assert {x.notes for x in refused} == {"dup", "later"}
+    order = new.withColumn("trade_seq", F.when(F.col("notes") == "later", 0).otherwise(1))
+    first = build.by(pos.add_positions(held, order, dt.date(2025, 1, 1)))
+    assert first["C"].notes == "later"  # submitted first, though bought later
+
+
+def test_two_changes_make_one_position(spark):
+    held = build.positions(spark, ("A", 10.0, 1, 12.0, D))
+    ch = spark.createDataFrame(
+        [("A", 5, 11.0, 2), ("A", 9, 12.0, 1)], "ticker STRING, quantity BIGINT, avg_price DOUBLE, ingest_seq INT"
+    )
+    rows = pos.update_positions(held, ch).collect()
+    assert [(r.quantity, r.buy_price) for r in rows] == [(5, 11.0)]
 
 
 def test_update(spark):

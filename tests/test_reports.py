@@ -65,7 +65,7 @@ def test_csv(spark, sample, tmp_path):
 def test_rank_spans_partitions(spark):
     n = 10_000
     df = spark.range(n).select((F.col("id") % 7).alias("score"), F.col("id").alias("k"))
-    got = global_rank(df.repartition(16), "k", [F.desc("score"), F.asc("k")]).collect()
+    got = global_rank(df.repartition(16), [-F.col("score"), F.col("k")]).collect()
     want = sorted(((i % 7, i) for i in range(n)), key=lambda t: (-t[0], t[1]))
     assert {(r["score"], r["k"]): r["rank"] for r in got} == {t: i + 1 for i, t in enumerate(want)}
 

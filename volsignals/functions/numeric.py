@@ -32,20 +32,24 @@ def fixed(fmt: str, digits: int, x: Column) -> Column:
     return F.format_string(fmt, round_exact(x, digits))
 
 
-def to_units(x: Column, scale: int) -> Column:
-    """Value as a whole number of 10^-scale steps, so that sums do not depend on row order."""
-    return F.floor(x * float(10**scale) + 0.5)
+#: Exact sums: 18 decimals, up to 10^20. A double goes in as its shortest decimal text.
+EXACT = "decimal(38,18)"
 
 
-def units_mean(total: Column, n: Column, scale: int) -> Column:
-    """Mean of a unit sum: one division of two exact integers; NULL when nothing was summed."""
-    return F.try_divide(total.cast("double"), n.cast("double") * float(10**scale))
+def exact(x: Column) -> Column:
+    """A double as a decimal, so that sums do not depend on row order; NULL beyond the range."""
+    return x.try_cast(EXACT)
 
 
-def units_total(units: Column, scale: int) -> Column:
-    """Aggregate: sum of units as a double. Decimal, because a total over a whole table may
-    pass the range of BIGINT."""
-    return F.sum(units.cast("decimal(20,0)")).cast("double") / float(10**scale)
+def exact_mean(total: Column, n: Column) -> Column:
+    """Mean of an exact sum, divided before it is cut to a double; NULL when nothing was summed."""
+    return F.try_divide(total, n.cast("decimal(20,0)")).cast("double")
+
+
+def exact_total(x: Column) -> Column:
+    """Aggregate: sum of doubles. NULL if one of them, or the sum, is beyond the range."""
+    lost = F.count_if(x.isNotNull() & exact(x).isNull())
+    return F.when(lost == 0, F.try_sum(exact(x)).cast("double"))
 
 
 def clean_number(text: Column, thousands: bool = False) -> Column:
@@ -53,7 +57,9 @@ def clean_number(text: Column, thousands: bool = False) -> Column:
     if thousands:
         text = F.regexp_replace(text, ",", "")
     plain = text.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
-    return F.when(plain, text.try_cast("double"))
+    x = text.try_cast("double")
+    # "1e400" is a plain number whose double is infinite
+    return F.when(plain & (F.abs(x) < float("inf")), x)
 
 
 def clean_volume(text: Column, thousands: bool = False) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from volsignals.functions.numeric import to_units, units_mean, units_total
+from volsignals.functions.numeric import exact, exact_mean, exact_total
 from volsignals.operators.positions import stop_loss, trailing_stop
 from volsignals.params import Params
 
@@ -99,10 +99,7 @@ def backtest(history: DataFrame, p: Params = Params()) -> DataFrame:
 def trade_quality(trades: DataFrame, p: Params = Params()) -> DataFrame:
     """A5: one row over the closed trades; a return of exactly 0 is neither win nor loss."""
     r = F.col("return_pct")
-    units = to_units(r, p.price_scale).cast("decimal(20,0)")
-    mean = lambda cond: units_mean(
-        F.sum(F.when(cond, units)), F.count_if(cond), p.price_scale
-    )
+    mean = lambda cond: exact_mean(F.try_sum(F.when(cond, exact(r))), F.count_if(cond))
     s = trades.filter("exit_reason <> 'OPEN'").agg(
         F.count(F.lit(1)).alias("closed_trades"),
         F.count_if(r > 0).alias("wins"),
@@ -119,14 +116,14 @@ def trade_quality(trades: DataFrame, p: Params = Params()) -> DataFrame:
 def paper_profit(history: DataFrame, p: Params = Params()) -> DataFrame:
     """B2: per day, how many trades were held into its close and their profit against entry,
     the day of the exit included."""
-    gain = to_units(F.col("close"), p.price_scale) - to_units(F.col("entry_price"), p.price_scale)
+    gain = (F.col("close") - F.col("entry_price")) * p.paper_quantity
     return (
         trade_paths(history, p)
         .filter(F.col("held") & F.col("close").isNotNull())
         .groupBy("date")
         .agg(
             F.count(F.lit(1)).alias("trades"),
-            units_total(gain * p.paper_quantity, p.price_scale).alias("profit"),
+            exact_total(gain).alias("profit"),
         )
         .orderBy("date")
     )

@@ -6,8 +6,10 @@ with a map-side combine. For series too long for one task there is
 :func:`indicators_segmented`, with equal results.
 
 Means come from running sums: ``S[i] - S[i-n]`` costs the same for any window length, while a
-sliding frame re-adds n rows for each row. The sums are whole numbers, hence exact, and the
-difference equals the frame's own sum.
+sliding frame re-adds n rows for each row. Prices are summed as decimals of 18 places and volumes
+as whole numbers, hence exactly, so the difference equals the frame's own sum, and the mean is
+divided before it is cut to a double. A price beyond 10^20 makes the means over it NULL, for its
+ticker only.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from volsignals.functions.numeric import to_units, units_mean
+from volsignals.functions.numeric import exact, exact_mean
 from volsignals.params import Params
 from volsignals.schema import PRICES
 
@@ -35,9 +37,10 @@ def _running(w: WindowSpec, p: Params) -> dict[str, Column]:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     return {
         "bar_no": F.row_number().over(w).cast("bigint"),
-        "_close_sum": F.sum(to_units(F.col("close"), p.price_scale)).over(run),
+        "_close_sum": F.try_sum(exact(F.col("close"))).over(run),
         "_close_n": F.count("close").over(run),
-        "_volume_sum": F.sum("volume").over(run),
+        "_close_out": F.count_if(F.col("close").isNotNull() & exact(F.col("close")).isNull()).over(run),
+        "_volume_sum": F.sum(F.col("volume").cast("decimal(20,0)")).over(run),
         "_filled": F.last("close", ignorenulls=True).over(run),
     }
 
@@ -45,7 +48,7 @@ def _running(w: WindowSpec, p: Params) -> dict[str, Column]:
 def _recent(w: WindowSpec, p: Params) -> dict[str, Column]:
     back = lambda n: w.rowsBetween(1 - n, 0)
     return {
-        "_traded": F.max(F.abs("volume")).over(back(p.ghost_days)),
+        "_traded": F.max(F.when(F.col("volume") != 0, 1).when(F.col("volume") == 0, 0)).over(back(p.ghost_days)),
         "_std": F.stddev_samp("close").over(back(p.stuck_days)),
         "_top": F.max("close").over(back(p.stuck_days)),
         "_bottom": F.min("close").over(back(p.stuck_days)),
@@ -56,20 +59,31 @@ def _lagged(w: WindowSpec, p: Params) -> dict[str, Column]:
     return {
         "_close_sum0": F.lag("_close_sum", p.sma_period).over(w),
         "_close_n0": F.lag("_close_n", p.sma_period).over(w),
+        "_close_out0": F.lag("_close_out", p.sma_period).over(w),
         "_volume_sum0": F.lag("_volume_sum", p.rvol_period).over(w),
         "_filled0": F.lag("_filled", 1).over(w),
     }
 
 
+def _flags(p: Params) -> dict[str, Column]:
+    full = F.col("bar_no") >= p.stuck_days
+    return {
+        "ghost": (F.col("bar_no") >= p.ghost_days) & F.coalesce(F.col("_traded") == 0, F.lit(False)),
+        "stuck": full & F.coalesce(F.col("_std") < p.stuck_std, F.lit(False)),
+        "flat_idle": full & (F.col("volume") == 0)
+        & F.coalesce(F.col("_top") == F.col("_bottom"), F.lit(False)),
+    }
+
+
 def _finish(df: DataFrame, keep: list[str], p: Params) -> DataFrame:
     zero = F.lit(0).cast("bigint")
-    total = F.col("_close_sum") - F.coalesce("_close_sum0", zero)
+    total = F.col("_close_sum") - F.coalesce("_close_sum0", zero.cast("decimal(38,18)"))
+    in_range = F.col("_close_out") == F.coalesce("_close_out0", zero)
     n = F.col("_close_n") - F.coalesce("_close_n0", zero)
-    shares = F.col("_volume_sum") - F.coalesce("_volume_sum0", zero)
-    full = F.col("bar_no") >= p.stuck_days
+    shares = F.col("_volume_sum") - F.coalesce("_volume_sum0", zero.cast("decimal(30,0)"))
     return (
         df.withColumns({
-            "sma_200": units_mean(total, n, p.price_scale),
+            "sma_200": F.when(in_range, exact_mean(total, n)),
             "avg_volume_20": shares.cast("double") / F.least("bar_no", F.lit(p.rvol_period)),
             "price_change": F.try_divide("_filled", "_filled0") - 1.0,
         })
@@ -78,10 +92,7 @@ def _finish(df: DataFrame, keep: list[str], p: Params) -> DataFrame:
             "price_change_pct": F.col("price_change") * 100.0,
             "daily_range": F.try_divide(F.col("high") - F.col("low"), "low") * 100.0,
             "short_history": F.col("bar_no") < p.sma_period,
-            "ghost": (F.col("bar_no") >= p.ghost_days) & F.coalesce(F.col("_traded") == 0, F.lit(False)),
-            "stuck": full & F.coalesce(F.col("_std") < p.stuck_std, F.lit(False)),
-            "flat_idle": full & (F.col("volume") == 0)
-            & F.coalesce(F.col("_top") == F.col("_bottom"), F.lit(False)),
+            **_flags(p),
         })
         .select(*keep, *INDICATORS)
     )
@@ -110,6 +121,24 @@ def latest_indicators(bars: DataFrame, p: Params = Params()) -> DataFrame:
     return indicators(bars, p, keep_last=True).filter("is_latest").drop("is_latest")
 
 
+def latest_flags(bars: DataFrame, p: Params = Params()) -> DataFrame:
+    """Newest bar of each ticker with ``ghost``, ``stuck`` and ``flat_idle``.
+
+    These rules count a few rows only, so history is cut by a group limit before the shuffle.
+    """
+    rows = max(p.ghost_days, p.stuck_days)
+    near = without_nan(newest_bars(bars, rows)).drop("back")
+    w = Window.partitionBy("ticker").orderBy("date")
+    keep = [*bars.columns, "ghost", "stuck", "flat_idle"]
+    flagged = near.withColumn("bar_no", F.row_number().over(w)).withColumns(_recent(w, p))
+    return (
+        flagged.withColumns(_flags(p))
+        .withColumn("_last", F.lead("date", 1).over(w).isNull())
+        .filter("_last")
+        .select(*keep)
+    )
+
+
 def newest_bars(bars: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` bars of each ticker; planned as a group limit before the shuffle."""
     w = Window.partitionBy("ticker").orderBy(F.desc("date"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volsignals import texts
-from volsignals.functions.numeric import fixed, units_total, to_units
+from volsignals.functions.numeric import exact_total, fixed
+from volsignals.operators.indicators import newest_bars
 from volsignals.operators.store import latest_close
 from volsignals.params import Params
 from volsignals.schema import POSITION_COLUMNS, SELL_COLUMNS
@@ -19,19 +20,14 @@ from volsignals.schema import POSITION_COLUMNS, SELL_COLUMNS
 def add_positions(positions: DataFrame, trades: DataFrame, today: dt.date) -> DataFrame:
     """Add trades whose ticker is not held; the peak starts at the buy price.
 
-    Of several trades in one ticker the earliest is taken, cheapest first on equal dates, as
-    the later ones meet a held ticker.
+    Of several trades in one ticker the first submitted is taken, by ``trade_seq`` if there is
+    such a column, then by date and price, as the later ones meet a held ticker.
     """
-    day = F.coalesce("purchase_date", F.lit(today))
     fresh = (
         trades.join(positions.select("ticker"), "ticker", "left_anti")
-        .withColumn("purchase_date", day)
+        .withColumn("purchase_date", F.coalesce("purchase_date", F.lit(today)))
         .groupBy("ticker")
-        .agg(
-            F.min(
-                F.struct("purchase_date", "buy_price", "quantity", "notes")
-            ).alias("t")
-        )
+        .agg(F.min(_submitted(trades)).alias("t"))
         .select(
             "ticker", "t.buy_price", "t.quantity", F.col("t.buy_price").alias("highest_seen"),
             "t.purchase_date", F.coalesce("t.notes", F.lit("")).alias("notes"),
@@ -40,14 +36,36 @@ def add_positions(positions: DataFrame, trades: DataFrame, today: dt.date) -> Da
     return positions.select(*POSITION_COLUMNS).unionByName(fresh)
 
 
-def rejected_trades(positions: DataFrame, trades: DataFrame) -> DataFrame:
-    """Trades P1 refuses because the ticker is already held."""
-    return trades.join(positions.select("ticker"), "ticker", "left_semi")
+def _submitted(trades: DataFrame) -> Column:
+    order = ["trade_seq"] if "trade_seq" in trades.columns else []
+    return F.struct(*order, "purchase_date", "buy_price", "quantity", "notes")
+
+
+def rejected_trades(positions: DataFrame, trades: DataFrame, today: dt.date) -> DataFrame:
+    """Trades P1 refuses: the ticker is held already, or an earlier trade of the batch took it.
+
+    Of trades that are equal in every column one is taken and the others are refused.
+    """
+    held = positions.select("ticker", F.lit(True).alias("_held"))
+    dated = trades.withColumn("_day", F.coalesce("purchase_date", F.lit(today)))
+    order = ["trade_seq"] if "trade_seq" in trades.columns else []
+    w = Window.partitionBy("ticker").orderBy(*order, "_day", "buy_price", "quantity", "notes")
+    return (
+        dated.join(held, "ticker", "left")
+        .withColumn("_turn", F.row_number().over(w))
+        .filter(F.coalesce("_held", F.lit(False)) | (F.col("_turn") > 1))
+        .select(*trades.columns)
+    )
 
 
 def update_positions(positions: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes(ticker, quantity, avg_price)``, one row per ticker, sets the total quantity,
-    and the price if one is given and not zero. The peak stays; unknown tickers are ignored."""
+    """``changes(ticker, quantity, avg_price)`` sets the total quantity, and the price if one
+    is given and not zero. The peak stays; unknown tickers are ignored. Of several changes to one
+    ticker the highest in ``ingest_seq`` counts if there is such a column, then the largest."""
+    order = [c for c in ("ingest_seq",) if c in changes.columns]
+    changes = changes.groupBy("ticker").agg(
+        F.max_by(F.struct("quantity", "avg_price"), F.struct(*order, "quantity", "avg_price")).alias("c")
+    ).select("ticker", "c.*")
     c = changes.select(
         "ticker", F.col("quantity").alias("_q"), F.nullif("avg_price", F.lit(0.0)).alias("_p")
     )
@@ -92,40 +110,40 @@ def market_state(
 ) -> DataFrame:
     """Each position with its newest bar, relative volume and moved peak.
 
-    Positions without bars are left out. One inner join on ticker; the date bound of the peak
-    is a condition inside the aggregation, not a range join. The relative volume is 0 below
-    20 bars. ``since_last_run`` looks at the newest close only, as a run on that day would.
+    Positions without bars are left out. One join of bars with positions, which carries the
+    position's columns along; then two small aggregates, neither of which sorts history: the
+    peak since purchase is a maximum combined before the shuffle, and the newest 20 bars are cut
+    by a group limit before theirs. The relative volume is 0 below 20 bars. ``since_last_run``
+    looks at the newest close only, as a run on that day would; it needs no peak.
     """
-    w = Window.partitionBy("ticker").orderBy(F.desc("date"))
     held = bars.select("ticker", "date", "open", "close", "volume").join(
-        positions.select("ticker", F.col("purchase_date").alias("_bought")), "ticker"
+        positions.select("ticker", F.struct(*POSITION_COLUMNS).alias("_held")), "ticker"
     )
-    newest = F.col("_back") == 1
-    recent = F.col("_back") <= p.rvol_period
+    newest = F.col("back") == 1
     pick = lambda c: F.max(F.when(newest, F.col(c)))
-    state = (
-        held.withColumn("_back", F.row_number().over(w))
-        .groupBy("ticker")
-        .agg(
-            F.max("date").alias("date"),
-            pick("open").alias("current_open"),
-            pick("close").alias("current_price"),
-            pick("volume").alias("current_volume"),
-            F.count_if(recent).alias("_n"),
-            F.avg(F.when(recent, F.col("volume"))).alias("_mean"),
-            F.max(F.when(F.col("date") >= F.col("_bought"), F.col("close"))).alias("_peak"),
-        )
+    recent = newest_bars(held, p.rvol_period).groupBy("ticker").agg(
+        F.first("_held").alias("_held"),
+        F.max("date").alias("date"),
+        pick("open").alias("current_open"),
+        pick("close").alias("current_price"),
+        pick("volume").alias("current_volume"),
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("volume").alias("_mean"),
     )
     enough = (F.col("_n") >= p.rvol_period) & (F.col("_mean") > 0)
-    peak = F.col("current_price") if since_last_run else F.col("_peak")
-    return (
-        positions.join(state, "ticker")
-        .withColumn(
-            "rvol",
-            F.when(enough, F.try_divide("current_volume", "_mean")).otherwise(F.lit(0.0)),
+    if since_last_run:
+        state = recent.withColumn("_peak", F.col("current_price"))
+    else:
+        peaks = held.filter(F.col("date") >= F.col("_held.purchase_date")).groupBy("ticker").agg(
+            F.max("close").alias("_peak")
         )
-        .withColumn("highest_seen", F.greatest("highest_seen", peak))
-        .drop("_n", "_mean", "_peak")
+        state = recent.join(peaks, "ticker", "left")
+    own = [F.col(f"_held.{c}").alias(c) for c in POSITION_COLUMNS if c not in ("ticker", "highest_seen")]
+    return state.select(
+        "ticker", *own,
+        F.greatest("_held.highest_seen", "_peak").alias("highest_seen"),
+        "date", "current_open", "current_price", "current_volume",
+        F.when(enough, F.try_divide("current_volume", "_mean")).otherwise(F.lit(0.0)).alias("rvol"),
     )
 
 
@@ -133,12 +151,20 @@ def ratcheted(
     positions: DataFrame, bars: DataFrame, p: Params = Params(), since_last_run: bool = False
 ) -> DataFrame:
     """The positions table with moved peaks; positions without bars are unchanged."""
-    moved = market_state(positions, bars, p, since_last_run).select(
-        "ticker", F.col("highest_seen").alias("_moved")
-    )
+    if since_last_run:
+        moved = latest_close(bars).select("ticker", F.col("close").alias("_peak"))
+    else:
+        moved = (
+            bars.select("ticker", "date", "close")
+            .join(positions.select("ticker", "purchase_date"), "ticker")
+            .filter(F.col("date") >= F.col("purchase_date"))
+            .groupBy("ticker")
+            .agg(F.max("close").alias("_peak"))
+        )
+    moved = moved.withColumnRenamed("_peak", "_moved")
     return positions.join(moved, "ticker", "left").select(
         *[
-            F.coalesce("_moved", "highest_seen").alias(c) if c == "highest_seen" else c
+            F.greatest("highest_seen", "_moved").alias(c) if c == "highest_seen" else c
             for c in POSITION_COLUMNS
         ]
     )
@@ -206,9 +232,9 @@ def portfolio_summary(
     priced = positions.join(
         latest_close(bars).select("ticker", F.col("close").alias("_close")), "ticker", "left"
     ).withColumn("_paid", F.when(F.col("_close").isNotNull(), F.col("buy_price")))
-    money = lambda c: F.coalesce(
-        units_total(to_units(F.col(c), p.price_scale) * F.col("quantity"), p.price_scale),
-        F.lit(0.0),
+    # no priced position gives 0; a product beyond the exact range gives NULL
+    money = lambda c: F.when(F.count(c) == 0, 0.0).otherwise(
+        exact_total(F.col(c) * F.col("quantity").cast("double"))
     )
     s = priced.agg(
         F.count(F.lit(1)).alias("total_positions"),

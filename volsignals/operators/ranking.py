@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from volsignals.session import checkpointed
-
-_ROW_BITS = 33  # documented layout of monotonically_increasing_id: partition | row number
+#: Parts a table is split into for its ranks; a split key is one row, whatever the table's size.
+SPLITS = 256
 
 
 def sort_result(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -20,25 +19,28 @@ def sort_result(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.repartition(F.xxhash64(key)).orderBy(*order)
 
 
-def global_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank") -> DataFrame:
-    """1-based position of every row under ``order``, which must be a total order.
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """1-based position of every row under ``order``, ascending columns that are a total order.
 
-    A range sort spreads the rows; each row's partition and place in it are fixed in a
-    checkpoint, the partition sizes are summed up (one row per partition), and the sum of the
-    partitions ahead is added to the place.
+    One key of each hash bucket splits the table into parts; a row's part is the number of split
+    keys at or below its own. The rank is its place in the part plus the sizes of the parts
+    before. All of these are functions of the rows alone, so nothing has to be pinned down, and
+    nothing runs before rows are asked for.
     """
-    ordered = sort_result(df, key, order)
-    placed = checkpointed(ordered.withColumn("_id", F.monotonically_increasing_id()))
-    placed = placed.withColumns({
-        "_part": F.shiftright("_id", _ROW_BITS),
-        "_place": F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)),
-    })
+    keyed = df.withColumn("_key", F.struct(*order))
+    picks = keyed.groupBy(F.pmod(F.xxhash64("_key"), F.lit(SPLITS)).alias("_b")).agg(F.min("_key").alias("_key"))
+    splits = picks.agg(F.sort_array(F.collect_list("_key")).alias("_splits")).scalar()
+    key = F.col("_key")
+    placed = keyed.withColumn("_splits", splits).withColumn(
+        "_part", F.size(F.filter("_splits", lambda s: s <= key))
+    ).drop("_splits")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0).cast("bigint")).alias("_start")
     )
-    # one row per partition of the sort, so its size is bounded by the session's setting
-    return placed.join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + F.col("_place") + 1).alias(name), *df.columns
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
+    # one row per part, so at most SPLITS + 1
+    return placed.withColumn("_place", place).join(F.broadcast(starts), "_part").select(
+        (F.col("_start") + F.col("_place")).alias(name), *df.columns
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volsignals.operators.indicators import newest_bars
@@ -13,6 +13,9 @@ from volsignals.params import Params
 from volsignals.schema import BARS, POSITION_COLUMNS
 
 KEY = ["ticker", "date"]
+#: Parts of a year on disk, by ticker.
+BUCKETS = 64
+LAYOUT = BARS + ", year INT, bucket INT"
 
 
 # --- writes as functions of the old table -------------------------------------------------
@@ -32,10 +35,13 @@ def keep_last(df: DataFrame, key: list[str], order: Column) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key; the rest is appended.
 
-    Both sides must be unique on ``key``. The old table is only filtered: when the increment
-    is small, Spark broadcasts its keys and history is not shuffled at all; when it is large,
-    the anti-join shuffles both sides on the key.
+    Of several rows of ``new`` with one key the last counts: the highest ``ingest_seq`` if there
+    is such a column, then the largest in its columns. The old table must be unique and is only
+    filtered: when the increment is small, Spark broadcasts its keys and history is not shuffled
+    at all; when it is large, the anti-join shuffles both sides on the key.
     """
+    order = ["ingest_seq"] if "ingest_seq" in new.columns else []
+    new = keep_last(new, key, F.struct(*order, *[c for c in new.columns if c not in (*key, *order)]))
     kept = old.join(new.select(*key), key, "left_anti")
     return kept.select(*old.columns).unionByName(new.select(*old.columns))
 
@@ -68,7 +74,10 @@ def keep_tickers(table: DataFrame, tickers: list[str] | DataFrame) -> DataFrame:
 
 
 def reload_ticker(old: DataFrame, ticker: str, new: DataFrame | None) -> DataFrame:
-    """The ticker's old bars go even if there is nothing to load in their place."""
+    """S14, one table: the ticker's old rows go even if there is nothing to load in their place.
+
+    ``plans.update.reload`` does bars and metadata together.
+    """
     rest = delete_tickers(old, [ticker])
     if new is None:
         return rest
@@ -80,37 +89,47 @@ def reload_ticker(old: DataFrame, ticker: str, new: DataFrame | None) -> DataFra
 
 def read_bars(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
     """Bars at ``path``, of ``years`` if given; empty if nothing has been written yet."""
+    out = _stored_bars(spark, path)
+    if years is not None:
+        out = out.filter(F.col("year").isin(years))
+    return out.drop("year", "bucket")
+
+
+def _stored_bars(spark: SparkSession, path: str) -> DataFrame:
     try:
-        out = spark.read.schema(BARS + ", year INT").parquet(path)
+        return spark.read.schema(LAYOUT).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], BARS)
-    if years is not None:
-        out = out.filter(F.col("year").isin(years))
-    return out.drop("year")
+        return spark.createDataFrame([], LAYOUT)
 
 
 def merge_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Upsert ``new`` into the table at ``path``, rewriting only the years it touches.
+    """Upsert ``new`` into the table at ``path``, rewriting only the parts it touches.
 
-    Files are laid out by year and, within a year, sorted by ticker and date, so a lookup by
-    ticker or date prunes files and row groups. Dynamic partition overwrite stages its output
-    before it replaces the touched folders.
+    A part is a year and a hash bucket of tickers, so a late bar rewrites one of ``BUCKETS``
+    parts of its year. Rows meet by a plain shuffle on the part (a range sort would sample its
+    input, that is compute it twice) and lie sorted by ticker and date, so that lookups prune row
+    groups. Dynamic partition overwrite stages its output before it replaces the touched folders.
     """
-    new = new.persist()
+    parted = lambda df: df.withColumn("year", F.year("date")).withColumn(
+        "bucket", F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int")
+    )
+    new = parted(new).persist()
     try:
-        # bounded by the calendar, not by the data
-        years = [r[0] for r in new.select(F.year("date")).distinct().collect()]
-        if not years:
+        # bounded by the calendar and BUCKETS, not by the data
+        touched = [tuple(r) for r in new.select("year", "bucket").distinct().collect()]
+        if not touched:
             return
-        merged = upsert(read_bars(spark, path, years), new).withColumn("year", F.year("date"))
+        parts = F.struct("year", "bucket").isin([F.struct(F.lit(y), F.lit(b)) for y, b in touched])
+        old = _stored_bars(spark, path).filter(F.col("year").isin([y for y, _ in touched]) & parts)
+        merged = upsert(old, new)
         (
-            merged.repartitionByRange("year", "ticker")
-            .sortWithinPartitions("year", "ticker", "date")
+            merged.repartition("year", "bucket")
+            .sortWithinPartitions("year", "bucket", "ticker", "date")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year")
+            .partitionBy("year", "bucket")
             .parquet(path)
         )
     finally:
@@ -166,17 +185,23 @@ def table_stats(bars: DataFrame) -> DataFrame:
 
 def ticker_preview(bars: DataFrame, p: Params = Params()) -> DataFrame:
     """Q5: one row with the first tickers and how many more there are."""
-    names = bars.select("ticker").distinct()
-    head = names.orderBy("ticker").limit(p.ticker_preview)
-    first = head.agg(
-        F.array_sort(F.collect_list("ticker")).alias("first"), F.lit(None).cast("bigint").alias("n")
-    )
-    total = names.agg(
-        F.lit(None).cast("array<string>").alias("first"), F.count(F.lit(1)).alias("n")
-    )
-    return first.unionByName(total).agg(
-        F.max("first").alias("first"),
-        F.greatest(F.max("n") - p.ticker_preview, F.lit(0)).alias("more"),
+    return first_names(bars.select("ticker").distinct(), p.ticker_preview)
+
+
+def first_names(names: DataFrame, n: int) -> DataFrame:
+    """One row: the first ``n`` of distinct tickers in order, and how many more there are.
+
+    Ranks by name within hash buckets; only each bucket's first ``n`` are gathered, so the list
+    stays bounded, and the names are computed once.
+    """
+    bucket = F.pmod(F.xxhash64("ticker"), F.lit(64))
+    w = Window.partitionBy("_b").orderBy("ticker")
+    near = names.withColumn("_b", bucket).withColumn("_r", F.row_number().over(w))
+    return near.agg(
+        F.slice(
+            F.array_sort(F.collect_list(F.when(F.col("_r") <= n, F.col("ticker")))), 1, n
+        ).alias("first"),
+        F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"),
     )
 
 

@@ -52,9 +52,8 @@ class Params:
     ticker_preview: int = 50
     failed_preview: int = 10
 
-    # ours: decimals kept in exact sums; bars per piece when a ticker's series is to be split
-    # over several tasks (None keeps a series whole); holding horizon and lot of the backtest
-    price_scale: int = 6
+    # ours: bars per piece when a ticker's series is to be split over several tasks (None keeps a
+    # series whole); holding horizon and lot of the backtest
     segment_rows: int | None = None
     hold_bars: int = 60
     paper_quantity: int = 1

@@ -19,16 +19,16 @@ from volsignals.operators import increments, store
 from volsignals.operators import positions as pos
 from volsignals.operators.corporate import adjust_for_bonus
 from volsignals.operators.indicators import (
-    indicators, indicators_segmented, latest_indicators,
+    indicators, indicators_segmented, latest_flags, latest_indicators,
 )
 from volsignals.operators.scoring import with_capital
 from volsignals.operators.screens import drop_category, drop_idle_floor, drop_penny_traps, screen
-from volsignals.plans import reports
+from volsignals.plans import reports, update
 from volsignals.plans.analyze import analyze, latest_status, passing, signal_history
-from volsignals.plans.dashboard import positions_with_stops
+from volsignals.plans.dashboard import dashboard, positions_with_stops
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
-from volsignals.sources.vendors import from_vendor_b
+from volsignals.sources.vendors import from_vendor_b, vendor_a_bars
 from volsignals.streaming.ratchet import moving_peaks
 from volsignals.texts import VENDOR_B_SOURCE
 
@@ -64,6 +64,12 @@ class _Inputs:
         self.bars = src.bars(spark, sf_dir)
         self.caps = src.fundamentals(spark, sf_dir)
 
+    @property
+    def idle_bars(self) -> DataFrame:
+        """Bars whose flat ends have no volume either."""
+        flat = (F.col("open") == 105.0) & (F.col("close") == 105.0) & F.endswith("ticker", F.lit("9"))
+        return self.bars.withColumn("volume", F.when(flat, F.lit(0).cast("bigint")).otherwise(F.col("volume")))
+
     @property
     def positions(self) -> DataFrame:
         return src.positions(self.bars)
@@ -102,8 +108,79 @@ def _upsert(i: _Inputs) -> DataFrame:
     return store.upsert(i.old, i.increment)
 
 
+def _meta(i: _Inputs) -> DataFrame:
+    return store.batch_meta(i.bars, "adjusted_data", LOADED_AT)
+
+
 def _reload(i: _Inputs) -> DataFrame:
-    return store.reload_ticker(i.old, "T1", i.increment)
+    return update.reload(i.bars, _meta(i), "T1", i.increment, "bdshare", LOADED_AT).bars
+
+
+def _reload_meta(i: _Inputs) -> DataFrame:
+    out = update.reload(i.bars, _meta(i), "T1", i.increment, "bdshare", LOADED_AT).meta
+    return out.select("ticker", "data_source", "record_count", "last_updated").withColumn(
+        "last_updated", F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss")
+    )
+
+
+def _smart(i: _Inputs) -> update.Update:
+    meta = store.batch_meta(i.old, "adjusted_data", LOADED_AT)
+    return update.smart_update(i.old, meta, i.increment, TODAY, "bdshare", LOADED_AT)
+
+
+def _upsert_duplicates(i: _Inputs) -> DataFrame:
+    """An increment that has every row twice, the later batch with another close."""
+    stamped = lambda df, n: df.withColumn("ingest_seq", F.lit(n).cast("bigint"))
+    again = i.increment.withColumn("close", F.col("close") + 1.0)
+    new = stamped(again, 2).unionByName(stamped(i.increment, 1))
+    return store.upsert(stamped(i.old, 0), new)
+
+
+def _trades_refused(i: _Inputs) -> DataFrame:
+    held = store.keep_tickers(i.positions, i.solvent)
+    trades = i.bars.filter(F.col("date") >= F.lit(DELIVERED_FROM)).select(
+        "ticker", F.col("close").alias("buy_price"), F.lit(10).cast("bigint").alias("quantity"),
+        F.col("date").alias("purchase_date"), F.lit(None).cast("string").alias("notes"),
+    )
+    return pos.rejected_trades(held, trades, TODAY)
+
+
+def _adjusted_signals(i: _Inputs) -> DataFrame:
+    """Scores over prices after bonus adjustment, whose decimals do not end."""
+    adjusted = adjust_for_bonus(i.bars, src.corp_actions(i.bars))
+    return signal_history(adjusted, i.caps, P).select(
+        "ticker", "date", "close", "status", "score", "signal"
+    )
+
+
+def _one_ticker(i: _Inputs) -> DataFrame:
+    """Outcome rows of single tickers: one with bars that day or not, one without any bars."""
+    asked = i.caps.select("ticker").unionByName(
+        i.caps.select(F.concat(F.lit("X"), F.col("ticker")).alias("ticker"))
+    )
+    return latest_status(i.bars, i.caps, P, tickers=asked, as_of=AS_OF).select(
+        "ticker", "status", "message", "date", "close", "score", "signal"
+    )
+
+
+def _dashboard(i: _Inputs) -> DataFrame:
+    """The dashboard's tables as JSON rows."""
+    d = dashboard(i.positions, i.bars, P)
+    parts = {"positions": d.positions, "summary": d.summary, "signals": d.signals, "tickers": d.tickers}
+    out = None
+    for name, df in parts.items():
+        rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _vendor_a(i: _Inputs) -> DataFrame:
+    """Bars as vendor A delivers them: names in another case, numbers as they are."""
+    raw = i.bars.select(
+        "ticker", F.col("date").alias("DATE"), F.col("open").alias("oPEN"), F.col("high").alias("HIGH"),
+        F.col("low").alias("Low"), F.col("close").alias("close"), F.col("volume").alias("VOLUME"),
+    )
+    return vendor_a_bars(raw, 3)
 
 
 def _high_water(i: _Inputs) -> DataFrame:
@@ -199,17 +276,17 @@ _QUERIES: dict[str, Query] = {
         "ticker", "date", "close", "volume", "bar_no", "sma_200", "avg_volume_20", "rvol",
         "price_change", "price_change_pct", "daily_range", "short_history",
     ),
-    "ghost_flag": lambda i: latest_indicators(i.bars, P).select("ticker", "date", "ghost"),
-    "stuck_flag": lambda i: latest_indicators(i.bars, P).select(
+    "ghost_flag": lambda i: latest_flags(i.bars, P).select("ticker", "date", "ghost"),
+    "stuck_flag": lambda i: latest_flags(i.bars, P).select(
         "ticker", "date", "stuck", "flat_idle"
     ),
-    "screen": lambda i: screen(_judged_latest(i), P).select(
+    "screen": lambda i: screen(latest_flags(i.bars, P), P).select(
         "ticker", "date", "volume", "status", "message"
     ),
     "penny_trap": lambda i: drop_penny_traps(_judged_latest(i), P).select(
         "ticker", "date", "close", "price_change_pct", "paid_up_capital"
     ),
-    "idle_floor": lambda i: drop_idle_floor(latest_indicators(i.bars, P)).select(
+    "idle_floor": lambda i: drop_idle_floor(latest_flags(i.idle_bars, P)).select(
         "ticker", "date", "close", "volume"
     ),
     "category_screen": lambda i: drop_category(
@@ -237,10 +314,17 @@ _QUERIES: dict[str, Query] = {
     "delete_tickers": lambda i: store.delete_tickers(i.bars, i.lacking),
     "increment_range": lambda i: increments.in_range(i.increment, OLD_UNTIL, TODAY),
     "high_water": _high_water,
+    "reload_meta": _reload_meta,
+    "smart_update": lambda i: _smart(i).bars,
+    "smart_update_outcome": lambda i: _smart(i).outcome,
+    "upsert_duplicates": _upsert_duplicates,
+    "vendor_a": _vendor_a,
+    "failed_tickers": lambda i: increments.failed_tickers(increments.delivery(i.caps, _delivered(i))),
     "delivery": lambda i: increments.delivery(i.caps, _delivered(i)),
-    "load_status": lambda i: increments.delivery_stats(i.caps, _delivered(i), P),
+    "load_status": lambda i: increments.delivery_stats(increments.delivery(i.caps, _delivered(i)), P),
     # positions
     "position_add": _position_add,
+    "trades_refused": _trades_refused,
     "position_update": _position_update,
     "position_remove": _position_remove,
     "position_stops": lambda i: positions_with_stops(i.positions, P),
@@ -255,6 +339,9 @@ _QUERIES: dict[str, Query] = {
     "sell_signals": lambda i: pos.sell_signals(i.positions, i.bars, P),
     "portfolio_summary": lambda i: pos.portfolio_summary(i.positions, i.bars, P),
     # extensions
+    "adjusted_signals": _adjusted_signals,
+    "one_ticker": _one_ticker,
+    "dashboard": _dashboard,
     "bonus_adjust": lambda i: adjust_for_bonus(i.bars, src.corp_actions(i.bars)),
     "backtest": lambda i: bt.backtest(i.history, P),
     "trade_quality": lambda i: bt.trade_quality(bt.backtest(i.history, P), P),

@@ -40,7 +40,7 @@ def top_wait(signals: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def _money(x: str | Column) -> Column:
-    return F.format_string("%.2f", x)
+    return fixed("%.2f", 2, F.col(x) if isinstance(x, str) else x)
 
 
 def _or_na(c: str, text: Column) -> Column:
@@ -76,7 +76,7 @@ def report_table(signals: DataFrame, p: Params = Params()) -> DataFrame:
         .otherwise("SKIP")
         .alias("action"),
     )
-    return global_rank(rows, "ticker", [F.desc("score"), F.asc("ticker")])
+    return global_rank(rows, [-F.col("score"), F.col("ticker")])
 
 
 def csv_rows(signals: DataFrame) -> DataFrame:

@@ -1,10 +1,10 @@
-"""Session settings and the one place that cuts lineage."""
+"""Session settings and the folder that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app: str = "volsignals", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,12 +38,3 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(shared)
         shared = sc.getCheckpointDir()
     return shared.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared = shared_folder(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
