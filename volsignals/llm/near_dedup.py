@@ -3,9 +3,11 @@
 For each of ``FUNCTIONS`` hash functions the two smallest of a text's five-word shingles are
 sampled, each shingle labelled with its occurrence number, and kept in the order in which they
 stand in the text: shared content in another order does not collide. Bands of ``ROWS`` such
-elements are bucket keys. In every bucket each text is paired with the bucket's smallest key; what
-a banded alignment confirms are links, and texts of one bucket that these do not connect are then
-paired among themselves, so that a group of copies costs as many alignments as it has texts.
+elements are bucket keys. In every bucket each text is aligned with the bucket's lead, the text
+that shares most buckets with others, such as the original of a group of copies: a group costs as
+many alignments as it has texts. Two texts of a bucket that its lead does not connect can only be
+near each other through shingles that the lead lacks, or where both hold enough of the lead's;
+pairs for which counting rules this out are never made, all others are aligned as well.
 
 Likeness of two texts: matched shingles of the best alignment against all shingles of both, each
 matched one once.
@@ -87,7 +89,7 @@ def bands(elements: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text), n_words and band keys of every row of ``docs``."""
+    """doc_id, key (of the text) and band keys of every row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +103,14 @@ def sketched(docs: DataFrame) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(full * width)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("key"), pa.array(np.diff(at), pa.int64()),
+                        part.column("doc_id"), part.column("key"),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    names=["doc_id", "key", "n_words", "bands"],
+                    names=["doc_id", "key", "bands"],
                 )
 
     rows = docs.select("doc_id", text_key().alias("key"), whole_text().alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, key string, n_words long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, key string, bands array<long>")
 
 
 def _matched(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -190,26 +192,81 @@ def _word_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("key", "text").mapInArrow(run, "key string, words binary")
 
 
-def _confirmed(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
-    """Pairs of keys (a, b) whose likeness reaches ``least``."""
+def _labelled(words: np.ndarray) -> np.ndarray:
+    """A text's shingles, repeated ones told apart by occurrence; sorted."""
+    h, _ = sh.shingles(words.astype(np.uint64), np.array([0, len(words)]))
+    with np.errstate(over="ignore"):
+        return np.sort(sh.mixed(h + occurrences(h, np.zeros(len(h), np.int64)) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _aligned(pairs: DataFrame, words: DataFrame, least: float, lead: bool) -> DataFrame:
+    """Likeness of each pair (a, b), 0 where it is surely below ``least``.
+
+    For pairs with a lead a also: shingles of b, those shared with a, and a part of those that a
+    lacks. Of the latter, the smallest by hash that are enough to meet any text that shares as
+    many as a likeness of ``least`` would need.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("words_a"), batch.column("words_b")
-            like = [
-                likeness(np.frombuffer(a[i].as_buffer(), "<u4"), np.frombuffer(b[i].as_buffer(), "<u4"), least)
-                for i in range(batch.num_rows)
-            ]
-            full = pa.array(np.array(like) >= least - 1e-12)
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(like, pa.float64())],
-                names=["a", "b", "likeness"],
-            )
-            yield out.filter(full)
+            out = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(c[i].as_buffer(), "<u4") for c in (a, b))
+                row = [likeness(x, y, least)]
+                if lead:
+                    own = _labelled(y)
+                    other = np.setdiff1d(own, _labelled(x), assume_unique=True)
+                    common = len(own) - len(other)
+                    must = max(1, int(np.ceil(least * len(own) - common - 1e-9)))
+                    row += [len(own), common, other[: max(0, len(other) - must + 1)].view(np.int64)]
+                out.append(row)
+            columns = [pa.array([r[0] for r in out], pa.float64())]
+            if lead:
+                columns += [pa.array([r[k] for r in out], pa.int64()) for k in (1, 2)]
+                columns.append(pa.array([r[3] for r in out], pa.list_(pa.int64())))
+            names = ["likeness", "n", "common", "lacked"][: len(columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", *names])
 
     first = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a")
     both = first.join(words.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
-    return both.mapInArrow(run, "a string, b string, likeness double")
+    schema = "a string, b string, likeness double" + (", n long, common long, lacked array<long>" if lead else "")
+    return both.mapInArrow(run, schema)
+
+
+def _unproven(tested: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Pairs of texts with a common lead that may yet be near each other, in different parts.
+
+    Both share with the lead ``common`` of their ``n`` shingles. What they share with each other
+    is at most the smaller ``common`` plus the shingles they share that the lead lacks.
+    """
+    at = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    known = tested.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+        F.col("a").alias("lead"), F.col("b").alias("key"), "n", "common", "lacked",
+        F.coalesce("root_b", "b").alias("part"),
+        (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("apart"),
+    )
+    known = stored(known, "omh-known")
+    apart = known.filter("apart")
+    known = known.join(stored(apart.select("lead").distinct(), "omh-leads"), "lead", "left_semi")
+    other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") if c in ("key", "part", "n", "common") else c for c in df.columns])
+    # through shingles that the lead lacks
+    lacked = lambda df: df.select("lead", "key", "part", F.explode("lacked").alias("shingle"))
+    through = stored(lacked(apart), "omh-lacked").join(
+        stored(other(lacked(known)), "omh-lacked"), ["lead", "shingle"]
+    )
+    # through the lead's own: for a text of so many shingles the other's number is bounded
+    most = F.floor(F.col("common") * (1 + least) / least - F.col("n") + 1e-9)
+    fewest = F.ceil(least * F.col("n") - 1e-9)
+    ranged = apart.filter(most >= fewest).withColumn("n_b", F.explode(F.sequence(fewest, most)))
+    held = other(known.select("lead", "key", "part", "n", "common"))
+    need = least * (F.col("n") + F.col("n_b")) / (1 + least) - 1e-9
+    direct = ranged.select("lead", "key", "part", "n", "n_b").join(held, ["lead", "n_b"]).filter(F.col("common_b") >= need)
+    pairs = [
+        df.filter("part != part_b").select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"))
+        for df in (through, direct)
+    ]
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -223,46 +280,28 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     sketch = stored(sketched(docs), "omh-sketch")
     texts = stored(
-        sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n_words").alias("n_words")),
-        "omh-texts",
+        sketch.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "omh-texts"
     )
-    banded = sketch.select("key", "n_words", F.posexplode("bands").alias("band", "bucket"))
+    banded = sketch.select("key", F.posexplode("bands").alias("band", "bucket"))
     buckets = banded.groupBy("band", "bucket").agg(
-        F.min(F.struct("key", "n_words")).alias("lead"), F.max("key").alias("last")
-    ).filter("lead.key != last")
-    buckets = stored(buckets.select("band", "bucket", "lead"), "omh-buckets")
+        F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")
+    ).filter("low != high")
+    buckets = stored(buckets.select("band", "bucket", "n"), "omh-buckets")
     members = stored(banded.join(buckets, ["band", "bucket"]).distinct(), "omh-members")
-    keys = members.select("key").distinct()
-    words = stored(_word_rows(docs, texts.join(keys, "key", "left_semi")).dropDuplicates(["key"]), "omh-words")
-
-    def near(a: str, b: str):
-        # shingles of both lengths cannot match better than this
-        n = [F.greatest(F.col(c) - (sh.SHINGLE - 1), F.lit(1)) for c in (a, b)]
-        return F.least(*n) >= least * F.greatest(*n) - 1e-9
-
-    led = members.filter((F.col("key") != F.col("lead.key")) & near("n_words", "lead.n_words"))
-    pairs = stored(led.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct(), "omh-pairs")
-    links = stored(_confirmed(pairs, words, least), "omh-links")
-    joined = components(links)
-
-    # texts of a bucket that are not connected yet: pairs across the parts
-    parts = members.join(joined, F.col("key") == F.col("node"), "left").select(
-        "band", "bucket", "key", "n_words", F.coalesce("root", "key").alias("part")
+    shared = stored(members.groupBy("key").agg(F.sum("n").alias("shared")), "omh-shared")
+    words = stored(_word_rows(docs, texts.join(shared, "key", "left_semi")).dropDuplicates(["key"]), "omh-words")
+    leads = members.join(shared, "key").groupBy("band", "bucket").agg(
+        F.max_by("key", F.struct("shared", "key")).alias("lead")
     )
-    parts = stored(parts, "omh-parts")
-    open_ = parts.groupBy("band", "bucket").agg(
-        F.min("part").alias("low"), F.max("part").alias("high")
-    ).filter("low != high").select("band", "bucket")
-    left = stored(parts.join(open_, ["band", "bucket"]), "omh-open")
-    right = left.select("band", "bucket", *[F.col(c).alias(f"{c}_b") for c in ("key", "n_words", "part")])
-    across = left.join(right, ["band", "bucket"]).filter(
-        (F.col("key") < F.col("key_b")) & (F.col("part") != F.col("part_b")) & near("n_words", "n_words_b")
-    )
-    more = across.select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "omh-pairs")
+    led = members.join(stored(leads, "omh-leads"), ["band", "bucket"]).filter(F.col("key") != F.col("lead"))
+    pairs = stored(led.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "omh-pairs")
+    tested = stored(_aligned(pairs, words, least, True), "omh-tested")
+    links = tested.filter(F.col("likeness") >= least - 1e-12).select("a", "b")
+    joined = components(links)
+    more = stored(_unproven(tested, joined, least), "omh-pairs")
     if not more.isEmpty():
-        found = stored(_confirmed(more, words, least), "omh-links")
-        joined = components(links.unionByName(found))
+        found = _aligned(more, words, least, False).filter(F.col("likeness") >= least - 1e-12)
+        joined = components(links.unionByName(stored(found.select("a", "b"), "omh-links")))
     rows = sketch.select("doc_id", "key").join(joined, F.col("key") == F.col("node"), "left").select(
         "doc_id", "key", F.coalesce("root", "key").alias("class_key")
     )
