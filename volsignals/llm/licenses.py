@@ -117,7 +117,7 @@ def scan(
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("cover").alias("score"),
         F.array_sort(
-            F.collect_list(F.struct("label", F.col("start").cast("long"), (F.col("end") + F.col("n")).cast("long").alias("end")))
+            F.collect_list(F.struct("label", F.col("start").cast("long").alias("start"), (F.col("end") + F.col("n")).cast("long").alias("end")))
         ).alias("spans"),
     ).select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_text"), *[
         "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
