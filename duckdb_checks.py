@@ -131,6 +131,20 @@ signals AS (
          open, high, low
   FROM scored WHERE from_end = 1 AND status = 'success')"""
 
+_CSV = """
+t AS (
+  SELECT CAST(l_suppkey AS BIGINT) AS tk, CAST(l_shipdate AS DATE) AS date, l_quantity AS q,
+         CAST(100 AS DOUBLE) + l_discount * CAST(100 AS DOUBLE) AS p,
+         row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem),
+u AS (SELECT *, row_number() OVER (PARTITION BY tk, date ORDER BY k DESC) AS n
+      FROM t WHERE tk % 11 <> 0 AND q <> 13),
+files AS (
+  SELECT concat('T', CAST(tk AS VARCHAR)) AS ticker,
+         CASE WHEN tk % 11 = 0 OR count(*) FILTER (q <> 13) = 0 THEN 'failed' ELSE 'success' END AS status,
+         CASE WHEN tk % 11 = 0 THEN 0 ELSE count(*) FILTER (q <> 13) END AS rows,
+         CASE WHEN tk % 11 = 0 THEN 0 ELSE count(*) FILTER (q = 13) END AS bad_dates
+  FROM t GROUP BY tk)"""
+
 SIGNAL_COLUMNS = (
     "ticker, status, date, close, volume, rvol, avg_volume_20, price_change_pct, sma_200, "
     "paid_up_capital, score, signal, reasons"
@@ -394,6 +408,14 @@ def oracle_sql() -> dict[str, str]:
               CAST(2 AS BIGINT) FROM inc"""),
         "vendor_a": _q(BARS, select=f"""SELECT ticker, {day}, {ohlcv}, 'bdshare' AS source,
             CAST(3 AS BIGINT) AS ingest_seq FROM bars"""),
+        "csv_lines": _q(_CSV, select="""SELECT concat('T', CAST(tk AS VARCHAR)) AS ticker,
+            CAST(date AS VARCHAR) AS date, p AS open, p AS high, p AS low, p AS close,
+            CAST(trunc(q) AS BIGINT) AS volume, 'adjusted_data' AS source, CAST(4 AS BIGINT) AS ingest_seq
+            FROM u WHERE n = 1"""),
+        "csv_files": _q(_CSV, select="SELECT ticker, status, rows, bad_dates FROM files"),
+        "csv_stats": _q(_CSV, select="""SELECT count(*) FILTER (status = 'success') AS success,
+            count(*) FILTER (status = 'failed') AS failed, CAST(0 AS BIGINT) AS skipped, count(*) AS total,
+            CAST(sum(bad_dates) AS BIGINT) AS bad_dates FROM files"""),
         "trades_refused": _q(BARS, POSITIONS, """held AS (SELECT ticker FROM positions
               WHERE ticker IN (SELECT ticker FROM caps WHERE paid_up_capital >= 0))""",
             """t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS turn FROM bars

@@ -105,3 +105,39 @@ def test_update_plans(spark):
     assert [r.ticker for r in gone.outcome.filter("NOT success").collect()] == ["A"]
     left = update.clear(held, meta, ["A", "B"])
     assert [r.ticker for r in left[0].collect()] == ["C"] == [r.ticker for r in left[1].collect()]
+
+
+def test_date_spellings(spark):
+    from volsignals.functions.numeric import clean_date
+
+    cases = {
+        "2024-1-5": (1, 5), "1/5/2024": (1, 5), "25/12/2023": None, "20240105": (1, 5), "Jan 5, 2024": (1, 5),
+        "2024-01-05T00:00:00Z": (1, 5), "2024/01/05 10:00": (1, 5), "05-01-2024": (1, 5), "5-Jan-2024": (1, 5),
+        "2024-13-01": None, "2024-02-30": None, "soon": None, "": None, None: None, "99999999": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t STRING")
+    got = {r.t: r.d and (r.d.month, r.d.day) for r in df.select("t", clean_date(F.col("t")).alias("d")).collect()}
+    assert got == cases
+    day = df.select("t", clean_date(F.col("t"), day_first=F.lit(True)).alias("d")).filter("t LIKE '%/%/____'")
+    assert {r.t: str(r.d) for r in day.collect()} == {"1/5/2024": "2024-05-01", "25/12/2023": "2023-12-25"}
+
+
+def test_day_order_is_chosen_per_file(spark, tmp_path):
+    from volsignals.sources import csv_files
+
+    head = "Date,Open,High,Low,Close,Volume"
+    row = lambda d: f"{d},1,1,1,1,5"
+    (tmp_path / "A_data.csv").write_text("\n".join([head, row("05/12/2023"), row("25/12/2023")]))
+    (tmp_path / "B_data.csv").write_text("\n".join([head, row("05/12/2023"), row("12/25/2023"), row("oops")]))
+    load = csv_files.load_folder(spark, str(tmp_path), 1)
+    got = {(r.ticker, str(r.date)) for r in load.bars.collect()}
+    assert got == {("A", "2023-12-05"), ("A", "2023-12-25"), ("B", "2023-05-12"), ("B", "2023-12-25")}
+    assert tuple(csv_files.load_stats(load.files).first()) == (2, 0, 0, 2, 1)
+
+
+def test_missing_folder_gives_zeros(spark, tmp_path):
+    from volsignals.sources import csv_files
+
+    load = csv_files.load_folder(spark, str(tmp_path / "none"), 1)
+    assert load.bars.count() == 0
+    assert tuple(csv_files.load_stats(load.files).first()) == (0, 0, 0, 0, 0)

@@ -63,13 +63,13 @@ def test_folder(spark, folder):
         "GOOD": ("success", 4), "SWAP": ("success", 1), "OTHER": ("success", 1),
         "LACK": ("failed", 0), "JUNK": ("failed", 0), "EMPTY": ("failed", 0),
     }
-    assert tuple(csv_files.load_stats(load.files).first()) == (3, 3, 0, 6)
+    assert tuple(csv_files.load_stats(load.files).first())[:4] == (3, 3, 0, 6)
 
 
 def test_folder_with_ticker_list_and_thousands(spark, folder):
     load = csv_files.load_folder(spark, folder, 1, only=["OTHER", "LACK"], thousands=True)
     assert rows(load.bars) == [("OTHER", "2024-02-01", 1000.5, 1.0, 1.0, 1.0, 2000)]
-    assert tuple(csv_files.load_stats(load.files).first()) == (1, 1, 4, 6)
+    assert tuple(csv_files.load_stats(load.files).first())[:4] == (1, 1, 4, 6)
 
 
 def test_uniform_reader(spark, folder):
@@ -282,7 +282,9 @@ def test_small_increment_does_not_shuffle_history(spark, tmp_path):
     canonical(spark, ("A", 1, 9.0, "y", 2)).write.parquet(inc)
     new = spark.read.parquet(inc)
     p = store.upsert(spark.read.parquet(path), new)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in p and "LeftAnti" in p and "Exchange hashpartitioning" not in p
+    assert "BroadcastHashJoin" in p
+    history = p[p.index("LeftAnti") :]
+    assert "Exchange" not in history[: history.index("BroadcastExchange")]
 
 
 def test_large_increment_is_joined_by_sort_merge(spark, tmp_path):

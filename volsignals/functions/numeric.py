@@ -67,19 +67,46 @@ def clean_volume(text: Column, thousands: bool = False) -> Column:
     return F.coalesce(clean_number(text, thousands).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-# fixed values: date formats tried in this order when the text is not an ISO date
+# fixed values: patterns of dates with a named month
 DATE_FORMATS = (
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MM-yyyy",
-    "dd-MMM-yyyy",
+    "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMMM-yyyy",
 )
-_ISO = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
+_TIME = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?$"
+_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
+_YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})" + _TIME
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
 
 
-def clean_date(text: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Text to date; NULL if it fits no format. ISO dates, with or without a time, take the
-    cast, which is much cheaper than a pattern; text without digits is not tried at all."""
+def _three(t: Column, pattern: str, year: int, month: int, day: int) -> Column:
+    part = lambda k: F.regexp_extract(t, pattern, k)
+    return F.concat_ws("-", part(year), part(month), part(day)).try_cast("date")
+
+
+def clean_date(
+    text: Column, formats: tuple[str, ...] = DATE_FORMATS, day_first: Column | None = None
+) -> Column:
+    """Text to date; NULL if it fits no spelling.
+
+    Years first or last, with hyphens, slashes or points, padded or not; eight digits; named
+    months by ``formats``. A time and a zone after the date are allowed and the date is taken as
+    written. Where the year is last, ``day_first`` says which comes first; without it, slashes
+    mean the month and hyphens and points the day. Text without digits is not tried at all.
+    """
+    t = F.trim(text)
+    if day_first is None:
+        day_first = ~t.contains("/")
+    last = F.when(day_first, _three(t, _YEAR_LAST, 3, 2, 1)).otherwise(_three(t, _YEAR_LAST, 3, 1, 2))
+    named = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
+    return (
+        F.when(t.rlike(_YEAR_FIRST), _three(t, _YEAR_FIRST, 1, 2, 3))
+        .when(t.rlike(_YEAR_LAST), last)
+        .when(t.rlike(_COMPACT), _three(t, _COMPACT, 1, 2, 3))
+        .when(t.rlike(r"\d"), named)
+    )
+
+
+def order_votes(text: Column) -> Column:
+    """1 for a date that can only have the day first, -1 for the month first, else 0."""
     t = F.trim(text)
-    other = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
-    return F.when(t.rlike(_ISO), t.try_cast("date")).when(t.rlike(r"\d"), other)
+    a, b = (F.regexp_extract(t, _YEAR_LAST, k).try_cast("int") for k in (1, 2))
+    return F.when((a > 12) & (b <= 12), 1).when((b > 12) & (a <= 12), -1).otherwise(0)

@@ -28,6 +28,7 @@ from volsignals.plans.analyze import analyze, latest_status, passing, signal_his
 from volsignals.plans.dashboard import dashboard, positions_with_stops
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
+from volsignals.sources.csv_files import load_lines, load_stats, ticker_of
 from volsignals.sources.vendors import from_vendor_b, vendor_a_bars
 from volsignals.streaming.ratchet import moving_peaks
 from volsignals.texts import VENDOR_B_SOURCE
@@ -253,6 +254,32 @@ def _clean_rows(i: _Inputs) -> DataFrame:
     return canonical(parse(from_vendor_b(raw)), VENDOR_B_SOURCE, 1, F.col("_order"))
 
 
+def _csv_lines(i: _Inputs):
+    """Every supplier's line items as the lines of a file, dates spelled in a way of its own.
+
+    Every eleventh file lacks a column; dates of quantity 13 are no dates.
+    """
+    tk = F.col("l_suppkey").cast("bigint")
+    day = F.col("l_shipdate").cast("date")
+    spelled = F.when(F.col("l_quantity") == 13, F.lit("soon"))
+    spellings = ["yyyy-MM-dd", "yyyy-M-d", "M/d/yyyy", "d/M/yyyy", "yyyyMMdd", "d-MMM-yyyy", "dd-MM-yyyy"]
+    for k, spelling in enumerate(spellings):
+        spelled = spelled.when(tk % len(spellings) == k, F.date_format(day, spelling))
+    price = (F.lit(100.0) + F.col("l_discount") * 100.0).cast("string")
+    file = F.concat(F.lit("file:/landing/T"), tk.cast("string"), F.lit("_data.csv"))
+    lines = src.table(i.spark, i.sf, "lineitem").select(
+        F.concat_ws(",", price, spelled, price, price, price, F.col("l_quantity").cast("string")).alias("value"),
+        file.alias("_file"), F.lit(0).alias("_block"), F.expr(src.LINE_ORDER).alias("_row"),
+    )
+    header = F.when(tk % 11 == 0, "Open,Date,High,Low,Close").otherwise("Open,Date,High,Low,Close,Volume")
+    heads = src.table(i.spark, i.sf, "lineitem").select(
+        header.alias("value"), file.alias("_file"), F.lit(0).alias("_block"), F.lit(-1).alias("_row")
+    ).distinct()
+    lines = heads.unionByName(lines)
+    files = heads.select("_file", ticker_of(F.col("_file")).alias("ticker"))
+    return load_lines(lines, files, 4)
+
+
 Query = Callable[[_Inputs], DataFrame]
 
 _QUERIES: dict[str, Query] = {
@@ -319,6 +346,9 @@ _QUERIES: dict[str, Query] = {
     "smart_update_outcome": lambda i: _smart(i).outcome,
     "upsert_duplicates": _upsert_duplicates,
     "vendor_a": _vendor_a,
+    "csv_lines": lambda i: _csv_lines(i).bars,
+    "csv_files": lambda i: _csv_lines(i).files.select("ticker", "status", "rows", "bad_dates"),
+    "csv_stats": lambda i: load_stats(_csv_lines(i).files),
     "failed_tickers": lambda i: increments.failed_tickers(increments.delivery(i.caps, _delivered(i))),
     "delivery": lambda i: increments.delivery(i.caps, _delivered(i)),
     "load_status": lambda i: increments.delivery_stats(increments.delivery(i.caps, _delivered(i)), P),

@@ -28,15 +28,16 @@ def parse(
     df: DataFrame,
     thousands: bool = False,
     formats: tuple[str, ...] = DATE_FORMATS,
+    day_first: Column | None = None,
 ) -> DataFrame:
     """Typed columns from the six named ones; bad dates and prices become NULL, bad volumes 0.
-    Other columns are kept."""
+    Other columns are kept. ``day_first`` tells how dates with the year last are read."""
     require_columns(df)
     text = lambda c: F.col(c).cast("string")
     others = [c for c in df.columns if c not in REQUIRED]
     return df.select(
         *others,
-        clean_date(text("Date"), formats).alias("date"),
+        clean_date(text("Date"), formats, day_first).alias("date"),
         *[clean_number(text(c.capitalize()), thousands).alias(c) for c in PRICES],
         clean_volume(text("Volume"), thousands).alias("volume"),
     )

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.functions.numeric import DATE_FORMATS, clean_number
+from volsignals.functions.numeric import DATE_FORMATS, clean_number, order_votes
 from volsignals.operators.store import keep_last
-from volsignals.schema import PRICES
+from volsignals.schema import BARS, PRICES
 from volsignals.sources.cleaning import REQUIRED, canonical, parse
 from volsignals.texts import CSV_SOURCE
 
@@ -60,7 +61,7 @@ def read_uniform(
 @dataclass(frozen=True)
 class Load:
     bars: DataFrame  # clean bars of the accepted files
-    files: DataFrame  # file, ticker, status, rows
+    files: DataFrame  # file, ticker, status, rows, bad_dates
 
 
 def _lines(spark: SparkSession, glob: str) -> DataFrame:
@@ -83,26 +84,49 @@ def load_folder(
 ) -> Load:
     """Every ``*.csv`` of a folder, columns taken by name from each file's own header.
 
-    First pass: the first line of every file, a map-side combined aggregation with one row per
-    file. Second pass: every line is parsed by position and its six fields picked through the
-    header of its file. A file that lacks a column is rejected alone. The header line itself
-    needs no special care: its date does not parse.
+    A folder that is missing or has no such file gives no bars and no files.
     """
     glob = f"{folder}/*.csv"
-    # the listing the scan works from; unlike its rows, it has the empty files too
-    listed = [(uri,) for uri in spark.read.text(glob).inputFiles()]
+    try:
+        # The names in the scan's own file index, which the driver holds in any case. Unlike a
+        # scan's rows, they include the empty files.
+        listed = [(uri,) for uri in spark.read.text(glob).inputFiles()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        none = "file STRING, ticker STRING, status STRING, rows BIGINT, bad_dates BIGINT"
+        return Load(spark.createDataFrame([], BARS), spark.createDataFrame([], none))
     files = spark.createDataFrame(listed, "_file STRING").withColumn("ticker", ticker_of(F.col("_file")))
+    return load_lines(_lines(spark, glob), files, ingest_seq, only, source, thousands, formats)
+
+
+def load_lines(
+    lines: DataFrame,
+    files: DataFrame,
+    ingest_seq: int,
+    only: list[str] | None = None,
+    source: str = CSV_SOURCE,
+    thousands: bool = False,
+    formats: tuple[str, ...] = DATE_FORMATS,
+) -> Load:
+    """The same from ``lines`` (value, _file, _block, _row) of ``files`` (_file, ticker).
+
+    First pass: the first line of every file, a map-side combined aggregation with one row per
+    file. Second pass: every line is parsed by position and its six fields picked through the
+    header of its file. A file that lacks a column is rejected alone. Whether days or months come
+    first where the year is last is chosen per file, by the dates that can only be read one way;
+    months, where there is none. The header line itself needs no special care: its date does not
+    parse. Dates that do not parse are counted in ``files``.
+    """
     wanted = F.lit(True) if only is None else F.col("ticker").isin(list(only))
     files = files.withColumn("_wanted", wanted)
-    names = F.split(F.regexp_replace(F.regexp_replace("_header", "^﻿", ""), '"', ""), ",")
+    names = F.split(F.regexp_replace(F.regexp_replace("_header", "^\ufeff", ""), '"', ""), ",")
     headers = (
-        _lines(spark, glob)
-        .filter("_block = 0")
+        lines.filter("_block = 0")
         .groupBy("_file")
         .agg(F.min_by("value", "_row").alias("_header"))
         .select("_file", names.alias("_names"))
     )
-    width = headers.agg(F.max(F.size("_names"))).first()[0] or len(REQUIRED)
     place = {c: F.array_position("_names", c).cast("int") for c in REQUIRED}
     usable = F.lit(True)
     for c in REQUIRED:
@@ -113,10 +137,12 @@ def load_folder(
         .withColumn("_place", F.struct(*[place[c].alias(c) for c in REQUIRED]))
     )
     accepted = plan.filter("_wanted AND _usable").select("_file", "ticker", "_place")
+    # the last field that an accepted file needs; others may be as wide as they like
+    width = accepted.agg(F.max(F.greatest(*[F.col(f"_place.{c}") for c in REQUIRED]))).first()[0]
+    width = width or len(REQUIRED)
     fields = F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(width)))
     picked = (
-        _lines(spark, glob)
-        .join(accepted, "_file")
+        lines.join(accepted, "_file")
         .withColumn("_fields", fields)
         .withColumn("_cells", F.array(*[F.col(f"_fields.c{i}") for i in range(width)]))
         .select(
@@ -124,10 +150,23 @@ def load_folder(
             *[F.try_element_at("_cells", F.col(f"_place.{c}")).alias(c) for c in REQUIRED],
         )
     )
-    parsed = parse(picked, thousands, formats)
+    votes = picked.groupBy("_file").agg(
+        F.count_if(order_votes(F.col("Date")) > 0).alias("_day"),
+        F.count_if(order_votes(F.col("Date")) < 0).alias("_month"),
+        F.count_if(F.trim("Date").rlike(r"^\d{1,2}/")).alias("_slashes"),
+    )
+    # hyphens mean the day first unless the file says otherwise, slashes the month
+    day = F.when(F.col("_day") != F.col("_month"), F.col("_day") > F.col("_month")).otherwise(F.col("_slashes") == 0)
+    ordered = picked.join(votes.select("_file", day.alias("_day_first")), "_file")
+    parsed = parse(ordered.withColumn("_text", F.col("Date")), thousands, formats, F.col("_day_first"))
     bars = canonical(parsed, source, ingest_seq, _order())
     good = F.col("date").isNotNull() & F.coalesce(*PRICES).isNotNull()
-    rows = parsed.filter(good).groupBy("_file").agg(F.count(F.lit(1)).alias("rows"))
+    # a header or a blank is no date that failed
+    failed = F.col("date").isNull() & (F.trim("_text") != "") & (F.trim("_text") != "Date")
+    rows = parsed.groupBy("_file").agg(
+        F.count_if(good).alias("rows"), F.count_if(failed).alias("bad_dates")
+    )
+    zero = F.lit(0).cast("bigint")
     status = (
         plan.select("_file", "ticker", "_wanted")
         .join(rows, "_file", "left")
@@ -138,16 +177,20 @@ def load_folder(
             .when(F.col("rows") > 0, "success")
             .otherwise("failed")
             .alias("status"),
-            F.coalesce("rows", F.lit(0).cast("bigint")).alias("rows"),
+            F.coalesce("rows", zero).alias("rows"),
+            F.coalesce("bad_dates", zero).alias("bad_dates"),
         )
     )
     return Load(bars, status)
 
 
 def load_stats(files: DataFrame) -> DataFrame:
-    """One row of file counts."""
+    """One row of file counts, and how many rows were dropped for their date."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return files.agg(n("success"), n("failed"), n("skipped"), F.count(F.lit(1)).alias("total"))
+    return files.agg(
+        n("success"), n("failed"), n("skipped"), F.count(F.lit(1)).alias("total"),
+        F.coalesce(F.sum("bad_dates"), F.lit(0).cast("bigint")).alias("bad_dates"),
+    )
 
 
 def read_fundamentals(spark: SparkSession, path: str) -> DataFrame:
