@@ -5,9 +5,10 @@ sampled, each shingle labelled with its occurrence number, and kept in the order
 stand in the text: shared content in another order does not collide. Bands of ``ROWS`` such
 elements are bucket keys. In every bucket each text is aligned with the bucket's lead, the text
 that shares most buckets with others, such as the original of a group of copies: a group costs as
-many alignments as it has texts. Two texts of a bucket that its lead does not connect can only be
-near each other through shingles that the lead lacks, or where both hold enough of the lead's;
-pairs for which counting rules this out are never made, all others are aligned as well.
+many alignments as it has texts. Texts that this leaves apart from their lead are then compared
+with all texts of the same lead, a task a pair of blocks: shared shingles are counted by matrix
+products, and only pairs that share enough and are not connected yet are aligned. Tasks return
+links that join parts, never the pairs.
 
 Likeness of two texts: matched shingles of the best alignment against all shingles of both, each
 matched one once.
@@ -19,18 +20,21 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from volsignals.llm import shingles as sh
-from volsignals.llm.common import row_slices, stored, text_key, utf8, whole_text
+from volsignals.llm.common import row_slices, stored, text_key, utf8, whole_text, width
 from volsignals.llm.components import components
 
 SIMILARITY = 0.8
 FUNCTIONS, ROWS = 28, 2
 #: Match points per shingle beyond which the alignment goes by whole rows instead of points.
 DENSE = 16
+#: Texts of a block, and shingles of one matrix product.
+BLOCK, COLUMNS = 256, 4096
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = sh.mixed(np.arange(1, FUNCTIONS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -199,74 +203,104 @@ def _labelled(words: np.ndarray) -> np.ndarray:
         return np.sort(sh.mixed(h + occurrences(h, np.zeros(len(h), np.int64)) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _aligned(pairs: DataFrame, words: DataFrame, least: float, lead: bool) -> DataFrame:
-    """Likeness of each pair (a, b), 0 where it is surely below ``least``.
+def _words_of(cell) -> np.ndarray:
+    return np.frombuffer(cell, "<u4")
 
-    For pairs with a lead a also: shingles of b, those shared with a, and a part of those that a
-    lacks. Of the latter, the smallest by hash that are enough to meet any text that shares as
-    many as a likeness of ``least`` would need.
-    """
+
+def _aligned(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Likeness of each pair (a, b), 0 where it is surely below ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("words_a"), batch.column("words_b")
-            out = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(c[i].as_buffer(), "<u4") for c in (a, b))
-                row = [likeness(x, y, least)]
-                if lead:
-                    own = _labelled(y)
-                    other = np.setdiff1d(own, _labelled(x), assume_unique=True)
-                    common = len(own) - len(other)
-                    must = max(1, int(np.ceil(least * len(own) - common - 1e-9)))
-                    row += [len(own), common, other[: max(0, len(other) - must + 1)].view(np.int64)]
-                out.append(row)
-            columns = [pa.array([r[0] for r in out], pa.float64())]
-            if lead:
-                columns += [pa.array([r[k] for r in out], pa.int64()) for k in (1, 2)]
-                columns.append(pa.array([r[3] for r in out], pa.list_(pa.int64())))
-            names = ["likeness", "n", "common", "lacked"][: len(columns)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", *names])
+            like = [likeness(_words_of(a[i].as_buffer()), _words_of(b[i].as_buffer()), least) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(like, pa.float64())], names=["a", "b", "likeness"]
+            )
 
     first = pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a")
     both = first.join(words.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
-    schema = "a string, b string, likeness double" + (", n long, common long, lacked array<long>" if lead else "")
-    return both.mapInArrow(run, schema)
-
+    return both.mapInArrow(run, "a string, b string, likeness double")
+
+
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Number of shingles that each x shares with each y, by products of 0/1 matrices."""
+    flat = np.concatenate([*xs, *ys])
+    _, column, n = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(xs) + len(ys)), [len(v) for v in [*xs, *ys]])
+    often = n[column] > 1
+    row, column = row[often], (np.cumsum(n > 1) - 1)[column[often]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        own = slice(*np.searchsorted(column, [low, low + COLUMNS]))
+        m = np.zeros((len(xs) + len(ys), COLUMNS), np.float32)
+        m[row[own], column[own] - low] = 1
+        out += m[: len(xs)] @ m[len(xs) :].T
+    return out
 
-def _unproven(tested: DataFrame, parts: DataFrame, least: float) -> DataFrame:
-    """Pairs of texts with a common lead that may yet be near each other, in different parts.
 
-    Both share with the lead ``common`` of their ``n`` shingles. What they share with each other
-    is at most the smaller ``common`` plus the shingles they share that the lead lacks.
-    """
+def _joining(least: float):
+    """Links between different parts among a block of texts and another one of the same lead."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "key"]).reset_index(drop=True)
+        n = int((pdf["side"] == 0).sum())
+        words = [_words_of(w) for w in pdf["words"]]
+        keys, parts = pdf["key"].tolist(), pdf["part"].tolist()
+        out: list[tuple[str, str]] = []
+        if 0 < n < len(words):
+            own = [_labelled(w) for w in words]
+            size = np.array([len(v) for v in own])
+            need = least * (size[:n, None] + size[None, n:]) / (1 + least) - 1e-9
+            shared = shared_counts(own[:n], own[n:])
+            number = {p: k for k, p in enumerate(dict.fromkeys(parts))}
+            part = np.array([number[p] for p in parts])
+            a, b = np.nonzero((shared >= need) & (part[:n, None] != part[None, n:]))
+            root = list(range(len(number)))
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            for k in np.argsort(-(shared - need)[a, b], kind="stable").tolist():
+                i, j = int(a[k]), int(b[k]) + n
+                p, q = find(int(part[i])), find(int(part[j]))
+                if p != q and likeness(words[i], words[j], least) >= least - 1e-12:
+                    root[p] = q
+                    out.append((keys[i], keys[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _links_apart(pairs: DataFrame, parts: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Links among texts with a common lead that join parts which their lead has not joined."""
+    spark = pairs.sparkSession
     at = lambda c: parts.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    known = tested.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
-        F.col("a").alias("lead"), F.col("b").alias("key"), "n", "common", "lacked",
-        F.coalesce("root_b", "b").alias("part"),
-        (F.coalesce("root_b", "b") != F.coalesce("root_a", "a")).alias("apart"),
-    )
-    known = stored(known, "omh-known")
-    apart = known.filter("apart")
-    known = known.join(stored(apart.select("lead").distinct(), "omh-leads"), "lead", "left_semi")
-    other = lambda df: df.select(*[F.col(c).alias(f"{c}_b") if c in ("key", "part", "n", "common") else c for c in df.columns])
-    # through shingles that the lead lacks
-    lacked = lambda df: df.select("lead", "key", "part", F.explode("lacked").alias("shingle"))
-    through = stored(lacked(apart), "omh-lacked").join(
-        stored(other(lacked(known)), "omh-lacked"), ["lead", "shingle"]
+    part = F.coalesce("root_b", "b")
+    known = stored(
+        pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select(
+            F.col("a").alias("lead"), F.col("b").alias("key"), part.alias("part"),
+            (part != F.coalesce("root_a", "a")).alias("apart"),
+        ),
+        "omh-known",
     )
-    # through the lead's own: for a text of so many shingles the other's number is bounded
-    most = F.floor(F.col("common") * (1 + least) / least - F.col("n") + 1e-9)
-    fewest = F.ceil(least * F.col("n") - 1e-9)
-    ranged = apart.filter(most >= fewest).withColumn("n_b", F.explode(F.sequence(fewest, most)))
-    held = other(known.select("lead", "key", "part", "n", "common"))
-    need = least * (F.col("n") + F.col("n_b")) / (1 + least) - 1e-9
-    direct = ranged.select("lead", "key", "part", "n", "n_b").join(held, ["lead", "n_b"]).filter(F.col("common_b") >= need)
-    pairs = [
-        df.filter("part != part_b").select(F.least("key", "key_b").alias("a"), F.greatest("key", "key_b").alias("b"))
-        for df in (through, direct)
-    ]
-    return pairs[0].unionByName(pairs[1]).distinct()
+    # texts apart from their lead meet all texts of that lead
+    sizes = known.groupBy("lead").agg(F.count_if("apart").alias("nx"), F.count(F.lit(1)).alias("ny"))
+    sizes = stored(sizes.filter("nx > 0 AND ny > 1"), "omh-sizes")
+    known = known.join(sizes, "lead")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("key"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    left = known.filter("apart").select("key", "part", "lead", F.lit(0).alias("side"), mine("nx").alias("i"), every("ny").alias("j"))
+    right = known.select("key", "part", "lead", F.lit(1).alias("side"), every("nx").alias("i"), mine("ny").alias("j"))
+    rows = stored(left.unionByName(right), "omh-blocks").join(words, "key")
+    dealt = rows.repartition(width(spark), "lead", "i", "j")
+    return dealt.groupBy("lead", "i", "j").applyInPandas(_joining(least), "a string, b string")
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -295,13 +329,12 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
     led = members.join(stored(leads, "omh-leads"), ["band", "bucket"]).filter(F.col("key") != F.col("lead"))
     pairs = stored(led.select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct(), "omh-pairs")
-    tested = stored(_aligned(pairs, words, least, True), "omh-tested")
-    links = tested.filter(F.col("likeness") >= least - 1e-12).select("a", "b")
+    links = _aligned(pairs, words, least).filter(F.col("likeness") >= least - 1e-12).select("a", "b")
+    links = stored(links, "omh-links")
     joined = components(links)
-    more = stored(_unproven(tested, joined, least), "omh-pairs")
+    more = stored(_links_apart(pairs, joined, words, least), "omh-links")
     if not more.isEmpty():
-        found = _aligned(more, words, least, False).filter(F.col("likeness") >= least - 1e-12)
-        joined = components(links.unionByName(stored(found.select("a", "b"), "omh-links")))
+        joined = components(links.unionByName(more))
     rows = sketch.select("doc_id", "key").join(joined, F.col("key") == F.col("node"), "left").select(
         "doc_id", "key", F.coalesce("root", "key").alias("class_key")
     )
