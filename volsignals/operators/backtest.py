@@ -21,10 +21,11 @@ TRADE = ["ticker", "entry_no", "entry_date", "entry_price"]
 def trade_paths(history: DataFrame, p: Params = Params()) -> DataFrame:
     """Each entry with its own bar and the bars of its horizon, and the rule each bar meets.
 
-    Every bar looks back over ``hold_bars`` rows for entries still running and is repeated for
-    each. That takes the ticker window the history already has and no join, so the rows are
-    neither read nor shuffled a second time; grouping by (ticker, entry) afterwards is covered
-    by the same partitioning.
+    One running maximum finds each bar's last entry, and bars beyond its horizon go. The others
+    look back over ``hold_bars`` bars for entries still running and are repeated for each. That
+    takes the ticker partitioning the history already has and no join, so the rows are neither
+    read nor shuffled a second time; grouping by (ticker, entry) afterwards is covered by it too.
+    A ticker's bars, at most one per day, times the entries that run at once stay in one task.
     """
     w = Window.partitionBy("ticker").orderBy("date")
     enters = (
@@ -38,9 +39,13 @@ def trade_paths(history: DataFrame, p: Params = Params()) -> DataFrame:
             F.col("close").alias("entry_price"),
         ),
     )
-    running = F.collect_list("_entry").over(w.rowsBetween(-p.hold_bars, 0))
+    last = F.max("_entry.entry_no").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    by_no = Window.partitionBy("ticker").orderBy("bar_no")
+    running = F.collect_list("_entry").over(by_no.rangeBetween(-p.hold_bars, 0))
     bars = (
         history.select("ticker", "bar_no", "date", "close", entry.alias("_entry"))
+        .withColumn("_near", F.col("bar_no") - last <= p.hold_bars)
+        .filter("_near")
         .withColumn("_running", running)
         .select("ticker", F.inline("_running"), "bar_no", "date", "close")
     )
