@@ -49,4 +49,36 @@ FROM r JOIN p USING (src)
 """
 )
 
-SQL = {"op3_source_mix": OP3}
+OP10 = r"""
+WITH a AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+n AS (
+  SELECT doc_id, i, line,
+         len(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w
+  FROM (SELECT doc_id, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM a)),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k,
+         sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS cum
+  FROM n WHERE w > 0),
+enough AS (
+  SELECT x.doc_id, x.k AS ka, y.k AS kb FROM f x JOIN f y
+  ON y.doc_id = x.doc_id AND y.k >= x.k AND y.cum - x.cum + x.w >= 10),
+win AS (
+  SELECT doc_id, ka, min(kb) AS kb FROM enough GROUP BY doc_id, ka
+  UNION SELECT doc_id, max(ka) AS ka, kb FROM enough GROUP BY doc_id, kb),
+runs AS (
+  SELECT v.doc_id, v.ka, v.kb, min(f.i) AS i0, max(f.i) AS i1,
+         string_agg(f.line, chr(10) ORDER BY f.i) AS content
+  FROM win v JOIN f ON f.doc_id = v.doc_id AND f.k BETWEEN v.ka AND v.kb GROUP BY v.doc_id, v.ka, v.kb),
+firsts AS (SELECT content, min(row(doc_id, i0)) AS earliest FROM runs GROUP BY content),
+gone AS (
+  SELECT DISTINCT r.doc_id, n.i FROM runs r JOIN firsts x ON x.content = r.content
+  JOIN n ON n.doc_id = r.doc_id AND n.i BETWEEN r.i0 AND r.i1
+  WHERE row(r.doc_id, r.i0) > x.earliest),
+kept AS (
+  SELECT n.doc_id, count(*) AS n_lines, count(g.i) AS n_removed,
+         coalesce(string_agg(n.line, chr(10) ORDER BY n.i) FILTER (g.i IS NULL), '') AS text
+  FROM n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id)
+SELECT doc_id, n_lines, n_removed, length(text) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
+"""
+
+SQL = {"op3_source_mix": OP3, "op10_line_dedup": OP10}
