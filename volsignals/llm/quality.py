@@ -224,7 +224,10 @@ def kept(docs: DataFrame, model: RuleModel) -> DataFrame:
     """The rows of ``docs`` that score ``KEEP_FROM`` or more, with the columns of ``docs``."""
     own = [f"_own{i}" for i in range(len(docs.columns))]
     columns = [F.col(f"`{c}`").alias(o) for c, o in zip(docs.columns, own, strict=True)]
-    good = measured(docs, F.col("text"), *columns).filter(model.column() >= KEEP_FROM)
+    # a generator keeps the optimizer from moving the filter, and with it a copy of every
+    # statistic for each of its uses, below the projection that computes them once
+    rated = measured(docs, F.col("text"), *columns).select(*own, F.explode(F.array(model.column())).alias("_score"))
+    good = rated.filter(F.col("_score") >= KEEP_FROM)
     return good.select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own, strict=True)])
 
 
