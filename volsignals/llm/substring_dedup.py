@@ -29,8 +29,9 @@ from volsignals.llm.common import dropped, maybe_in, release, row_slices, stored
 
 #: Batches of a table that comes at once.
 BATCHES = 4
-#: Different contexts of one prefix that a task compares; more go by single strings.
-HOT = 512
+#: Different contexts of one prefix that a task compares, 5 MB of bytes and 100 MB of hashes; more
+#: go by single strings, a row each, which any number of tasks share.
+HOT = 8192
 #: Contexts compared in one step.
 STEP_ROWS = 2048
 
