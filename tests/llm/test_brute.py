@@ -378,3 +378,28 @@ def test_op10_runs_of_short_lines(spark):
     rows = [(1, f"first of all this text\n{run}\nend"), (2, f"{run}"), (3, "one two three\nfour five six"), (4, f"x\n\n{run}\ny")]
     got = {r.doc_id: r.text for r in line_dedup.deduplicate(docs(spark, *rows)).collect()}
     assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "x\n\ny"}
+
+
+def _pairs_at(n, dims, cosine):
+    """n vectors and, for each, another one at the given cosine."""
+    rng = np.random.default_rng(0)
+    a, e = rng.standard_normal((2, n, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    return np.vstack([a, cosine * a + np.sqrt(1 - cosine**2) * e])
+
+
+@pytest.mark.parametrize("queries", [16384, 300, 32])
+def test_op8_visits_where_the_sample_has_no_links(spark, monkeypatch, queries):
+    monkeypatch.setattr(embeddings, "SAMPLE", 64)
+    monkeypatch.setattr(embeddings, "PER_CELL", 16)
+    monkeypatch.setattr(embeddings, "QUERIES", queries, raising=False)
+    monkeypatch.setattr(embeddings, "ENOUGH", 100, raising=False)
+    x = _pairs_at(2000, 16, 0.92)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    n = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    n = np.array([n[i] for i in range(len(x))])
+    assert (n <= near.sum(1)).all() and n.sum() >= 0.99 * near.sum()

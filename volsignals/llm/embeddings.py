@@ -3,8 +3,11 @@
 Each half of the unit vectors has a codebook of its own, fitted on a bounded sample; a vector's
 cell is its pair of nearest codewords in the product grid. A vector is compared with the members
 of the cells that the multi-sequence traversal of its two sorted codeword lists meets first. How
-many cells it visits is set on the sample, so that the target share of the sample's true links is
-met. Every pair met is verified by its cosine in double precision.
+many cells it visits is set on a bounded set of query vectors, whose true links among all vectors
+are found block by block: the target share of queries must meet the target share of their links.
+Where too few queries have links, probes at the limiting cosine count as well, and where a quarter
+of the cells would be visited all vectors are compared. Every pair met is verified by its cosine
+in double precision.
 
 Equal vectors are one row with a weight. A cell is compared block by block, a task a pair of
 blocks, so that no task holds a whole cell; tasks return link counts and a spanning forest, never
@@ -26,10 +29,14 @@ from volsignals.llm.common import stored, width
 from volsignals.llm.components import components
 
 COSINE = 0.9
-#: Vectors that codebooks and the number of visits are fitted on, and vectors per cell aimed at.
+#: Vectors that codebooks are fitted on, and vectors per cell aimed at.
 SAMPLE, PER_CELL = 8192, 64
-#: Codewords per half at most, rounds of fitting, share of the sample's links to be met.
+#: Codewords per half at most, rounds of fitting, share of queries and of each one's links to be met.
 MOST_WORDS, ROUNDS, RECALL = 256, 12, 0.9995
+#: Queries that the number of visits is set on, their bytes at most, linked ones that are enough.
+QUERIES, QUERY_BYTES, ENOUGH = 16384, 1 << 26, 1000
+#: Probes for each of so many queries where too few are linked.
+PROBES, PROBED = 4, 2048
 #: Vectors of a block.
 BLOCK = 512
 
@@ -85,43 +92,61 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Index:
     """Codebooks of both halves, and how many cells a vector visits."""
 
-    def __init__(self, sample: np.ndarray, n: int, cosine: float):
+    def __init__(self, sample: np.ndarray, n: int):
         self.half = sample.shape[1] // 2
         self.k = int(np.clip(np.sqrt(n / PER_CELL), 1, min(MOST_WORDS, len(sample))))
         self.words = [codebook(x, self.k, s) for s, x in enumerate(self._halves(sample))]
         self.visits = 1
-        self.visits = self._needed(sample, cosine)
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
 
-    def _needed(self, sample: np.ndarray, cosine: float) -> int:
-        """Cells to visit so that ``RECALL`` of the sample's links are met."""
-        d = [_distances(x, c) for x, c in zip(self._halves(sample), self.words, strict=True)]
-        cell = [x.argmin(1) for x in d]
-        second = np.sort(d[1], axis=1)
-        ranks = []
-        for at in range(0, len(sample), 1024):
-            a, b = np.nonzero(sample[at : at + 1024] @ sample.T >= cosine)
-            a += at
-            different = (cell[0][a] != cell[0][b]) | (cell[1][a] != cell[1][b])
-            met = int((~different).sum())
-            a, b = a[different], b[different]
-            to = d[0][a, cell[0][b]] + d[1][a, cell[1][b]]
-            # cells before that one in the traversal, by search in the sorted second list
-            n = np.zeros(len(a), np.int64)
-            for i in range(len(a)):
-                n[i] = np.searchsorted(second[a[i]], to[i] - d[0][a[i]], side="left").sum()
-            ranks += [n, np.zeros(met, np.int64)]
-        ranks = np.concatenate(ranks) if ranks else np.zeros(1, np.int64)
-        return int(np.quantile(ranks, RECALL, method="higher")) + 1 if len(ranks) else 1
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        return [_distances(h, c) for h, c in zip(self._halves(x), self.words, strict=True)]
+
+    def own(self, x: np.ndarray) -> np.ndarray:
+        d = self.distances(x)
+        return d[0].argmin(1) * self.k + d[1].argmin(1)
+
+    def ranks(self, one: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """How many cells the traversal of the vector ``one`` meets before each of ``cells``, ties all before."""
+        d = [x[0] for x in self.distances(one[None])]
+        sums = np.sort((d[0][:, None] + d[1]).ravel())
+        to = d[0][cells // self.k] + d[1][cells % self.k]
+        own = d[0].argmin() * self.k + d[1].argmin()
+        return np.where(cells == own, 0, np.searchsorted(sums, to + 1e-12, side="right") - 1)
+
+    def probed(self, queries: np.ndarray, cosine: float) -> int:
+        """Cells to visit so that ``RECALL`` of vectors at the limiting cosine are met.
+
+        Half of the probes lie off their query towards other queries, the others in any direction.
+        """
+        rng = np.random.default_rng(0)
+        ranks = [np.zeros(1, np.int64)]
+        for q in queries[:PROBED]:
+            to = rng.standard_normal((PROBES, len(q)))
+            to[: PROBES // 2] = queries[rng.integers(len(queries), size=PROBES // 2)]
+            to -= (to @ q)[:, None] * q
+            size = np.sqrt((to**2).sum(1, keepdims=True))
+            to = (to / np.where(size > 1e-9, size, 1))[size[:, 0] > 1e-9]
+            ranks.append(self.ranks(q, self.own(cosine * q + np.sqrt(max(0, 1 - cosine**2)) * to)))
+        return int(np.quantile(np.concatenate(ranks), RECALL, method="higher")) + 1
+
+    def fit_visits(self, needs: list[int], whole: bool, queries: np.ndarray, cosine: float) -> None:
+        """``needs``: the visits of each query that has links; ``whole``: every vector is a query."""
+        most = int(np.quantile(needs, RECALL, method="higher")) if needs else 1
+        if not whole and len(needs) < ENOUGH:
+            most = max(most, self.probed(queries, cosine))
+        if 4 * most >= self.k * self.k:  # all vectors as one cell: no more copies, and none is missed
+            self.k, self.words, most = 1, [w[:1] for w in self.words], 1
+        self.visits = most
 
     def traverse(self, x: np.ndarray) -> np.ndarray:
         """The first cells of each row in order of distance; its own cell comes first.
 
         The t-th nearest cell pairs ranks (i, j) with i * j <= t, so only those are tried.
         """
-        d = [_distances(h, c) for h, c in zip(self._halves(x), self.words, strict=True)]
+        d = self.distances(x)
         order = [np.argsort(h, axis=1, kind="stable") for h in d]
         near = [np.take_along_axis(h, o, 1) for h, o in zip(d, order, strict=True)]
         t = min(self.visits, self.k * self.k)
@@ -131,6 +156,45 @@ class Index:
         return order[0][np.arange(len(x))[:, None], i[pick]] * self.k + order[1][np.arange(len(x))[:, None], j[pick]]
 
 
+def _needs(distinct: DataFrame, index: Index, queries: np.ndarray, keys: list[str], cosine: float) -> list[int]:
+    """For each query that has links among all vectors, the visits that meet ``RECALL`` of them."""
+    dims, place = queries.shape[1], {k: i for i, k in enumerate(keys)}
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.filter(pa.array([len(u.as_buffer()) == 8 * dims for u in batch.column("unit")], pa.bool_()))
+            for at in range(0, rows.num_rows, 512):
+                part = rows.slice(at, 512)
+                x = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(-1, dims)
+                linked = x @ queries.T >= cosine
+                for i, key in enumerate(part.column("key").to_pylist()):
+                    if key in place:
+                        linked[i, place[key]] = False
+                seen = np.flatnonzero(linked.any(0))
+                if not len(seen):
+                    continue
+                own = index.own(x)
+                order = np.argsort(own, kind="stable")
+                cells, starts = np.unique(own[order], return_index=True)
+                n = np.add.reduceat(linked[:, seen][order], starts, axis=0, dtype=np.int64)
+                c, q = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seen[q], pa.int64()), pa.array(cells[c], pa.int64()), pa.array(n[c, q], pa.int64())],
+                    names=["query", "cell", "n"],
+                )
+
+    def need(pdf: pd.DataFrame) -> pd.DataFrame:
+        ranks = index.ranks(queries[int(pdf["query"].iloc[0])], pdf["cell"].to_numpy())
+        order = np.argsort(ranks, kind="stable")
+        met = pdf["n"].to_numpy()[order].cumsum()
+        enough = np.searchsorted(met, RECALL * met[-1] - 1e-9)
+        return pd.DataFrame({"need": [int(ranks[order][enough]) + 1]})
+
+    found = distinct.select("key", "unit").mapInArrow(links, "query long, cell long, n long")
+    found = found.groupBy("query", "cell").agg(F.sum("n").alias("n"))
+    return [r[0] for r in found.groupBy("query").applyInPandas(need, "need long").collect()]
+
+
 def _visited(distinct: DataFrame, index: Index, dims: int) -> DataFrame:
     """key, unit, weight, cell and the cells to visit, own cell first."""
 
@@ -225,16 +289,22 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("weight")),
         "vec-distinct",
     )
-    taken = [r[0] for r in distinct.select("unit", "key").orderBy("key").limit(SAMPLE).collect()]
+    taken = distinct.select("unit", "key").orderBy("key").limit(max(SAMPLE, QUERIES)).collect()
     own = rows.select("vec_id", "key")
     if not taken:
         return own.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
-    sizes = [len(t) for t in taken]
+    sizes = [len(t.unit) for t in taken]
     dims = max(set(sizes), key=lambda s: (sizes.count(s), s)) // 8
-    sample = np.frombuffer(b"".join(t for t in taken if len(t) == 8 * dims)).reshape(-1, dims)
-    index = Index(sample, distinct.count(), cosine)
+    taken = [t for t in taken if len(t.unit) == 8 * dims]
+    sample = np.frombuffer(b"".join(t.unit for t in taken)).reshape(-1, dims)
+    n = distinct.filter(F.octet_length("unit") == 8 * dims).count()
+    index = Index(sample[:SAMPLE], n)
+    if index.k > 1:
+        queries = sample[: max(1, min(QUERIES, QUERY_BYTES // (8 * dims)))]
+        needs = _needs(distinct, index, queries, [t.key for t in taken[: len(queries)]], cosine)
+        index.fit_visits(needs, len(queries) == n, queries, cosine)
     placed = stored(_visited(distinct, index, dims), "vec-placed")
     # members per cell: at most k * k rows, k <= MOST_WORDS
     blocks = {
