@@ -403,3 +403,31 @@ def test_op8_visits_where_the_sample_has_no_links(spark, monkeypatch, queries):
     n = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
     n = np.array([n[i] for i in range(len(x))])
     assert (n <= near.sum(1)).all() and n.sum() >= 0.99 * near.sum()
+
+
+def test_op8_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    monkeypatch.setattr(embeddings, "PER_CELL", 16)
+    monkeypatch.setattr(embeddings.Index, "fit_visits", lambda self, *_: setattr(self, "visits", 3))
+    plain = embeddings._compare
+
+    def bounded(*args):
+        compare = plain(*args)
+
+        def run(pdf):
+            assert len(pdf) <= 4 * 64, f"{len(pdf)} rows in one group"
+            return compare(pdf)
+
+        return run
+
+    monkeypatch.setattr(embeddings, "_compare", bounded)
+    rng = np.random.default_rng(0)
+    hot = np.eye(8)[[0] * 1500] + 0.02 * rng.standard_normal((1500, 8))
+    x = np.vstack([hot, rng.standard_normal((500, 8))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    n = np.array([got[i] for i in range(len(x))])
+    assert (n <= near.sum(1)).all() and (n[:1500] >= 1499).all()

@@ -37,8 +37,8 @@ MOST_WORDS, ROUNDS, RECALL = 256, 12, 0.9995
 QUERIES, QUERY_BYTES, ENOUGH = 16384, 1 << 26, 1000
 #: Probes for each of so many queries where too few are linked.
 PROBES, PROBED = 4, 2048
-#: Vectors of a block.
-BLOCK = 512
+#: Vectors of a block, and tasks of the comparison at most.
+BLOCK, MOST_TASKS = 512, 1 << 15
 
 
 def _vectors(vectors: DataFrame) -> DataFrame:
@@ -235,7 +235,7 @@ def _compare(cosine: float, dims: int):
         pdf = pdf.sort_values(["side", "key"]).reset_index(drop=True)
         x = np.frombuffer(b"".join(pdf["unit"])).reshape(-1, dims)
         side = pdf["side"].to_numpy()
-        own_cell = int(pdf["cell"].iloc[0])
+        own_cell, home = int(pdf["cell"].iloc[0]), pdf["home"].to_numpy()
         m = int((side == 0).sum())
         inner = pdf["diagonal"].iloc[0]
         if inner:  # one block with itself
@@ -246,12 +246,10 @@ def _compare(cosine: float, dims: int):
             linked = x[:m] @ x[m:].T >= cosine
             a, b = np.nonzero(linked)
             # a pair whose both ends visit each other's cell counts where the smaller cell visits
-            home = np.array([v[0] for v in pdf["visits"][m:]], np.int64) if m < len(x) else np.zeros(0, np.int64)
-            foreign = home[b] != own_cell
+            foreign = home[m:][b] > own_cell
             if foreign.any():
-                lists = pdf["visits"].to_list()
-                both = np.array([f and home[k] in lists[i] for i, k, f in zip(a, b, foreign)], bool)
-                drop = both & (home[b] > own_cell)
+                lists = {i: set(pdf["visits"].iloc[i]) for i in np.unique(a[foreign])}
+                drop = np.array([f and home[m + k] in lists[i] for i, k, f in zip(a, b, foreign)], bool)
                 linked[a[drop], b[drop]] = False
                 a, b = a[~drop], b[~drop]
             top = m
@@ -306,12 +304,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         needs = _needs(distinct, index, queries, [t.key for t in taken[: len(queries)]], cosine)
         index.fit_visits(needs, len(queries) == n, queries, cosine)
     placed = stored(_visited(distinct, index, dims), "vec-placed")
-    # members per cell: at most k * k rows, k <= MOST_WORDS
-    blocks = {
-        r[0]: -(-r[1] // BLOCK)
-        for r in placed.groupBy(F.col("visits")[0].alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-    full = spark.createDataFrame([(c, b) for c, b in blocks.items()], "cell long, blocks int")
+    # blocks of members and parts of visitors per cell: at most k * k rows, k <= MOST_WORDS
+    at = placed.select(F.posexplode("visits").alias("rank", "cell")).groupBy("cell").agg(
+        F.count_if(F.col("rank") == 0).alias("members"), F.count_if(F.col("rank") > 0).alias("visitors")
+    )
+    cells = [(r.cell, -(-r.members // BLOCK), -(-r.visitors // BLOCK)) for r in at.filter("members > 0").collect()]
+    full = spark.createDataFrame(cells, "cell long, blocks int, parts int")
     block = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
     visits = placed.select("*", F.posexplode("visits").alias("rank", "cell")).join(F.broadcast(full), "cell")
     mine = (block % F.col("blocks")).cast("int")
@@ -324,8 +322,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             F.when(mine <= j, 0).otherwise(1).alias("side"), (mine == j).alias("diagonal"), F.lit(0).alias("kind"),
         ),
     )
-    # a visitor meets every block of the cell; visitors are cut into parts of their own
-    part = (block / F.lit(7)).cast("long") % F.greatest(F.col("blocks"), F.lit(1))
+    # a visitor meets every block of the cell; visitors are cut into parts of their own number
+    part = (block / F.lit(7)).cast("long") % F.col("parts")
     visitor = F.transform(
         each,
         lambda j: F.struct(
@@ -333,7 +331,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         ),
     )
     host = F.transform(
-        each,
+        F.when(F.col("parts") > 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array().cast("array<int>")),
         lambda j: F.struct(
             mine.alias("left"), j.alias("right"), F.lit(0).alias("side"), F.lit(False).alias("diagonal"), F.lit(1).alias("kind"),
         ),
@@ -341,7 +339,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     dealt = visits.withColumn(
         "to", F.explode(F.when(F.col("rank") == 0, F.concat(member, host)).otherwise(visitor))
     ).select("key", "unit", "weight", "visits", "cell", "to.*")
-    tasks = dealt.repartition(max(width(spark), len(blocks) // 16), "cell", "kind", "left", "right")
+    # only hosts of visitors are asked what they visit; of the others their own cell is enough
+    dealt = dealt.withColumn("home", F.col("visits")[0]).withColumn(
+        "visits", F.when((F.col("kind") == 1) & (F.col("side") == 0), F.col("visits"))
+    )
+    groups = sum(b * (b + 1) // 2 + b * p for _, b, p in cells)
+    tasks = dealt.repartition(max(width(spark), min(groups // 32, MOST_TASKS)), "cell", "kind", "left", "right")
     found = tasks.groupBy("cell", "kind", "left", "right").applyInPandas(
         _compare(cosine, dims), "key string, n long, root string"
     )
