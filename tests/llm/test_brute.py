@@ -431,3 +431,17 @@ def test_op8_groups_are_bounded(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
     n = np.array([got[i] for i in range(len(x))])
     assert (n <= near.sum(1)).all() and (n[:1500] >= 1499).all()
+
+
+def test_op8_links_vectors_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PER_CELL", 16)
+    sets = [_pairs_at(300, 16, 0.95), _pairs_at(100, 12, 0.95), _pairs_at(1, 6, 0.95), np.ones((1, 3))]
+    rows = [v.tolist() for x in sets for v in x]
+    want = []
+    for x in sets:
+        near = x @ x.T / np.outer(*2 * [np.linalg.norm(x, axis=1)]) >= 0.9
+        want += (near.sum(1) - 1).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
+    assert [got[i] for i in range(600, len(rows))] == want[600:]
+    assert sum(got.values()) >= 0.999 * sum(want)

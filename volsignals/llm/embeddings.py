@@ -90,7 +90,7 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Codebooks of both halves, and how many cells a vector visits."""
+    """Codebooks of both halves of vectors of one length, and how many cells a vector visits."""
 
     def __init__(self, sample: np.ndarray, n: int):
         self.half = sample.shape[1] // 2
@@ -162,9 +162,7 @@ def _needs(distinct: DataFrame, index: Index, queries: np.ndarray, keys: list[st
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.filter(pa.array([len(u.as_buffer()) == 8 * dims for u in batch.column("unit")], pa.bool_()))
-            for at in range(0, rows.num_rows, 512):
-                part = rows.slice(at, 512)
+            for _, part in _parts(batch):
                 x = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(-1, dims)
                 linked = x @ queries.T >= cosine
                 for i, key in enumerate(part.column("key").to_pylist()):
@@ -190,23 +188,35 @@ def _needs(distinct: DataFrame, index: Index, queries: np.ndarray, keys: list[st
         enough = np.searchsorted(met, RECALL * met[-1] - 1e-9)
         return pd.DataFrame({"need": [int(ranks[order][enough]) + 1]})
 
-    found = distinct.select("key", "unit").mapInArrow(links, "query long, cell long, n long")
+    found = distinct.filter(F.octet_length("unit") == 8 * dims).select("key", "unit").mapInArrow(links, "query long, cell long, n long")
     found = found.groupBy("query", "cell").agg(F.sum("n").alias("n"))
     return [r[0] for r in found.groupBy("query").applyInPandas(need, "need long").collect()]
 
 
-def _visited(distinct: DataFrame, index: Index, dims: int) -> DataFrame:
-    """key, unit, weight, cell and the cells to visit, own cell first."""
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of one length, a slice at a time, with that length."""
+    sizes = np.array([len(u.as_buffer()) // 8 for u in batch.column("unit")], np.int64)
+    for dims in np.unique(sizes).tolist():
+        rows = batch.filter(pa.array(sizes == dims))
+        for at in range(0, rows.num_rows, 512):
+            yield dims, rows.slice(at, 512)
+
+
+def _visited(distinct: DataFrame, indexes: dict[int, Index], first: dict[int, int]) -> DataFrame:
+    """key, unit, weight and the cells to visit, own cell first.
+
+    ``first``: by length, the number of its first cell; a length without an index is one cell.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.filter(pa.array([u is not None and len(u.as_buffer()) == 8 * dims for u in batch.column("unit")]))
-            for at in range(0, rows.num_rows, 512):
-                part = rows.slice(at, 512)
-                x = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(-1, dims)
-                cells = index.traverse(x)
+            for dims, part in _parts(batch):
+                cells = np.full((part.num_rows, 1), first[dims], np.int64)
+                if dims in indexes:
+                    x = np.frombuffer(b"".join(part.column("unit").to_pylist())).reshape(-1, dims)
+                    cells = indexes[dims].traverse(x) + first[dims]
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(x) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel(), pa.int64())
+                    pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel(), pa.int64())
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(c) for c in ("key", "unit", "weight")], lists],
@@ -230,10 +240,10 @@ def _forest(linked: np.ndarray, n: int) -> np.ndarray:
         rows, columns = across, down
 
 
-def _compare(cosine: float, dims: int):
+def _compare(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "key"]).reset_index(drop=True)
-        x = np.frombuffer(b"".join(pdf["unit"])).reshape(-1, dims)
+        x = np.frombuffer(b"".join(pdf["unit"])).reshape(len(pdf), -1)
         side = pdf["side"].to_numpy()
         own_cell, home = int(pdf["cell"].iloc[0]), pdf["home"].to_numpy()
         m = int((side == 0).sum())
@@ -272,14 +282,27 @@ def _compare(cosine: float, dims: int):
     return run
 
 
+def _index(distinct: DataFrame, dims: int, n: int, cosine: float) -> Index:
+    """The index of the ``n`` vectors of one length."""
+    rows = distinct.filter(F.octet_length("unit") == 8 * dims).select("unit", "key").orderBy("key")
+    queries = max(1, min(QUERIES, QUERY_BYTES // (8 * dims)))
+    taken = rows.limit(max(SAMPLE, queries)).collect()
+    x = np.frombuffer(b"".join(t.unit for t in taken)).reshape(-1, dims)
+    index = Index(x[:SAMPLE], n)
+    if index.k > 1:
+        needs = _needs(distinct, index, x[:queries], [t.key for t in taken[:queries]], cosine)
+        index.fit_visits(needs, queries >= n, x[:queries], cosine)
+    return index
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Links of cosine ``cosine`` or more among all rows of ``vectors`` (vec_id, embedding).
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reached by
     links, nulls aside, its own included) and kept (it is the component's id). A null or zero
-    vector, and one with null or non-finite components, links with nothing, as does one whose
-    length is not the sample's most frequent; repeated rows are rows of their own, linked to each
-    other. An empty table gives an empty table; other columns are left out.
+    vector, and one with null or non-finite components, links with nothing; vectors link with those
+    of their length only; repeated rows are rows of their own, linked to each other. An empty table
+    gives an empty table; other columns are left out.
     """
     spark = vectors.sparkSession
     rows = stored(_vectors(vectors), "vec-rows")
@@ -287,24 +310,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("weight")),
         "vec-distinct",
     )
-    taken = distinct.select("unit", "key").orderBy("key").limit(max(SAMPLE, QUERIES)).collect()
+    sizes = {
+        r[0] // 8: r[1] for r in distinct.groupBy(F.octet_length("unit")).agg(F.count(F.lit(1))).orderBy(F.octet_length("unit")).collect()
+    }
     own = rows.select("vec_id", "key")
-    if not taken:
+    if not sizes:
         return own.select(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
-    sizes = [len(t.unit) for t in taken]
-    dims = max(set(sizes), key=lambda s: (sizes.count(s), s)) // 8
-    taken = [t for t in taken if len(t.unit) == 8 * dims]
-    sample = np.frombuffer(b"".join(t.unit for t in taken)).reshape(-1, dims)
-    n = distinct.filter(F.octet_length("unit") == 8 * dims).count()
-    index = Index(sample[:SAMPLE], n)
-    if index.k > 1:
-        queries = sample[: max(1, min(QUERIES, QUERY_BYTES // (8 * dims)))]
-        needs = _needs(distinct, index, queries, [t.key for t in taken[: len(queries)]], cosine)
-        index.fit_visits(needs, len(queries) == n, queries, cosine)
-    placed = stored(_visited(distinct, index, dims), "vec-placed")
-    # blocks of members and parts of visitors per cell: at most k * k rows, k <= MOST_WORDS
+    indexes = {dims: _index(distinct, dims, n, cosine) for dims, n in sizes.items() if n >= 4 * PER_CELL}
+    first, cells = {}, 0
+    for dims in sizes:
+        first[dims] = cells
+        cells += indexes[dims].k ** 2 if dims in indexes else 1
+    placed = stored(_visited(distinct, indexes, first), "vec-placed")
+    # blocks of members and parts of visitors per cell: at most k * k rows a length, k <= MOST_WORDS
     at = placed.select(F.posexplode("visits").alias("rank", "cell")).groupBy("cell").agg(
         F.count_if(F.col("rank") == 0).alias("members"), F.count_if(F.col("rank") > 0).alias("visitors")
     )
@@ -346,7 +366,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     groups = sum(b * (b + 1) // 2 + b * p for _, b, p in cells)
     tasks = dealt.repartition(max(width(spark), min(groups // 32, MOST_TASKS)), "cell", "kind", "left", "right")
     found = tasks.groupBy("cell", "kind", "left", "right").applyInPandas(
-        _compare(cosine, dims), "key string, n long, root string"
+        _compare(cosine), "key string, n long, root string"
     )
     found = stored(found, "vec-found")
     links = stored(found.groupBy("key").agg(F.sum("n").alias("n")), "vec-links")
