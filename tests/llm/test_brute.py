@@ -445,3 +445,14 @@ def test_op8_links_vectors_of_every_length(spark, monkeypatch):
     got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df).collect()}
     assert [got[i] for i in range(600, len(rows))] == want[600:]
     assert sum(got.values()) >= 0.999 * sum(want)
+
+
+def test_op1_open_bins_of_shards_merge(spark, monkeypatch):
+    for name, value in (("SHARD", 8), ("LATER_SHARD", 8), ("LEVELS", 2)):
+        monkeypatch.setattr(packing, name, value)
+    df = docs(spark, *((i, "the " * 20) for i in range(160)))
+    cut = packing.pieces(df, vocabulary("word_bpe_49k.json")).select("length").distinct().collect()
+    (length,) = [r.length for r in cut]
+    got = packing.pack(df, vocabulary("word_bpe_49k.json"), 3 * length - 1).collect()
+    sizes = collections.Counter(r.sequence_id for r in got)
+    assert len(got) == 160 and set(sizes.values()) == {2}, collections.Counter(sizes.values())

@@ -6,7 +6,9 @@ shard is packed by several islands, tasks of their own that start from different
 crossover injects whole well-filled bins of one packing into another, takes out the bins that
 hold any of their pieces, and best-fits the pieces that this displaces. Between epochs each
 island's best packing moves to the next island. The winner's poorly filled bins are opened, and
-their pieces go, with those of other shards, to the next, smaller level.
+their pieces go, with those of other shards, to the next, smaller level. After the last of these
+levels only the emptiest bin of each shard is opened, and a few shards merge into one, until one is
+left.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ END_ID = 1
 #: crossovers per epoch.
 SHARD, LATER_SHARD, ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 1536, 256, 2, 2, 4, 12
 GROUPS_PER_TASK = 8
-#: A bin with more than this share open is opened again, on at most so many levels.
-OPEN_SHARE, LEVELS = 0.002, 6
+#: A bin with more than this share open is opened again, on so many levels; after them, shards whose
+#: emptiest bins merge.
+OPEN_SHARE, LEVELS, MERGED = 0.002, 6, 8
 
 _PIECE = "doc_id {}, piece int, start long, length long, ids_crc32 long, row long"
 _tokens: dict[str, object] = {}
@@ -200,7 +203,10 @@ def _island_epoch(rows: DataFrame, groups: int, level: int, epoch: int, capacity
 
 
 def _settle(rows: DataFrame, groups: int, level: int, capacity: int, last: bool) -> DataFrame:
-    """The best island's packing of each shard: sequence, place in it, and whether it is final."""
+    """The best island's packing of each shard: sequence, place in it, and whether it is final.
+
+    From the last of ``LEVELS`` on, all bins but the emptiest are.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         best = pdf.sort_values(["bins", "island"], kind="stable")["island"].iloc[0]
@@ -209,6 +215,8 @@ def _settle(rows: DataFrame, groups: int, level: int, capacity: int, last: bool)
         own["offset"] = own.groupby("bin")["length"].cumsum() - own["length"]
         own["sequence_id"] = ((level + 1) << 58) + own["shard"] * (1 << 16) + own["bin"]
         own["settled"] = True if last else fill >= capacity * (1 - OPEN_SHARE)
+        if level >= LEVELS - 1:
+            own["settled"] |= own["bin"] != own["bin"].loc[fill.idxmin()]
         return own[[*carried, "sequence_id", "offset", "settled"]]
 
     carried = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
@@ -231,10 +239,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     done = [
         cut.filter(full).withColumn("sequence_id", F.col("row")).withColumn("offset", F.lit(0).cast("long"))
     ]
-    rest, level = cut.filter(~full), 0
+    rest, level, shards = cut.filter(~full), 0, 0
     n = rest.count()
     while n:
-        shards = -(-n // (LATER_SHARD if level else SHARD))
+        # one open bin a shard, so MERGED shards hold fewer than MERGED * capacity tokens
+        shards = -(-shards // MERGED) if level >= LEVELS else -(-n // (LATER_SHARD if level else SHARD))
         groups = shards * ISLANDS
         rows = (
             rest.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
@@ -246,8 +255,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
                 moved = rows.withColumn("island", (F.col("island") + 1) % ISLANDS)
                 rows = rows.unionByName(moved.withColumn("origin", F.lit(1).cast("long")))
             rows = _island_epoch(rows, groups, level, epoch, capacity)
-        last = shards == 1 or level == LEVELS - 1
-        out = stored(_settle(rows, shards, level, capacity, last), "pack-level")
+        out = stored(_settle(rows, shards, level, capacity, shards == 1), "pack-level")
         done.append(out.filter("settled"))
         rest = out.filter("NOT settled").drop("sequence_id", "offset", "settled")
         n, level = rest.count(), level + 1
