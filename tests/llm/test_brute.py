@@ -12,7 +12,7 @@ import pytest
 from conftest import docs
 
 from volsignals.llm import (
-    catalog, embeddings, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, quality, repeats,
+    catalog, components, embeddings, fingerprints, licenses, line_dedup, mixing, near_dedup, packing, quality, repeats,
     shingles, substring_dedup, token_counts, word_tokens,
 )
 from volsignals.llm.common import table, vocabulary
@@ -456,3 +456,9 @@ def test_op1_open_bins_of_shards_merge(spark, monkeypatch):
     got = packing.pack(df, vocabulary("word_bpe_49k.json"), 3 * length - 1).collect()
     sizes = collections.Counter(r.sequence_id for r in got)
     assert len(got) == 160 and set(sizes.values()) == {2}, collections.Counter(sizes.values())
+
+
+def test_components_end_when_nothing_changes(spark, monkeypatch):
+    monkeypatch.setattr(components, "MOST_ROUNDS", 1, raising=False)
+    df = spark.createDataFrame([(i, i + 1) for i in range(30)], "a LONG, b LONG")
+    assert {r.node: r.root for r in components.components(df).collect()} == dict.fromkeys(range(31), 0)

@@ -7,15 +7,12 @@ from pyspark.sql import functions as F
 
 from volsignals.llm.common import dropped, stored
 
-#: Rounds are logarithmic in the longest path; this many is far beyond any table.
-MOST_ROUNDS = 60
-
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the smallest node it is joined to) of every node with a link.
 
     Each round hangs every node's neighbours under its smallest neighbour: first the larger ones
-    (large star), then the node itself and the smaller ones (small star). Rounds end when nothing
+    (large star), then the node itself and the smaller ones (small star). Rounds end only when nothing
     changes. Smallest neighbours are combined before the shuffle and written, so that both sides
     of the join that follows are plain shuffles, in which a hub's rows can be split.
     """
@@ -24,7 +21,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ).distinct()
     edges = stored(edges, "links")
     state = None
-    for _ in range(MOST_ROUNDS):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(
             both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least"
