@@ -81,4 +81,32 @@ kept AS (
 SELECT doc_id, n_lines, n_removed, length(text) AS kept_chars, sha256(text) AS kept_sha256 FROM kept
 """
 
-SQL = {"op3_source_mix": OP3, "op10_line_dedup": OP10}
+OP11 = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex,
+         regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS units
+  FROM documents),
+g AS (
+  SELECT doc_id, text, units, len(units) AS n, CAST('0x' || substr(hex, 1, 8) AS BIGINT) % (len(units) + 1) AS a,
+         CAST('0x' || substr(hex, 9, 8) AS BIGINT) % (len(units) + 1) AS b,
+         CAST('0x' || substr(hex, 25, 8) AS BIGINT) % 100 AS h4
+  FROM h),
+p AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+              WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(a, b)], '') AS pre, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS mid,
+         array_to_string(units[greatest(a, b) + 1:], '') AS suf
+  FROM g)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+SQL = {"op3_source_mix": OP3, "op10_line_dedup": OP10, "op11_fill_in_middle": OP11}
