@@ -41,12 +41,13 @@ def test_op11(spark, sf, texts):
 
 
 @pytest.mark.parametrize("chunk", [fill_middle.CHUNK, 64, 2])
-def test_odd_texts(spark, monkeypatch, chunk):
-    monkeypatch.setattr(fill_middle, "CHUNK", chunk)
+def test_odd_texts(spark, chunk):
     rows = ROWS if chunk > 2 else [r for r in ROWS if len(r[1] or "") < 100]
     key = lambda r: (r[0] is None, r[0] or 0, r[5])
-    out = fill_middle.fill_in_middle(docs(spark, *rows), texts=True)
+    out = fill_middle.fill_in_middle(docs(spark, *rows), texts=True, chunk=chunk)
     assert sorted(map(tuple, out.collect()), key=key) == sorted((plainly(*r) for r in rows), key=key)
+    laid = fill_middle.pieces(docs(spark, *rows), chunk=chunk).selectExpr("max(length(chunk))").first()[0]
+    assert laid <= chunk + 9
     back = out.select("restored_sha256", fill_middle.F.sha2(fill_middle.original(), 256).alias("again")).collect()
     assert all(r.restored_sha256 == r.again for r in back)
 

@@ -2,7 +2,7 @@
 
 A text is cut into lines, and two hashes of its id choose where its prefix and its middle end. No
 task joins a document together: its parts leave the first pass as pieces, runs of whole lines of up
-to ``CHUNK`` bytes, keyed by document and place in the output. One shuffle by document with a sort
+to ``chunk`` bytes, keyed by document and place in the output. One shuffle by document with a sort
 by place inside each partition (``repartition`` and ``sortWithinPartitions``, which is
 repartitionAndSortWithinPartitions on frames) brings them to a stream that feeds an incremental
 digest of the output. The same stream looks for the markers in what it reads and sends every run
@@ -55,11 +55,11 @@ def _cuts(text: bytes, doc_id: object, seed: int, rate: int, spm: int) -> tuple[
     return n, "spm" if h4 % 100 < spm else "psm", first, last
 
 
-def _chunks(text: bytes) -> Iterator[bytes]:
-    """Runs of whole lines of up to ``CHUNK`` bytes; a longer line is cut between characters."""
+def _chunks(text: bytes, most: int) -> Iterator[bytes]:
+    """Runs of whole lines of up to ``most`` bytes; a longer line is cut between characters."""
     at = 0
     while at < len(text):
-        end = min(at + CHUNK, len(text))
+        end = min(at + most, len(text))
         if end < len(text):
             line = text.rfind(b"\n", at, end) + 1
             if line > at:
@@ -93,7 +93,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, payload: int) -> Iterator
         yield batch()
 
 
-def pieces(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SPM) -> DataFrame:
+def pieces(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SPM, chunk: int = CHUNK) -> DataFrame:
     """Pieces of all outputs: doc_id, key (of the text), place in the output, chunk.
 
     The first piece of a document also has n, form, prefix_chars, middle_chars and copies, the
@@ -126,13 +126,13 @@ def pieces(docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SPM)
                         if c in _SECTIONS:
                             ahead += c
                             continue
-                        for chunk in _chunks(c):
-                            flat.append(ahead + chunk)
+                        for run in _chunks(c, chunk):
+                            flat.append(ahead + run)
                             ahead = b""
                     if ahead or not flat:
                         flat.append(ahead)
-                    for place, chunk in enumerate(flat):
-                        out.append((doc_id, key, place, chunk, *(meta if not place else (None,) * 5)))
+                    for place, run in enumerate(flat):
+                        out.append((doc_id, key, place, run, *(meta if not place else (None,) * 5)))
                 yield from _batches(iter(out), schema, 3)
 
     texts = docs.select("doc_id", whole_text().cast("binary").alias("text"))
@@ -219,7 +219,7 @@ def _closed(rows: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def fill_in_middle(
-    docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SPM, texts: bool = False
+    docs: DataFrame, seed: int = SEED, rate: int = RATE, spm: int = SPM, texts: bool = False, chunk: int = CHUNK
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256.
 
@@ -229,7 +229,7 @@ def fill_in_middle(
     an empty one; other columns of ``docs`` are not read. The digest of the restored text is taken
     from the output and its form alone.
     """
-    laid = pieces(docs, seed, rate, spm)
+    laid = pieces(docs, seed, rate, spm, chunk)
     id_field = laid.schema["doc_id"]
     kind, id_type = id_field.dataType.simpleString(), to_arrow_type(id_field.dataType)
     own = [("n", pa.int64()), ("form", pa.string()), ("prefix_chars", pa.int64()), ("middle_chars", pa.int64())]

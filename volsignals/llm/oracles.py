@@ -109,4 +109,35 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM p
 """
 
-SQL = {"op3_source_mix": OP3, "op10_line_dedup": OP10, "op11_fill_in_middle": OP11}
+OP12 = r"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS tie
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, tie) AS turns,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+             lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                                      lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))),
+             4294967295::BIGINT) % 6 AS h
+  FROM t GROUP BY c),
+whole AS (
+  SELECT o.c, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+  FROM own o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+p AS (SELECT c, len(turns) AS size, turns, unnest(range(len(turns) + 1)) AS d FROM whole),
+n AS (
+  SELECT d, turns[1:d] AS seq, min(c) AS c, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CASE WHEN size = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends
+  FROM p GROUP BY d, turns[1:d]),
+m AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, (n_convs - 1) * coalesce(length(seq[d].text), 0) AS saved
+  FROM n LEFT JOIN (SELECT d - 1 AS d, seq[1:d - 1] AS seq, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL) k USING (d, seq)),
+up AS (
+  SELECT a AS d, seq[1:a] AS seq, sum(saved) AS saved, count(*) FILTER (n_children = 0) AS leaves
+  FROM (SELECT seq, saved, n_children, unnest(range(d + 1)) AS a FROM m) GROUP BY a, seq[1:a])
+SELECT m.c AS conv_id, CAST(m.d AS BIGINT) AS depth, q.c AS parent_conv_id, m.n_convs, m.n_children,
+       CAST(up.leaves AS BIGINT) AS n_leaves, CAST(up.saved AS BIGINT) AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN up USING (d, seq) LEFT JOIN m q ON q.d = m.d - 1 AND q.seq = m.seq[1:m.d - 1]
+"""
+
+SQL = {"op3_source_mix": OP3, "op10_line_dedup": OP10, "op11_fill_in_middle": OP11, "op12_prefix_trie": OP12}
