@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.llm import embeddings, fill_middle, fingerprints, licenses, line_dedup, mixing, near_dedup, oracles, packing, prefix_trie, quality, substring_dedup, token_counts
+from volsignals.llm import embeddings, fill_middle, fingerprints, licenses, line_dedup, mixing, near_dedup, oracles, packing, pii, prefix_trie, quality, substring_dedup, token_counts
 from volsignals.llm.common import table, vocabulary, whole_text
 
 
@@ -66,8 +66,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op4_near_dedup, op5_fingerprints, op6_quality, op7_license_scan, op8_embedding_dedup, op9_substring_dedup, op10_line_dedup, op11_fill_in_middle, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_token_counts, op3_source_mix, op4_near_dedup, op5_fingerprints, op6_quality, op7_license_scan, op8_embedding_dedup, op9_substring_dedup, op10_line_dedup, op11_fill_in_middle, op12_prefix_trie, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
