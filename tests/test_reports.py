@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from volsignals import Params
-from volsignals.operators.ranking import global_rank
+from volsignals.operators.ranking import global_rank, range_parts
 from volsignals.plans import reports
 from volsignals.plans.analyze import analyze
 from volsignals.sources import driver_tables as src
@@ -70,6 +70,48 @@ def test_rank_spans_partitions(spark):
     assert {(r["score"], r["k"]): r["rank"] for r in got} == {t: i + 1 for i, t in enumerate(want)}
 
 
+def test_rank_of_few_and_no_rows(spark):
+    one = spark.range(1).select(F.lit(5).alias("score"), "id")
+    assert [r["rank"] for r in global_rank(one, [-F.col("score"), F.col("id")]).collect()] == [1]
+    assert global_rank(one.limit(0), [-F.col("score"), F.col("id")]).collect() == []
+
+
+@pytest.mark.parametrize("skew", ["ties", "third", "spread"])
+def test_parts_of_a_rank_are_even(spark, skew):
+    """200,000 rows, most with one leading value: no part has more than twice the mean."""
+    n = 200_000
+    score = {
+        "ties": F.when(F.col("id") % 10 < 9, F.lit(0)).otherwise(F.col("id") % 100),
+        "third": F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.xxhash64("id") % 1000),
+        "spread": F.xxhash64("id") % 1_000_000,
+    }[skew].cast("bigint")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(n).select(score.alias("score"), F.concat(F.lit("T"), F.col("id")).alias("ticker"))
+        order = [-F.col("score"), F.col("ticker")]
+        parts = range_parts(df, order)
+        sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+        assert len(sizes) == 64 and max(sizes) <= 2 * n / 64
+        ranked = global_rank(df, order)
+        got = ranked.agg(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
+        assert tuple(got) == (1, n, n)
+        back = ranked.alias("a").join(ranked.alias("b"), F.expr("b.rank = a.rank + 1"))
+        assert back.filter("a.score < b.score OR a.score = b.score AND a.ticker >= b.ticker").count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_report_computes_its_rows_once(spark, sf, tmp_path):
+    """The plan that writes the parts groups the line items into bars once."""
+    b = src.bars(spark, sf)
+    table = reports.report_table(analyze(b, None, src.DERIVED))
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "Window" in plan and "rangepartitioning" not in plan
+
+
 def test_report_has_the_real_prices(spark, sf):
     b = src.bars(spark, sf)
     rows = {r.ticker: r for r in reports.report_table(analyze(b, None, src.DERIVED)).collect()}

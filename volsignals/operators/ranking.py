@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts a table is split into for its ranks; a split key is one row, whatever the table's size.
-SPLITS = 256
-
+from volsignals.session import written
 
 def sort_result(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Global sort of rows that are few next to what they are computed from.
@@ -19,28 +17,33 @@ def sort_result(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return df.repartition(F.xxhash64(key)).orderBy(*order)
 
 
+def range_parts(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` as a written table in sorted parts: ``_part`` in order, ``_place`` in it from 0.
+
+    The parts are those of Spark's range partitioner, whose split keys are quantiles of a sample of
+    the whole key, so that ties in its leading columns fall into several parts and no part is
+    much larger than the others. The rows are shuffled once before, by a hash of the key, so that
+    the sample reads that shuffle and what they are computed from is computed once. Written, the
+    parts no longer depend on the sample.
+    """
+    dealt = df.repartition(F.xxhash64(*order)).orderBy(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return written(dealt.select("*", F.spark_partition_id().alias("_part"), place.alias("_place")), "ranked")
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of every row under ``order``, ascending columns that are a total order.
 
-    One key of each hash bucket splits the table into parts; a row's part is the number of split
-    keys at or below its own. The rank is its place in the part plus the sizes of the parts
-    before. All of these are functions of the rows alone, so nothing has to be pinned down, and
-    nothing runs before rows are asked for.
+    A row's rank is its place in its part plus the sizes of the parts before. The parts are
+    written when this is called; ranks and offsets are read from them.
     """
-    keyed = df.withColumn("_key", F.struct(*order))
-    picks = keyed.groupBy(F.pmod(F.xxhash64("_key"), F.lit(SPLITS)).alias("_b")).agg(F.min("_key").alias("_key"))
-    splits = picks.agg(F.sort_array(F.collect_list("_key")).alias("_splits")).scalar()
-    key = F.col("_key")
-    placed = keyed.withColumn("_splits", splits).withColumn(
-        "_part", F.size(F.filter("_splits", lambda s: s <= key))
-    ).drop("_splits")
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    placed = range_parts(df, order)
+    sizes = placed.groupBy("_part").agg((F.max("_place") + 1).alias("_size"))
+    # one row per part
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
         "_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0).cast("bigint")).alias("_start")
     )
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
-    # one row per part, so at most SPLITS + 1
-    return placed.withColumn("_place", place).join(F.broadcast(starts), "_part").select(
-        (F.col("_start") + F.col("_place")).alias(name), *df.columns
+    return placed.join(F.broadcast(starts), "_part").select(
+        (F.col("_start") + F.col("_place") + 1).alias(name), *df.columns
     )

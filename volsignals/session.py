@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "volsignals", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,3 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
         sc.setCheckpointDir(shared)
         shared = sc.getCheckpointDir()
     return shared.rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: computed once, its lineage cut.
+
+    For what several steps read and no step may compute twice. A lost executor costs tasks that
+    read the table, not the work that made it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
