@@ -348,6 +348,19 @@ def oracle_sql() -> dict[str, str]:
             SELECT ticker, {day}, {ohlcv} FROM old o
             WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
             UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc"""),
+        "disk_table": _q(BARS, _OLD, _INC, select=f"""
+            SELECT ticker, {day}, {ohlcv} FROM old o
+            WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
+            UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc"""),
+        "disk_years": _q(BARS, _INC, select=f"""
+            SELECT ticker, {day}, {ohlcv} FROM bars WHERE year(date) = 1999
+            UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc WHERE year(date) = 2000"""),
+        "disk_newest": _q(BARS, _OLD, _INC, """now AS (
+              SELECT ticker, date, open, high, low, close, volume FROM old o
+              WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
+              UNION ALL SELECT * FROM inc)""",
+            "ends AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back FROM now)",
+            select=f"SELECT ticker, {day}, {ohlcv}, back FROM ends WHERE back <= 20"),
         "load_meta": _q(BARS, _OLD, _INC,
             "a AS (SELECT ticker, count(*) AS c FROM old GROUP BY ticker)",
             "b AS (SELECT ticker, count(*) AS c FROM inc GROUP BY ticker)",
@@ -362,13 +375,18 @@ def oracle_sql() -> dict[str, str]:
             WHERE ticker NOT IN (SELECT ticker FROM caps WHERE paid_up_capital < 0)"""),
         "increment_range": _q(BARS, _INC, select=f"""SELECT ticker, {day}, {ohlcv} FROM inc
             WHERE date BETWEEN DATE '2000-01-10' AND DATE '2001-06-30'"""),
-        "high_water": _q(BARS, _OLD, """marks AS (
-              SELECT ticker, max(date) AS mark FROM old
-              WHERE ticker IN (SELECT ticker FROM caps WHERE paid_up_capital >= 0) GROUP BY ticker)""",
-            select=f"""SELECT b.ticker, CAST(b.date AS VARCHAR) AS date, b.open, b.high, b.low,
-                b.close, b.volume FROM bars b LEFT JOIN marks m ON m.ticker = b.ticker
-                WHERE b.date <= DATE '2001-06-30'
-                  AND (b.date > m.mark OR (m.mark IS NULL AND b.date >= DATE '1999-01-01'))"""),
+        "high_water": _q(BARS, """marked AS (
+              SELECT b.*, max(CASE WHEN date <= DATE '2000-01-10' AND c.paid_up_capital >= 0 THEN date END)
+                OVER (PARTITION BY b.ticker) AS mark
+              FROM bars b LEFT JOIN caps c ON c.ticker = b.ticker)""",
+            select=f"""SELECT ticker, {day}, {ohlcv} FROM marked WHERE date <= DATE '2001-06-30'
+                AND date > coalesce(mark, DATE '1998-12-31')"""),
+        "newest_marks": _q(BARS, """marked AS (
+              SELECT b.*, max(CASE WHEN date <= DATE '2000-01-10' AND c.paid_up_capital >= 0 THEN date END)
+                OVER (PARTITION BY b.ticker) AS mark
+              FROM bars b LEFT JOIN caps c ON c.ticker = b.ticker)""",
+            select=f"""SELECT ticker, {day}, {ohlcv} FROM marked WHERE date <= DATE '2001-06-30'
+                AND date > coalesce(mark, DATE '1998-12-31')"""),
         "delivery": _q(BARS, """got AS (SELECT ticker, count(*) AS c FROM bars
               WHERE date >= DATE '2001-10-31' GROUP BY ticker)""",
             select="""SELECT c.ticker, coalesce(g.c, 0) AS rows, g.c IS NOT NULL AS success
@@ -394,6 +412,12 @@ def oracle_sql() -> dict[str, str]:
                 UNION ALL SELECT i.ticker, CAST(i.date AS VARCHAR), i.open, i.high, i.low, i.close, i.volume
                 FROM inc i JOIN marks m ON m.ticker = i.ticker
                 WHERE i.date > m.mark AND i.date <= DATE '2001-06-30'"""),
+        "disk_smart_update": _q(BARS, _OLD, _INC, """marks AS (
+              SELECT ticker, max(date) AS mark FROM old GROUP BY ticker)""",
+            select=f"""SELECT ticker, {day}, {ohlcv} FROM old
+                UNION ALL SELECT i.ticker, CAST(i.date AS VARCHAR), i.open, i.high, i.low, i.close, i.volume
+                FROM inc i JOIN marks m ON m.ticker = i.ticker
+                WHERE i.date > m.mark AND i.date <= DATE '2001-06-30'"""),
         "smart_update_outcome": _q(BARS, _OLD, _INC, """marks AS (
               SELECT ticker, max(date) AS mark FROM old GROUP BY ticker)""",
             """got AS (SELECT i.ticker, count(*) AS c FROM inc i JOIN marks m ON m.ticker = i.ticker

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import build
-from volsignals.operators import increments, store
+from volsignals.operators import increments, snapshots, store
 from volsignals.plans.update import apply_delivery, load_csv_folder
 from volsignals.schema import BARS, LOAD_META
 from volsignals.sources import csv_files, vendors
@@ -240,23 +240,20 @@ def test_fundamentals_file(spark, tmp_path):
 
 def test_table_on_disk(spark, tmp_path):
     path = str(tmp_path / "bars")
-    assert store.read_bars(spark, path).count() == 0
+    assert snapshots.read_bars(spark, path).count() == 0
     a = canonical(spark, ("A", 0, 1.0, "x", 1), ("A", -10, 1.0, "x", 1), ("B", 400, 2.0, "x", 1))
-    store.merge_bars(spark, path, a)
-    first = {p for p in _parts(tmp_path / "bars" / "year=2025")}
-    store.merge_bars(spark, path, canonical(spark, ("A", 0, 7.0, "y", 2), ("C", 1, 3.0, "y", 2)))
-    got = sorted((r.ticker, r.date, r.close) for r in store.read_bars(spark, path).collect())
+    snapshots.merge_bars(spark, path, a)
+    first = snapshots.snapshot(spark, path).parts
+    snapshots.merge_bars(spark, path, canonical(spark, ("A", 0, 7.0, "y", 2), ("C", 1, 3.0, "y", 2)))
+    got = sorted((r.ticker, r.date, r.close) for r in snapshots.read_bars(spark, path).collect())
     assert got == [
         ("A", build.day(-10), 1.0), ("A", build.day(0), 7.0), ("B", build.day(400), 2.0),
         ("C", build.day(1), 3.0),
     ]
-    assert {p for p in _parts(tmp_path / "bars" / "year=2025")} == first  # untouched year kept
-    store.merge_bars(spark, path, a.filter("false"))
-    assert store.read_bars(spark, path).count() == 4
-
-
-def _parts(folder):
-    return [p.name for p in folder.iterdir()]
+    now = snapshots.snapshot(spark, path).parts
+    assert {p: b for p, b in now.items() if p[0] == 2025} == {p: b for p, b in first.items() if p[0] == 2025} != {}  # untouched year kept
+    snapshots.merge_bars(spark, path, a.filter("false"))
+    assert snapshots.read_bars(spark, path).count() == 4
 
 
 def test_lookups(spark):

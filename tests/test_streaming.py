@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import build
 from volsignals.operators import positions as pos
-from volsignals.operators import store
+from volsignals.operators import snapshots
 from volsignals.sources import csv_files
 from volsignals.sources import driver_tables as src
 from volsignals.streaming.ingest import start_ingest
@@ -28,7 +28,7 @@ def test_stream_equals_batch_and_takes_late_bars(spark, tmp_path):
     start_ingest(spark, str(landing), table, ckpt).awaitTermination()
     key = lambda df: sorted((r.ticker, str(r.date), r.close, r.volume) for r in df.collect())
     batch = csv_files.load_folder(spark, str(landing), 0).bars
-    assert key(store.read_bars(spark, table)) == key(batch)
+    assert key(snapshots.read_bars(spark, table)) == key(batch)
 
     # a bar years older and a replacement arrive later; nothing is too late
     sub = landing / "A_data_data.csv"
@@ -38,9 +38,9 @@ def test_stream_equals_batch_and_takes_late_bars(spark, tmp_path):
         ("A", "2019-06-03", 9.0, 9), ("A", "2024-01-01", 1.0, 1), ("A", "2024-01-02", 7.0, 7),
         ("B", "2024-01-02", 5.0, 5),
     ]
-    assert key(store.read_bars(spark, table)) == want
+    assert key(snapshots.read_bars(spark, table)) == want
     start_ingest(spark, str(landing), table, ckpt).awaitTermination()
-    assert key(store.read_bars(spark, table)) == want
+    assert key(snapshots.read_bars(spark, table)) == want
 
 
 def test_stream_in_small_batches(spark, tmp_path):
@@ -50,7 +50,7 @@ def test_stream_in_small_batches(spark, tmp_path):
         name = "A" + "_data" * (i + 1) + ".csv"
         land(landing, name, ("2024-01-01", i, i), (f"2024-02-0{i + 1}", i, i), stamp=1000 + i)
     start_ingest(spark, str(landing), table, str(tmp_path / "c"), max_files=1).awaitTermination()
-    got = {str(r.date): r.close for r in store.read_bars(spark, table).collect()}
+    got = {str(r.date): r.close for r in snapshots.read_bars(spark, table).collect()}
     assert got == {"2024-01-01": 3.0, **{f"2024-02-0{i + 1}": float(i) for i in range(4)}}
 
 

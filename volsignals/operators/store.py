@@ -1,21 +1,20 @@
-"""Keeping the bar table and its load metadata (S9, S11, S12, S14, S15) and lookups (Q1-Q8)."""
+"""Keeping the bar table and its load metadata (S9, S11, S12, S14, S15) and lookups (Q1-Q8).
+
+Here as functions of frames; the table on disk is in ``snapshots``.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volsignals.operators.indicators import newest_bars
 from volsignals.params import Params
-from volsignals.schema import BARS, POSITION_COLUMNS
+from volsignals.schema import POSITION_COLUMNS
 
 KEY = ["ticker", "date"]
-#: Parts of a year on disk, by ticker.
-BUCKETS = 64
-LAYOUT = BARS + ", year INT, bucket INT"
 
 
 # --- writes as functions of the old table -------------------------------------------------
@@ -84,58 +83,6 @@ def reload_ticker(old: DataFrame, ticker: str, new: DataFrame | None) -> DataFra
     return rest.unionByName(new.filter(F.col("ticker") == ticker).select(*old.columns))
 
 
-# --- the table on disk --------------------------------------------------------------------
-
-
-def read_bars(spark: SparkSession, path: str, years: list[int] | None = None) -> DataFrame:
-    """Bars at ``path``, of ``years`` if given; empty if nothing has been written yet."""
-    out = _stored_bars(spark, path)
-    if years is not None:
-        out = out.filter(F.col("year").isin(years))
-    return out.drop("year", "bucket")
-
-
-def _stored_bars(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(LAYOUT).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], LAYOUT)
-
-
-def merge_bars(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Upsert ``new`` into the table at ``path``, rewriting only the parts it touches.
-
-    A part is a year and a hash bucket of tickers, so a late bar rewrites one of ``BUCKETS``
-    parts of its year. Rows meet by a plain shuffle on the part (a range sort would sample its
-    input, that is compute it twice) and lie sorted by ticker and date, so that lookups prune row
-    groups. Dynamic partition overwrite stages its output before it replaces the touched folders.
-    """
-    parted = lambda df: df.withColumn("year", F.year("date")).withColumn(
-        "bucket", F.pmod(F.xxhash64("ticker"), F.lit(BUCKETS)).cast("int")
-    )
-    new = parted(new).persist()
-    try:
-        # bounded by the calendar and BUCKETS, not by the data
-        touched = [tuple(r) for r in new.select("year", "bucket").distinct().collect()]
-        if not touched:
-            return
-        parts = F.struct("year", "bucket").isin([F.struct(F.lit(y), F.lit(b)) for y, b in touched])
-        old = _stored_bars(spark, path).filter(F.col("year").isin([y for y, _ in touched]) & parts)
-        merged = upsert(old, new)
-        (
-            merged.repartition("year", "bucket")
-            .sortWithinPartitions("year", "bucket", "ticker", "date")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year", "bucket")
-            .parquet(path)
-        )
-    finally:
-        new.unpersist()
-
-
 # --- lookups ------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ engines.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from volsignals.operators import backtest as bt
-from volsignals.operators import increments, store
+from volsignals.operators import increments, newest, snapshots, store
 from volsignals.operators import positions as pos
 from volsignals.operators.corporate import adjust_for_bonus
 from volsignals.operators.indicators import (
@@ -26,6 +27,7 @@ from volsignals.operators.screens import drop_category, drop_idle_floor, drop_pe
 from volsignals.plans import reports, update
 from volsignals.plans.analyze import analyze, latest_status, passing, signal_history
 from volsignals.plans.dashboard import dashboard, positions_with_stops
+from volsignals.session import shared_folder
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
 from volsignals.sources.csv_files import load_lines, load_stats, ticker_of
@@ -137,6 +139,43 @@ def _upsert_duplicates(i: _Inputs) -> DataFrame:
     return store.upsert(stamped(i.old, 0), new)
 
 
+def _disk(i: _Inputs) -> str:
+    """A table on disk after a first load, an increment, and one of late days that were held back."""
+    path = f"{shared_folder(i.spark)}/table-{uuid.uuid4().hex}"
+    held_back = F.dayofmonth("date") % 3 == 0
+    stamped = lambda df, n: df.withColumns({"source": F.lit("x"), "ingest_seq": F.lit(n).cast("bigint")})
+    for n, batch in enumerate((i.old, i.increment.filter(~held_back), i.increment.filter(held_back))):
+        snapshots.merge_bars(i.spark, path, stamped(batch, n), buckets=8)
+    return path
+
+
+def _disk_table(i: _Inputs) -> DataFrame:
+    return snapshots.read_bars(i.spark, _disk(i)).drop("source", "ingest_seq")
+
+
+def _disk_years(i: _Inputs) -> DataFrame:
+    out = snapshots.read_bars(i.spark, _disk(i), years=[RANGE_TO.year, NEW_FROM.year])
+    return out.drop("source", "ingest_seq")
+
+
+def _disk_newest(i: _Inputs) -> DataFrame:
+    return newest.newest_rows(snapshots.read_newest(i.spark, _disk(i)))
+
+
+def _disk_smart_update(i: _Inputs) -> DataFrame:
+    path = f"{shared_folder(i.spark)}/table-{uuid.uuid4().hex}"
+    stamped = lambda df, n: df.withColumns({"source": F.lit("x"), "ingest_seq": F.lit(n).cast("bigint")})
+    snapshots.merge_bars(i.spark, path, stamped(i.old, 0), buckets=8)
+    update.update_table(i.spark, path, stamped(i.increment, 1), TODAY)
+    return snapshots.read_bars(i.spark, path).drop("source", "ingest_seq")
+
+
+def _newest_marks(i: _Inputs) -> DataFrame:
+    """High-water update planned with the table of newest bars instead of history."""
+    held = newest.newest_of(store.keep_tickers(i.old, i.solvent))
+    return increments.past_high_water(i.old, i.bars, TODAY, FIRST_START, newest.newest_dates(held))
+
+
 def _trades_refused(i: _Inputs) -> DataFrame:
     held = store.keep_tickers(i.positions, i.solvent)
     trades = i.bars.filter(F.col("date") >= F.lit(DELIVERED_FROM)).select(
@@ -334,6 +373,11 @@ _QUERIES: dict[str, Query] = {
     # ingest and the bar table
     "clean_rows": _clean_rows,
     "upsert": _upsert,
+    "disk_table": _disk_table,
+    "disk_years": _disk_years,
+    "disk_smart_update": _disk_smart_update,
+    "disk_newest": _disk_newest,
+    "newest_marks": _newest_marks,
     "load_meta": lambda i: store.upsert_meta(
         store.batch_meta(i.old, "adjusted_data", LOADED_AT), i.increment, "bdshare", LOADED_AT
     ).select("ticker", "data_source", "record_count"),

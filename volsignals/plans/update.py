@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from volsignals.operators import increments, store
+from volsignals.operators import increments, newest, snapshots, store
 from volsignals.params import Params
 from volsignals.sources import csv_files
 
@@ -119,6 +119,26 @@ def smart_update(
     )
 
 
+def update_table(
+    spark: SparkSession,
+    path: str,
+    landed: DataFrame,
+    today: dt.date,
+    expected: DataFrame | None = None,
+    stream: tuple[str, int] | None = None,
+) -> int:
+    """S18 on disk: the daily update of the table at ``path``; returns the snapshot's number.
+
+    High-water marks come from the newest bars kept with the table, and only the parts that fresh bars
+    fall into are read and written, so the work follows the increment and not history.
+    ``expected`` defaults to the tickers held; one that is not held starts at the default date.
+    """
+    marks = newest.newest_dates(snapshots.read_newest(spark, path))
+    landed = store.keep_tickers(landed, marks if expected is None else expected)
+    fresh = increments.past_high_water(landed, landed, today, marks=marks)
+    return snapshots.merge_bars(spark, path, fresh, stream=stream)
+
+
 def reload(
     bars: DataFrame, meta: DataFrame, ticker: str, new: DataFrame | None, source: str, now: dt.datetime
 ) -> Update:

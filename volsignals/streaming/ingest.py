@@ -1,7 +1,8 @@
 """Bars from a folder that fills up over time.
 
-No watermark: a late bar of any age replaces its key. The merge is idempotent, so a batch that
-is repeated after a failure leaves the table as it would have been.
+No watermark: a late bar of any age replaces its key. Every batch is one snapshot of the table, which
+also notes its number: a driver that is lost leaves the snapshot before, and a batch that is
+repeated after its commit is not merged again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from volsignals.operators.store import merge_bars
+from volsignals.operators.snapshots import BUCKETS, merge_bars
 from volsignals.sources.cleaning import canonical, parse
 from volsignals.sources.csv_files import TEXT_SCHEMA, ticker_of
 from volsignals.texts import CSV_SOURCE
@@ -38,13 +39,16 @@ def start_ingest(
     checkpoint: str,
     source: str = CSV_SOURCE,
     max_files: int | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Merge everything that has landed into the table at ``table_path`` and stop."""
+    """Merge everything that has landed into the table at ``table_path`` and stop. The stream's name in the
+    table is its checkpoint folder."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("_row", F.monotonically_increasing_id())
         order = F.struct("_landed", "_file", "_block", "_row")
-        merge_bars(batch.sparkSession, table_path, canonical(rows, source, batch_id, order))
+        bars = canonical(rows, source, batch_id, order)
+        merge_bars(batch.sparkSession, table_path, bars, buckets, (checkpoint, batch_id))
 
     return (
         landing_rows(spark, folder, max_files)
