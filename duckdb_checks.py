@@ -495,6 +495,21 @@ def oracle_sql() -> dict[str, str]:
         "ratchet_since_last_run": _q(BARS, POSITIONS, STATE, select=f"""SELECT
             {held.replace('highest_seen', 'highest_run AS highest_seen')} FROM state"""),
         "ratchet_state": _q(BARS, POSITIONS, STATE, select=f"SELECT ticker, highest_seen, {day} FROM state"),
+        "ratchet_stream": _q(BARS, POSITIONS, """now AS (
+              SELECT ticker, date, CASE WHEN close > 108 AND day(date) % 2 = 0 THEN close - 6 ELSE close END AS close
+              FROM bars)""", """bought AS (
+              SELECT t.ticker, coalesce(a.date, p.purchase_date) AS purchase_date,
+                CASE WHEN a.date IS NOT NULL THEN a.close * CAST(0.9 AS DOUBLE) ELSE p.highest_seen END AS seed
+              FROM (SELECT DISTINCT ticker, tk FROM bars) t
+              LEFT JOIN positions p ON p.ticker = t.ticker
+              LEFT JOIN bars a ON a.ticker = t.ticker AND a.back = 10 AND t.tk % 3 = 0
+              WHERE (p.ticker IS NOT NULL OR a.ticker IS NOT NULL) AND NOT (p.ticker IS NOT NULL AND t.tk % 7 = 0))""",
+            """peaks AS (SELECT b.ticker, b.purchase_date, greatest(b.seed, max(n.close)) AS highest_seen, max(n.date) AS date
+              FROM bought b JOIN now n ON n.ticker = b.ticker AND n.date >= b.purchase_date
+              GROUP BY b.ticker, b.purchase_date, b.seed)""",
+            select="""SELECT t.ticker, k.ticker IS NOT NULL AS held, CAST(k.purchase_date AS VARCHAR) AS purchase_date,
+                k.highest_seen, CAST(k.date AS VARCHAR) AS date
+                FROM (SELECT DISTINCT ticker FROM bars) t LEFT JOIN peaks k ON k.ticker = t.ticker"""),
         "position_check": _q(BARS, POSITIONS, STATE, select="SELECT * FROM decided"),
         "sell_signals": _q(BARS, POSITIONS, STATE, select="""SELECT * FROM decided
             WHERE signal_type IS NOT NULL"""),

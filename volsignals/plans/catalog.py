@@ -10,6 +10,7 @@ import datetime as dt
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from volsignals.operators import increments, newest, snapshots, store
 from volsignals.operators import positions as pos
 from volsignals.operators.corporate import adjust_for_bonus
 from volsignals.operators.indicators import (
-    indicators, indicators_segmented, latest_flags, latest_indicators,
+    indicators, indicators_segmented, latest_flags, latest_indicators, newest_bars,
 )
 from volsignals.operators.scoring import with_capital
 from volsignals.operators.screens import drop_category, drop_idle_floor, drop_penny_traps, screen
@@ -32,7 +33,7 @@ from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
 from volsignals.sources.csv_files import load_lines, load_stats, ticker_of
 from volsignals.sources.vendors import from_vendor_b, vendor_a_bars
-from volsignals.streaming.ratchet import moving_peaks
+from volsignals.streaming.ratchet import EVENTS, bar_events, buy_events, follow, moving_peaks, sell_events
 from volsignals.texts import VENDOR_B_SOURCE
 
 P = src.DERIVED
@@ -170,6 +171,26 @@ def _disk_smart_update(i: _Inputs) -> DataFrame:
     return snapshots.read_bars(i.spark, path).drop("source", "ingest_seq")
 
 
+def _ratchet_stream(i: _Inputs) -> DataFrame:
+    """Bars, corrected bars, purchases, sales and purchases again, landed in files and streamed to the end."""
+    number, late = src.ticker_number(), lambda df, n: df.withColumn("seq", F.lit(n))
+    wrong = (F.col("close") > 108) & (F.dayofmonth("date") % 2 == 0)
+    again = newest_bars(i.bars, 10).filter((F.col("back") == 10) & (number % 3 == 0)).select(
+        "ticker", F.col("date").alias("purchase_date"), (F.col("close") * 0.9).alias("highest_seen")
+    )
+    parts = [
+        bar_events(late(i.bars, 1), "seq"),
+        bar_events(late(i.bars.filter(wrong).withColumn("close", F.col("close") - 6.0), 2), "seq"),
+        buy_events(late(i.positions, 10)), sell_events(late(i.positions.filter(number % 3 == 0), 11)),
+        buy_events(late(again, 12)), sell_events(late(i.positions.filter(number % 7 == 0), 13)),
+    ]
+    events = reduce(DataFrame.unionByName, parts)
+    folder = f"{shared_folder(i.spark)}/events-{uuid.uuid4().hex}"
+    events.repartition(6, F.xxhash64("ticker", "kind", "date", "seq")).write.parquet(f"{folder}/landed")
+    stream = i.spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{folder}/landed")
+    return follow(stream, f"{folder}/out", f"{folder}/state")
+
+
 def _newest_marks(i: _Inputs) -> DataFrame:
     """High-water update planned with the table of newest bars instead of history."""
     held = newest.newest_of(store.keep_tickers(i.old, i.solvent))
@@ -408,6 +429,7 @@ _QUERIES: dict[str, Query] = {
     "position_size": _position_size,
     "ratchet": lambda i: pos.ratcheted(i.positions, i.bars, P),
     "ratchet_since_last_run": lambda i: pos.ratcheted(i.positions, i.bars, P, since_last_run=True),
+    "ratchet_stream": _ratchet_stream,
     "ratchet_state": lambda i: moving_peaks(i.bars, i.positions),
     "position_check": lambda i: pos.check_positions(i.positions, i.bars, P),
     "sell_signals": lambda i: pos.sell_signals(i.positions, i.bars, P),
