@@ -72,6 +72,70 @@ def test_folder_with_ticker_list_and_thousands(spark, folder):
     assert tuple(csv_files.load_stats(load.files).first())[:4] == (1, 1, 4, 6)
 
 
+@pytest.mark.parametrize("headers", [csv_files.MOST_HEADERS, 1, 0])
+def test_folder_with_rare_headers(spark, folder, monkeypatch, headers):
+    """Files beyond the headers that get scans of their own are read line by line, with equal results."""
+    monkeypatch.setattr(csv_files, "MOST_HEADERS", headers)
+    load = csv_files.load_folder(spark, folder, ingest_seq=1)
+    assert rows(load.bars) == GOOD + [
+        ("OTHER", "2024-02-01", None, 1.0, 1.0, 1.0, 0),
+        ("SWAP", "2024-01-05", 1.0, 2.0, 3.0, 4.0, 7),
+    ]
+    assert tuple(csv_files.load_stats(load.files).first())[:4] == (3, 3, 0, 6)
+
+
+def test_quoted_line_breaks_and_blank_lines(spark, tmp_path):
+    (tmp_path / "N_data.csv").write_text(
+        "\n" + 'Note,Date,Open,High,Low,Close,Volume\n"said\n""buy"", then\nsold",2024-01-05,1,2,0.5,1.5,10\n\nplain,2024-01-08,2,2,2,2,20\n'
+    )
+    (tmp_path / "P_data.csv").write_text("Note,Date,Open,High,Low,Close,Volume\nx,2024-01-05,1,1,1,1,1\n")
+    load = csv_files.load_folder(spark, str(tmp_path), 1)
+    assert rows(load.bars) == [
+        ("N", "2024-01-05", 1.0, 2.0, 0.5, 1.5, 10), ("N", "2024-01-08", 2.0, 2.0, 2.0, 2.0, 20),
+        ("P", "2024-01-05", 1.0, 1.0, 1.0, 1.0, 1),
+    ]
+    assert {r.ticker: r.rows for r in load.files.collect()} == {"N": 2, "P": 1}
+
+
+@pytest.mark.parametrize("named", [csv_files.MOST_NAMED, 0])
+def test_order_of_day_and_month_is_each_files_own(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(csv_files, "MOST_NAMED", named)
+    for name, days in {"D": ["25/01/2024", "05/02/2024"], "M": ["01/25/2024", "02/05/2024"], "H": ["05-02-2024"], "S": ["02/05/2024"]}.items():
+        (tmp_path / f"{name}_data.csv").write_text(HEAD + "".join(f"{d},1,1,1,1,1\n" for d in days))
+    got = csv_files.load_folder(spark, str(tmp_path), 1).bars
+    assert sorted({(r.ticker, str(r.date)) for r in got.collect()}) == [
+        ("D", "2024-01-25"), ("D", "2024-02-05"), ("H", "2024-02-05"), ("M", "2024-01-25"), ("M", "2024-02-05"), ("S", "2024-02-05"),
+    ]
+
+
+def test_odd_names_and_folders_of_parts(spark, tmp_path):
+    plain, parted = tmp_path / "plain", tmp_path / "parted"
+    plain.mkdir()
+    for name in ("A[1]_data.csv", "B{x} %41+.csv", "C*d.csv"):
+        (plain / name).write_text(HEAD + "2024-01-05,1,1,1,1,1\n")
+        (parted / f"name={name}").mkdir(parents=True)
+        (parted / f"name={name}" / "part-0.txt").write_text(HEAD + "2024-01-05,1,1,1,1,1\n")
+    want = [(t, "2024-01-05", 1.0, 1.0, 1.0, 1.0, 1) for t in ("A[1]", "B{x} %41+", "C*d")]
+    assert rows(csv_files.load_folder(spark, str(plain), 1).bars) == want
+    assert rows(csv_files.load_folder(spark, str(plain), 1, only=["C*d"]).bars) == want[2:]
+    assert rows(csv_files.load_folder(spark, str(parted), 1, folders=True).bars) == want
+
+
+def test_lines_of_files_are_not_shuffled(spark, folder):
+    """Before the grouping by ticker and day there is no exchange, and nothing but scans of CSV."""
+    plan = csv_files.load_folder(spark, folder, 1).bars._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(ticker") == plan.count("Exchange")
+    assert "FileScan csv" in plan and "FileScan text" not in plan
+
+
+def test_no_file_can_be_used(spark, tmp_path):
+    (tmp_path / "X.csv").write_text("a,b\n1,2\n")
+    load = csv_files.load_folder(spark, str(tmp_path), 1)
+    assert load.bars.collect() == [] and [(r.ticker, r.status) for r in load.files.collect()] == [("X", "failed")]
+    none = csv_files.load_folder(spark, str(tmp_path), 1, only=["Y"])
+    assert none.bars.collect() == [] and [r.status for r in none.files.collect()] == ["skipped"]
+
+
 def test_uniform_reader(spark, folder):
     assert rows(csv_files.read_uniform(spark, folder + "/GOOD_data.csv", 1)) == GOOD
     named = csv_files.read_uniform(spark, folder + "/GOOD_data.csv", 1, ticker="Z")

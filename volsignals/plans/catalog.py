@@ -31,7 +31,7 @@ from volsignals.plans.dashboard import dashboard, positions_with_stops
 from volsignals.session import shared_folder
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
-from volsignals.sources.csv_files import load_lines, load_stats, ticker_of
+from volsignals.sources.csv_files import load_folder, load_stats
 from volsignals.sources.vendors import from_vendor_b, vendor_a_bars
 from volsignals.streaming.ratchet import EVENTS, bar_events, buy_events, follow, moving_peaks, sell_events
 from volsignals.texts import VENDOR_B_SOURCE
@@ -315,7 +315,7 @@ def _clean_rows(i: _Inputs) -> DataFrame:
 
 
 def _csv_lines(i: _Inputs):
-    """Every supplier's line items as the lines of a file, dates spelled in a way of its own.
+    """Every supplier's line items landed as a file, dates spelled in a way of its own, and loaded.
 
     Every eleventh file lacks a column; dates of quantity 13 are no dates.
     """
@@ -326,18 +326,19 @@ def _csv_lines(i: _Inputs):
     for k, spelling in enumerate(spellings):
         spelled = spelled.when(tk % len(spellings) == k, F.date_format(day, spelling))
     price = (F.lit(100.0) + F.col("l_discount") * 100.0).cast("string")
-    file = F.concat(F.lit("file:/landing/T"), tk.cast("string"), F.lit("_data.csv"))
+    file = F.concat(F.lit("T"), tk.cast("string"), F.lit("_data.csv"))
     lines = src.table(i.spark, i.sf, "lineitem").select(
         F.concat_ws(",", price, spelled, price, price, price, F.col("l_quantity").cast("string")).alias("value"),
-        file.alias("_file"), F.lit(0).alias("_block"), F.expr(src.LINE_ORDER).alias("_row"),
+        file.alias("name"), F.expr(src.LINE_ORDER).alias("_row"),
     )
     header = F.when(tk % 11 == 0, "Open,Date,High,Low,Close").otherwise("Open,Date,High,Low,Close,Volume")
     heads = src.table(i.spark, i.sf, "lineitem").select(
-        header.alias("value"), file.alias("_file"), F.lit(0).alias("_block"), F.lit(-1).alias("_row")
+        header.alias("value"), file.alias("name"), F.lit(-1).alias("_row")
     ).distinct()
-    lines = heads.unionByName(lines)
-    files = heads.select("_file", ticker_of(F.col("_file")).alias("ticker"))
-    return load_lines(lines, files, 4)
+    folder = f"{shared_folder(i.spark)}/landed-{uuid.uuid4().hex}"
+    lines = heads.unionByName(lines).repartition("name").sortWithinPartitions("name", "_row")
+    lines.select("name", "value").write.partitionBy("name").text(folder)
+    return load_folder(i.spark, folder, 4, folders=True)
 
 
 Query = Callable[[_Inputs], DataFrame]

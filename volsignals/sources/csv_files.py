@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,8 +69,8 @@ class Load:
     files: DataFrame  # file, ticker, status, rows, bad_dates
 
 
-def _lines(spark: SparkSession, glob: str) -> DataFrame:
-    return spark.read.text(glob).select(
+def _lines(text: DataFrame) -> DataFrame:
+    return text.select(
         "value",
         F.input_file_name().alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -73,6 +78,12 @@ def _lines(spark: SparkSession, glob: str) -> DataFrame:
     )
 
 
+#: Headers that get a scan of their own; files with other headers are read line by line.
+MOST_HEADERS = 24
+#: Files that a scan's expression names one by one; more of them are a scan of their own.
+MOST_NAMED = 2000
+
+
 def load_folder(
     spark: SparkSession,
     folder: str,
@@ -81,23 +92,173 @@ def load_folder(
     source: str = CSV_SOURCE,
     thousands: bool = False,
     formats: tuple[str, ...] = DATE_FORMATS,
+    folders: bool = False,
 ) -> Load:
     """Every ``*.csv`` of a folder, columns taken by name from each file's own header.
 
+    A first pass over the lines finds each file's header, and whether a quoted field runs over a
+    line's end; a second one parses the dates and finds whether days or months come first where the
+    year is last. Both end in one row per file on the driver, which holds the file's name in any
+    case. Files that agree in header and line ends are one native CSV scan, split like any other unless
+    fields run over lines: no line is shuffled to meet its file's header. With ``folders`` each
+    file lies in a folder of its own name, as a partitioned writer leaves it (``name=T1_data.csv``).
     A folder that is missing or has no such file gives no bars and no files.
     """
-    glob = f"{folder}/*.csv"
+    glob = f"{folder}/*.csv/*" if folders else f"{folder}/*.csv"
     try:
         # The names in the scan's own file index, which the driver holds in any case. Unlike a
         # scan's rows, they include the empty files.
-        listed = [(uri,) for uri in spark.read.text(glob).inputFiles()]
+        text = spark.read.text(glob)
+        uris = text.inputFiles()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         none = "file STRING, ticker STRING, status STRING, rows BIGINT, bad_dates BIGINT"
         return Load(spark.createDataFrame([], BARS), spark.createDataFrame([], none))
-    files = spark.createDataFrame(listed, "_file STRING").withColumn("ticker", ticker_of(F.col("_file")))
-    return load_lines(_lines(spark, glob), files, ingest_seq, only, source, thousands, formats)
+    name = _folder_name if folders else _file_name
+    files = spark.createDataFrame([(uri,) for uri in uris], "_file STRING").withColumn("ticker", ticker_of(name(F.col("_file"))))
+    wanted = {r._file for r in files.filter(_wanted(only)).collect()}
+    if only is not None and wanted:
+        text = spark.read.text(_paths(sorted(wanted)))
+    heads = _headers(_lines(text), wanted) if wanted else {}
+    common = [h for h, _ in Counter(names for names, _ in heads.values()).most_common(MOST_HEADERS)]
+    groups: dict[tuple, list[str]] = {}
+    for uri, (names, over) in heads.items():
+        if names in common:
+            groups.setdefault((names, over), []).append(uri)
+    scans = {key: _scan(spark, own, *key, name) for key, own in groups.items()}
+    votes = _day_first(scans.values())
+    parsed = []
+    for (names, over), own in groups.items():
+        first, last = ([uri for uri in own if votes.get(uri, True) == x] for x in (True, False))
+        if not first or not last:
+            some = [(scans[names, over], F.lit(bool(first)))]
+        elif min(len(first), len(last)) <= MOST_NAMED:
+            few, is_first = (first, True) if len(first) <= len(last) else (last, False)
+            some = [(scans[names, over], F.col("_file").isin(few) == F.lit(is_first))]
+        else:
+            some = [(_scan(spark, x, names, over, name), F.lit(x is first)) for x in (first, last)]
+        parsed += [parse(rows.withColumn("_text", F.col("Date")), thousands, formats, day) for rows, day in some]
+    rest = [uri for uri, (names, _) in heads.items() if names not in common]
+    if rest:
+        others = spark.createDataFrame([(uri,) for uri in rest], "_file STRING").withColumn("ticker", ticker_of(name(F.col("_file"))))
+        parsed.append(_parsed_lines(_lines(spark.read.text(_paths(rest))), others, thousands, formats)[1])
+    if not parsed:  # no file can be used
+        empty = spark.createDataFrame([], ", ".join(f"{c} STRING" for c in (*REQUIRED, "ticker", "_file", "_text")) + ", _block LONG, _row LONG")
+        parsed = [parse(empty)]
+    rows = reduce(DataFrame.unionByName, parsed)
+    return _load(rows, files.withColumn("_wanted", _wanted(only)), source, ingest_seq)
+
+
+def _wanted(only: list[str] | None) -> Column:
+    return F.lit(True) if only is None else F.col("ticker").isin(list(only))
+
+
+def _paths(uris: list[str]) -> list[str]:
+    """File URIs as paths that a reader takes literally."""
+    return [re.sub(r"([*?{}\[\]\\])", r"\\\1", unquote(uri)) for uri in uris]
+
+
+def _headers(lines: DataFrame, wanted: set[str]) -> dict[str, tuple[tuple[str, ...], bool]]:
+    """Column names of each wanted file that has all required ones, and whether a field runs over lines.
+
+    Only lines with all required names can be a usable header, so they alone are grouped by their
+    text; of the others a number per file is enough. All of it is combined before the shuffle.
+    """
+    value = F.col("value")
+    possible = F.lit(True)
+    for c in REQUIRED:
+        possible = possible & value.contains(c)
+    at_start = (F.col("_block") == 0) & (F.trim("value") != "")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = lines.withColumns({
+        "_head": F.when(possible & at_start, value), "_first": F.when(at_start, F.col("_row")),
+        "_odd": (quotes % 2).cast("int"),
+    })
+    texts = lines.groupBy("_file", "_head").agg(F.min("_first").alias("_first"), F.max("_odd").alias("_odd"))
+    found = texts.groupBy("_file").agg(
+        F.min_by("_head", F.when(F.col("_first").isNotNull(), F.col("_first"))).alias("head"), F.max("_odd").alias("odd")
+    )
+    out = {}
+    for r in found.collect():
+        if r._file in wanted and r["head"] is not None:
+            names = tuple(re.sub('^\ufeff|"', "", r["head"]).split(","))
+            if all(c in names for c in REQUIRED):
+                out[r._file] = names, bool(r.odd)
+    return out
+
+
+def _file_name(uri: Column) -> Column:
+    return uri
+
+
+def _folder_name(uri: Column) -> Column:
+    return F.regexp_replace(F.regexp_extract(uri, "([^/]+)/[^/]+$", 1), "^[^=]*=", "")
+
+
+def _scan(
+    spark: SparkSession, uris: list[str], names: tuple[str, ...], over: bool, name: Callable[[Column], Column] = _file_name
+) -> DataFrame:
+    """One native scan of files with one header: the six columns as text, and each row's place."""
+    schema = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    raw = spark.read.schema(schema).options(header=True, enforceSchema=True, multiLine=over, escape='"').csv(_paths(uris))
+    return raw.select(
+        *[F.col(f"c{names.index(c)}").alias(c) for c in REQUIRED],
+        ticker_of(name(F.col("_metadata.file_path"))).alias("ticker"),
+        F.input_file_name().alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+
+
+def _votes() -> list[Column]:
+    """Aggregates over a file's dates: those that can only have the day first, the month first, slashes."""
+    return [
+        F.count_if(order_votes(F.col("Date")) > 0).alias("_day"),
+        F.count_if(order_votes(F.col("Date")) < 0).alias("_month"),
+        F.count_if(F.trim("Date").rlike(r"^\d{1,2}/")).alias("_slashes"),
+    ]
+
+
+def _by_votes() -> Column:
+    """Hyphens mean the day first unless the file says otherwise, slashes the month."""
+    return F.when(F.col("_day") != F.col("_month"), F.col("_day") > F.col("_month")).otherwise(F.col("_slashes") == 0)
+
+
+def _day_first(scans: Iterable[DataFrame]) -> dict[str, bool]:
+    """Per file with dates, whether days come first where the year is last; reads the date column."""
+    dates = [rows.select("_file", "Date") for rows in scans]
+    if not dates:
+        return {}
+    per_file = reduce(DataFrame.unionByName, dates).groupBy("_file").agg(*_votes())
+    return {r._file: r.first for r in per_file.select("_file", _by_votes().alias("first")).collect()}
+
+
+def _load(parsed: DataFrame, files: DataFrame, source: str, ingest_seq: int) -> Load:
+    """Bars of parsed rows, and the outcome of each of ``files`` (_file, ticker, _wanted)."""
+    bars = canonical(parsed, source, ingest_seq, _order())
+    good = F.col("date").isNotNull() & F.coalesce(*PRICES).isNotNull()
+    # a header or a blank is no date that failed
+    failed = F.col("date").isNull() & (F.trim("_text") != "") & (F.trim("_text") != "Date")
+    rows = parsed.groupBy("_file").agg(
+        F.count_if(good).alias("rows"), F.count_if(failed).alias("bad_dates")
+    )
+    zero = F.lit(0).cast("bigint")
+    status = (
+        files.select("_file", "ticker", "_wanted")
+        .join(rows, "_file", "left")
+        .select(
+            F.col("_file").alias("file"),
+            "ticker",
+            F.when(~F.col("_wanted"), "skipped")
+            .when(F.col("rows") > 0, "success")
+            .otherwise("failed")
+            .alias("status"),
+            F.coalesce("rows", zero).alias("rows"),
+            F.coalesce("bad_dates", zero).alias("bad_dates"),
+        )
+    )
+    return Load(bars, status)
 
 
 def load_lines(
@@ -118,8 +279,15 @@ def load_lines(
     months, where there is none. The header line itself needs no special care: its date does not
     parse. Dates that do not parse are counted in ``files``.
     """
-    wanted = F.lit(True) if only is None else F.col("ticker").isin(list(only))
-    files = files.withColumn("_wanted", wanted)
+    files = files.withColumn("_wanted", _wanted(only))
+    plan, parsed = _parsed_lines(lines, files, thousands, formats)
+    return _load(parsed, plan, source, ingest_seq)
+
+
+def _parsed_lines(
+    lines: DataFrame, files: DataFrame, thousands: bool, formats: tuple[str, ...]
+) -> tuple[DataFrame, DataFrame]:
+    """``files`` with the places of their columns, and the parsed rows of those that can be used."""
     names = F.split(F.regexp_replace(F.regexp_replace("_header", "^\ufeff", ""), '"', ""), ",")
     headers = (
         lines.filter("_block = 0")
@@ -131,6 +299,8 @@ def load_lines(
     usable = F.lit(True)
     for c in REQUIRED:
         usable = usable & (place[c] > 0)
+    if "_wanted" not in files.columns:
+        files = files.withColumn("_wanted", F.lit(True))
     plan = (
         files.join(headers, "_file", "left")
         .withColumn("_usable", F.coalesce(usable, F.lit(False)))
@@ -150,38 +320,9 @@ def load_lines(
             *[F.try_element_at("_cells", F.col(f"_place.{c}")).alias(c) for c in REQUIRED],
         )
     )
-    votes = picked.groupBy("_file").agg(
-        F.count_if(order_votes(F.col("Date")) > 0).alias("_day"),
-        F.count_if(order_votes(F.col("Date")) < 0).alias("_month"),
-        F.count_if(F.trim("Date").rlike(r"^\d{1,2}/")).alias("_slashes"),
-    )
-    # hyphens mean the day first unless the file says otherwise, slashes the month
-    day = F.when(F.col("_day") != F.col("_month"), F.col("_day") > F.col("_month")).otherwise(F.col("_slashes") == 0)
-    ordered = picked.join(votes.select("_file", day.alias("_day_first")), "_file")
-    parsed = parse(ordered.withColumn("_text", F.col("Date")), thousands, formats, F.col("_day_first"))
-    bars = canonical(parsed, source, ingest_seq, _order())
-    good = F.col("date").isNotNull() & F.coalesce(*PRICES).isNotNull()
-    # a header or a blank is no date that failed
-    failed = F.col("date").isNull() & (F.trim("_text") != "") & (F.trim("_text") != "Date")
-    rows = parsed.groupBy("_file").agg(
-        F.count_if(good).alias("rows"), F.count_if(failed).alias("bad_dates")
-    )
-    zero = F.lit(0).cast("bigint")
-    status = (
-        plan.select("_file", "ticker", "_wanted")
-        .join(rows, "_file", "left")
-        .select(
-            F.col("_file").alias("file"),
-            "ticker",
-            F.when(~F.col("_wanted"), "skipped")
-            .when(F.col("rows") > 0, "success")
-            .otherwise("failed")
-            .alias("status"),
-            F.coalesce("rows", zero).alias("rows"),
-            F.coalesce("bad_dates", zero).alias("bad_dates"),
-        )
-    )
-    return Load(bars, status)
+    votes = picked.groupBy("_file").agg(*_votes())
+    ordered = picked.join(votes.select("_file", _by_votes().alias("_day_first")), "_file")
+    return plan, parse(ordered.withColumn("_text", F.col("Date")), thousands, formats, F.col("_day_first")).drop("_day_first")
 
 
 def load_stats(files: DataFrame) -> DataFrame:
