@@ -348,6 +348,18 @@ def oracle_sql() -> dict[str, str]:
             SELECT ticker, {day}, {ohlcv} FROM old o
             WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
             UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc"""),
+        "stream_ingest": _q(BARS, _OLD, _INC, select=f"""
+            SELECT ticker, {day}, {ohlcv} FROM old o
+            WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
+            UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc"""),
+        "full_refresh": _q(BARS, _OLD, _INC, select=f"""
+            SELECT ticker, {day}, {ohlcv} FROM old o
+            WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)
+            UNION ALL SELECT ticker, {day}, {ohlcv} FROM inc WHERE ticker IN (SELECT ticker FROM old)"""),
+        "csv_uniform": _q(BARS, select=f"""SELECT ticker, {day}, floor(open * 100) AS open, floor(high * 100) AS high,
+            floor(low * 100) AS low, floor(close * 100) AS close, volume, 'adjusted_data' AS source,
+            CAST(5 AS BIGINT) AS ingest_seq FROM bars"""),
+        "fundamentals_file": _q(BARS, select="SELECT ticker, floor(paid_up_capital * 100) AS paid_up_capital FROM caps"),
         "disk_table": _q(BARS, _OLD, _INC, select=f"""
             SELECT ticker, {day}, {ohlcv} FROM old o
             WHERE NOT EXISTS (SELECT 1 FROM inc n WHERE n.ticker = o.ticker AND n.date = o.date)

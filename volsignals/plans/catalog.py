@@ -31,8 +31,9 @@ from volsignals.plans.dashboard import dashboard, positions_with_stops
 from volsignals.session import shared_folder
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
-from volsignals.sources.csv_files import load_folder, load_stats
+from volsignals.sources.csv_files import load_folder, load_stats, read_fundamentals, read_uniform
 from volsignals.sources.vendors import from_vendor_b, vendor_a_bars
+from volsignals.streaming.ingest import start_ingest
 from volsignals.streaming.ratchet import EVENTS, bar_events, buy_events, follow, moving_peaks, sell_events
 from volsignals.texts import VENDOR_B_SOURCE
 
@@ -341,6 +342,47 @@ def _csv_lines(i: _Inputs):
     return load_folder(i.spark, folder, 4, folders=True)
 
 
+def _land(bars: DataFrame, folder: str, thousands: bool = False) -> None:
+    """Bars as one CSV file per ticker with the standard header; prices in hundredths with separators if wanted."""
+    number = (lambda c: F.format_number(F.floor(F.col(c) * 100), 0)) if thousands else (lambda c: F.col(c).cast("string"))
+    rows = bars.select(
+        F.concat("ticker", F.lit("_data.csv")).alias("name"), F.col("date").cast("string").alias("Date"),
+        *[number(c).alias(c.capitalize()) for c in ("open", "high", "low", "close")],
+        (F.format_number("volume", 0) if thousands else F.col("volume").cast("string")).alias("Volume"),
+    )
+    rows.repartition("name").write.mode("append").partitionBy("name").option("header", True).csv(folder)
+
+
+def _csv_uniform(i: _Inputs) -> DataFrame:
+    folder = f"{shared_folder(i.spark)}/landed-{uuid.uuid4().hex}"
+    _land(i.bars, folder, thousands=True)
+    return read_uniform(i.spark, f"{folder}/*.csv/*", 5, thousands=True, folders=True)
+
+
+def _stream_ingest(i: _Inputs) -> DataFrame:
+    """Files land, the stream takes them into the table; corrections land, and it goes on."""
+    folder = f"{shared_folder(i.spark)}/landing-{uuid.uuid4().hex}"
+    for batch in (i.old, i.increment):
+        _land(batch, f"{folder}/in")
+        start_ingest(i.spark, f"{folder}/in", f"{folder}/table", f"{folder}/state", buckets=8, folders=True).awaitTermination()
+    return snapshots.read_bars(i.spark, f"{folder}/table").drop("source", "ingest_seq")
+
+
+def _fundamentals_file(i: _Inputs) -> DataFrame:
+    """Capital in hundredths with separators, every ticker twice, some of it no number."""
+    folder = f"{shared_folder(i.spark)}/landed-{uuid.uuid4().hex}"
+    cents = F.format_number(F.floor(F.col("paid_up_capital") * 100), 0)
+    row = lambda text, n: F.struct(text.alias("paid_up_capital"), F.lit(n).alias("_n"))
+    rows = i.caps.select("ticker", F.inline(F.array(row(F.lit("1"), 0), row(cents, 1), row(F.lit("n/a"), 2))))
+    rows.repartition("ticker").sortWithinPartitions("ticker", "_n").drop("_n").write.option("header", True).csv(folder)
+    return read_fundamentals(i.spark, folder)
+
+
+def _full_refresh(i: _Inputs) -> DataFrame:
+    meta = store.batch_meta(i.old, "adjusted_data", LOADED_AT)
+    return update.apply_delivery(i.old, meta, i.increment, "stocksurferbd", LOADED_AT).bars
+
+
 Query = Callable[[_Inputs], DataFrame]
 
 _QUERIES: dict[str, Query] = {
@@ -413,6 +455,10 @@ _QUERIES: dict[str, Query] = {
     "upsert_duplicates": _upsert_duplicates,
     "vendor_a": _vendor_a,
     "csv_lines": lambda i: _csv_lines(i).bars,
+    "csv_uniform": _csv_uniform,
+    "stream_ingest": _stream_ingest,
+    "fundamentals_file": _fundamentals_file,
+    "full_refresh": _full_refresh,
     "csv_files": lambda i: _csv_lines(i).files.select("ticker", "status", "rows", "bad_dates"),
     "csv_stats": lambda i: load_stats(_csv_lines(i).files),
     "failed_tickers": lambda i: increments.failed_tickers(increments.delivery(i.caps, _delivered(i))),

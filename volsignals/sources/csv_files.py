@@ -42,19 +42,22 @@ def read_uniform(
     source: str = CSV_SOURCE,
     thousands: bool = False,
     formats: tuple[str, ...] = DATE_FORMATS,
+    folders: bool = False,
 ) -> DataFrame:
     """Files whose header is exactly the six columns in their usual order; one scan.
 
     Spark maps CSV columns by position, so a file with another header fails the read instead
-    of having its columns swapped; :func:`load_folder` takes such files.
+    of having its columns swapped; :func:`load_folder` takes such files. With ``folders`` a file's
+    name is that of the folder it lies in.
     """
+    name = folder_name if folders else file_name
     raw = (
         spark.read.schema(TEXT_SCHEMA)
         .options(header=True, enforceSchema=False)
         .csv(path)
         .select(
             "*",
-            (F.lit(ticker) if ticker else ticker_of(F.col("_metadata.file_path"))).alias("ticker"),
+            (F.lit(ticker) if ticker else ticker_of(name(F.col("_metadata.file_path")))).alias("ticker"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
@@ -115,7 +118,7 @@ def load_folder(
             raise
         none = "file STRING, ticker STRING, status STRING, rows BIGINT, bad_dates BIGINT"
         return Load(spark.createDataFrame([], BARS), spark.createDataFrame([], none))
-    name = _folder_name if folders else _file_name
+    name = folder_name if folders else file_name
     files = spark.createDataFrame([(uri,) for uri in uris], "_file STRING").withColumn("ticker", ticker_of(name(F.col("_file"))))
     wanted = {r._file for r in files.filter(_wanted(only)).collect()}
     if only is not None and wanted:
@@ -188,16 +191,16 @@ def _headers(lines: DataFrame, wanted: set[str]) -> dict[str, tuple[tuple[str, .
     return out
 
 
-def _file_name(uri: Column) -> Column:
+def file_name(uri: Column) -> Column:
     return uri
 
 
-def _folder_name(uri: Column) -> Column:
+def folder_name(uri: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(uri, "([^/]+)/[^/]+$", 1), "^[^=]*=", "")
 
 
 def _scan(
-    spark: SparkSession, uris: list[str], names: tuple[str, ...], over: bool, name: Callable[[Column], Column] = _file_name
+    spark: SparkSession, uris: list[str], names: tuple[str, ...], over: bool, name: Callable[[Column], Column] = file_name
 ) -> DataFrame:
     """One native scan of files with one header: the six columns as text, and each row's place."""
     schema = ", ".join(f"c{i} STRING" for i in range(len(names)))

@@ -13,18 +13,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from volsignals.operators.snapshots import BUCKETS, merge_bars
 from volsignals.sources.cleaning import canonical, parse
-from volsignals.sources.csv_files import TEXT_SCHEMA, ticker_of
+from volsignals.sources.csv_files import TEXT_SCHEMA, file_name, folder_name, ticker_of
 from volsignals.texts import CSV_SOURCE
 
 
-def landing_rows(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """Stream of parsed rows of new files with the standard header."""
+def landing_rows(
+    spark: SparkSession, folder: str, max_files: int | None = None, folders: bool = False
+) -> DataFrame:
+    """Stream of parsed rows of new files with the standard header; with ``folders`` each lies in a
+    folder of its own name, as a partitioned writer leaves it."""
+    name = folder_name if folders else file_name
     reader = spark.readStream.schema(TEXT_SCHEMA).options(header=True, enforceSchema=False)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    raw = reader.csv(folder).select(
+    raw = reader.csv(f"{folder}/*.csv" if folders else folder).select(
         "*",
-        ticker_of(F.col("_metadata.file_path")).alias("ticker"),
+        ticker_of(name(F.col("_metadata.file_path"))).alias("ticker"),
         F.col("_metadata.file_modification_time").alias("_landed"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -40,6 +44,7 @@ def start_ingest(
     source: str = CSV_SOURCE,
     max_files: int | None = None,
     buckets: int = BUCKETS,
+    folders: bool = False,
 ) -> StreamingQuery:
     """Merge everything that has landed into the table at ``table_path`` and stop. The stream's name in the
     table is its checkpoint folder."""
@@ -51,7 +56,7 @@ def start_ingest(
         merge_bars(batch.sparkSession, table_path, bars, buckets, (checkpoint, batch_id))
 
     return (
-        landing_rows(spark, folder, max_files)
+        landing_rows(spark, folder, max_files, folders)
         .writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
