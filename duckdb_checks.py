@@ -258,6 +258,13 @@ def oracle_sql() -> dict[str, str]:
     ohlcv = "open, high, low, close, volume"
     day = "CAST(date AS VARCHAR) AS date"
     held = "ticker, buy_price, quantity, highest_seen, CAST(purchase_date AS VARCHAR) AS purchase_date, notes"
+    summary_cte = f"""s AS (
+              SELECT count(*) AS total_positions,
+                {_total('p.buy_price * CAST(p.quantity AS DOUBLE)')} AS total_invested,
+                {_total('b.close * CAST(p.quantity AS DOUBLE)')} AS current_value
+              FROM positions p JOIN bars b ON b.ticker = p.ticker AND b.back = 1)"""
+    summary = """SELECT *, current_value - total_invested AS total_profit,
+                (current_value - total_invested) / total_invested * 100 AS profit_pct FROM s"""
     ind_cols = (
         f"ticker, {day}, close, volume, bar_no, sma_200, avg_volume_20, rvol, price_change, "
         "price_change_pct, daily_range, short_history"
@@ -289,6 +296,8 @@ def oracle_sql() -> dict[str, str]:
                 FROM (SELECT DISTINCT ticker FROM bars) n LEFT JOIN hit h ON h.ticker = n.ticker"""),
         "indicators": _q(BARS, ind, select=f"SELECT {ind_cols} FROM ind"),
         "indicators_segmented": _q(BARS, ind, select=f"SELECT {ind_cols} FROM ind"),
+        "indicators_continued": _q(BARS, ind, select=f"SELECT {ind_cols} FROM ind"),
+        "indicators_refreshed": _q(BARS, ind, select=f"SELECT {ind_cols} FROM ind"),
         "ghost_flag": _q(BARS, ind, select=f"SELECT ticker, {day}, ghost FROM ind WHERE from_end = 1"),
         "stuck_flag": _q(BARS, ind, select=f"""SELECT ticker, {day}, stuck, flat_idle FROM ind
             WHERE from_end = 1"""),
@@ -472,11 +481,12 @@ def oracle_sql() -> dict[str, str]:
                   THEN 'No data for date 2000-06-15' ELSE 'No data available' END) AS message,
                 h.date, h.close, h.score, h.signal
                 FROM asked a LEFT JOIN hit h ON h.ticker = a.ticker"""),
-        "dashboard": _q(BARS, POSITIONS, STATE, select="""
-            SELECT 'positions' AS part, count(*) AS rows FROM positions
-            UNION ALL SELECT 'summary', 1
-            UNION ALL SELECT 'signals', count(*) FROM decided WHERE signal_type IS NOT NULL
-            UNION ALL SELECT 'tickers', count(DISTINCT ticker) FROM bars"""),
+        "dashboard": _q(BARS, POSITIONS, STATE, summary_cte, select=f"""
+            SELECT 'positions' AS part, {held}, buy_price * CAST(0.93 AS DOUBLE) AS stop_loss_price,
+              highest_seen * CAST(0.95 AS DOUBLE) AS trailing_stop_price FROM positions
+            UNION ALL BY NAME SELECT 'summary' AS part, * FROM ({summary})
+            UNION ALL BY NAME SELECT 'signals' AS part, * FROM decided WHERE signal_type IS NOT NULL
+            UNION ALL BY NAME SELECT DISTINCT 'tickers' AS part, ticker FROM bars"""),
         "position_add": _q(BARS, POSITIONS, """held AS (SELECT * FROM positions
               WHERE ticker IN (SELECT ticker FROM caps WHERE paid_up_capital >= 0))""",
             select=f"""SELECT {held} FROM held UNION ALL
@@ -525,13 +535,7 @@ def oracle_sql() -> dict[str, str]:
         "position_check": _q(BARS, POSITIONS, STATE, select="SELECT * FROM decided"),
         "sell_signals": _q(BARS, POSITIONS, STATE, select="""SELECT * FROM decided
             WHERE signal_type IS NOT NULL"""),
-        "portfolio_summary": _q(BARS, POSITIONS, f"""s AS (
-              SELECT count(*) AS total_positions,
-                {_total('p.buy_price * CAST(p.quantity AS DOUBLE)')} AS total_invested,
-                {_total('b.close * CAST(p.quantity AS DOUBLE)')} AS current_value
-              FROM positions p JOIN bars b ON b.ticker = p.ticker AND b.back = 1)""",
-            select="""SELECT *, current_value - total_invested AS total_profit,
-                (current_value - total_invested) / total_invested * 100 AS profit_pct FROM s"""),
+        "portfolio_summary": _q(BARS, POSITIONS, summary_cte, select=summary),
         "bonus_adjust": _q(BARS, _ADJUSTED, select=f"SELECT ticker, {day}, {ohlcv} FROM adjusted"),
         "backtest": _q(BARS, ind, scored, PATHS, select="SELECT * FROM backtest"),
         "trade_quality": _q(BARS, ind, scored, PATHS, f"""s AS (

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from volsignals.operators import backtest as bt
 from volsignals.operators import increments, newest, snapshots, store
 from volsignals.operators import positions as pos
+from volsignals.operators.continued import advance, continued, indicator_state, refreshed
 from volsignals.operators.corporate import adjust_for_bonus
 from volsignals.operators.indicators import (
     indicators, indicators_segmented, latest_flags, latest_indicators, newest_bars,
@@ -27,8 +28,8 @@ from volsignals.operators.scoring import with_capital
 from volsignals.operators.screens import drop_category, drop_idle_floor, drop_penny_traps, screen
 from volsignals.plans import reports, update
 from volsignals.plans.analyze import analyze, latest_status, passing, signal_history
-from volsignals.plans.dashboard import dashboard, positions_with_stops
-from volsignals.session import shared_folder
+from volsignals.plans.dashboard import dashboard, feed, positions_with_stops, read_feed
+from volsignals.session import shared_folder, written
 from volsignals.sources import driver_tables as src
 from volsignals.sources.cleaning import canonical, parse
 from volsignals.sources.csv_files import load_folder, load_stats, read_fundamentals, read_uniform
@@ -226,14 +227,8 @@ def _one_ticker(i: _Inputs) -> DataFrame:
 
 
 def _dashboard(i: _Inputs) -> DataFrame:
-    """The dashboard's tables as JSON rows."""
-    d = dashboard(i.positions, i.bars, P)
-    parts = {"positions": d.positions, "summary": d.summary, "signals": d.signals, "tickers": d.tickers}
-    out = None
-    for name, df in parts.items():
-        rows = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """The dashboard's four tables through its JSON feed and back to typed columns."""
+    return read_feed(feed(dashboard(i.positions, i.bars, P)))
 
 
 def _vendor_a(i: _Inputs) -> DataFrame:
@@ -342,6 +337,32 @@ def _csv_lines(i: _Inputs):
     return load_folder(i.spark, folder, 4, folders=True)
 
 
+_SHOWN = [
+    "ticker", "date", "close", "volume", "bar_no", "sma_200", "avg_volume_20", "rvol",
+    "price_change", "price_change_pct", "daily_range", "short_history",
+]
+
+
+def _indicators_continued(i: _Inputs) -> DataFrame:
+    """Indicators up to a day, and those of two increments after it from the stored state."""
+    new = i.bars.filter(F.col("date") > F.lit(OLD_UNTIL))
+    one, two = new.filter(F.col("date") <= F.lit(TODAY)), new.filter(F.col("date") > F.lit(TODAY))
+    state = written(indicator_state(i.old, P), "state")
+    parts = [indicators(i.old, P), continued(state, one, P), continued(advance(state, one, P), two, P)]
+    return reduce(DataFrame.unionByName, [x.select(*_SHOWN) for x in parts])
+
+
+def _indicators_refreshed(i: _Inputs) -> DataFrame:
+    """Stored indicators after an increment with late and replaced bars for every seventh ticker."""
+    odd = src.ticker_number() % 7 == 0
+    missing = odd & (F.dayofmonth("date") == 3) & (F.col("date") > F.lit(AS_OF))
+    wrong = odd & (F.dayofmonth("date") == 5) & (F.col("date") > F.lit(AS_OF))
+    before = i.bars.filter((F.col("date") <= F.lit(TODAY)) & ~missing).withColumn("close", F.when(wrong, F.col("close") + 9.0).otherwise(F.col("close")))
+    increment = i.bars.filter((F.col("date") > F.lit(TODAY)) | missing | wrong)
+    state = written(indicator_state(before, P), "state")
+    return store.upsert(indicators(before, P), refreshed(i.bars, state, increment, P)).select(*_SHOWN)
+
+
 def _land(bars: DataFrame, folder: str, thousands: bool = False) -> None:
     """Bars as one CSV file per ticker with the standard header; prices in hundredths with separators if wanted."""
     number = (lambda c: F.format_number(F.floor(F.col(c) * 100), 0)) if thousands else (lambda c: F.col(c).cast("string"))
@@ -406,6 +427,8 @@ _QUERIES: dict[str, Query] = {
         "ticker", "date", "close", "volume", "bar_no", "sma_200", "avg_volume_20", "rvol",
         "price_change", "price_change_pct", "daily_range", "short_history",
     ),
+    "indicators_continued": _indicators_continued,
+    "indicators_refreshed": _indicators_refreshed,
     "ghost_flag": lambda i: latest_flags(i.bars, P).select("ticker", "date", "ghost"),
     "stuck_flag": lambda i: latest_flags(i.bars, P).select(
         "ticker", "date", "stuck", "flat_idle"

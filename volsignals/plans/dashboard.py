@@ -39,6 +39,34 @@ def dashboard(positions: DataFrame, bars: DataFrame, p: Params = Params()) -> Da
     )
 
 
+#: Every field of the feed; a part has those of its table, the others are missing.
+FEED = (
+    "ticker STRING, buy_price DOUBLE, quantity BIGINT, highest_seen DOUBLE, purchase_date DATE, notes STRING, "
+    "stop_loss_price DOUBLE, trailing_stop_price DOUBLE, "
+    "total_positions BIGINT, total_invested DOUBLE, current_value DOUBLE, total_profit DOUBLE, profit_pct DOUBLE, "
+    "action STRING, signal_type STRING, urgency STRING, reason STRING, current_price DOUBLE, profit_amount DOUBLE, rvol DOUBLE"
+)
+
+
+def feed(d: Dashboard) -> DataFrame:
+    """The four tables as one feed of rows: ``part`` and ``json``, an object per row.
+
+    A double is written with as many digits as give it back, a date as text, and what is missing is
+    left out, so that :func:`read_feed` returns the tables' own values.
+    """
+    out = None
+    for name in ("positions", "summary", "signals", "tickers"):
+        rows = as_json(getattr(d, name)).select(F.lit(name).alias("part"), "json")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def read_feed(rows: DataFrame, part: str | None = None) -> DataFrame:
+    """Rows of a feed with typed columns; of one part, only its own if ``part`` is given."""
+    typed = rows.select("part", F.from_json("json", FEED).alias("_row")).select("part", "_row.*")
+    return typed if part is None else typed.filter(F.col("part") == part)
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """One JSON text per row, for a web client."""
     return df.select(F.to_json(F.struct("*")).alias("json"))
