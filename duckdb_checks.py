@@ -538,6 +538,7 @@ def oracle_sql() -> dict[str, str]:
         "portfolio_summary": _q(BARS, POSITIONS, summary_cte, select=summary),
         "bonus_adjust": _q(BARS, _ADJUSTED, select=f"SELECT ticker, {day}, {ohlcv} FROM adjusted"),
         "backtest": _q(BARS, ind, scored, PATHS, select="SELECT * FROM backtest"),
+        "backtest_segmented": _q(BARS, ind, scored, PATHS, select="SELECT * FROM backtest"),
         "trade_quality": _q(BARS, ind, scored, PATHS, f"""s AS (
               SELECT count(*) AS closed_trades, count(*) FILTER (return_pct > 0) AS wins,
                 count(*) FILTER (return_pct < 0) AS losses,
@@ -554,5 +555,11 @@ def oracle_sql() -> dict[str, str]:
             FROM path1 p JOIN trades t ON t.ticker = p.ticker AND t.entry_no = p.entry_no
             WHERE p.bar_no IS NOT NULL AND (t.hit_no IS NULL OR p.bar_no <= t.hit_no)
             GROUP BY p.date"""),
+        "paper_profit_segmented": _q(BARS, ind, scored, PATHS, select=f"""SELECT CAST(p.date AS VARCHAR) AS date,
+            count(*) AS trades,
+            {_total('(p.close - p.entry_price) * 1')} AS profit
+            FROM path1 p JOIN trades t ON t.ticker = p.ticker AND t.entry_no = p.entry_no
+            WHERE p.bar_no IS NOT NULL AND (t.hit_no IS NULL OR p.bar_no <= t.hit_no)
+            GROUP BY p.date"""),
     }
     return out

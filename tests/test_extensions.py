@@ -1,3 +1,6 @@
+import re
+from dataclasses import replace
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -101,13 +104,17 @@ def _exits(g: pd.DataFrame, p: Params):
     return out
 
 
-@pytest.mark.parametrize("h", [3, 60])
-def test_against_a_loop(spark, sf, h):
+@pytest.mark.parametrize("h, rows", [(3, None), (60, None), (3, 3), (3, 10), (60, 7), (60, 128)])
+def test_against_a_loop(spark, sf, h, rows):
     p = Params(min_volume=10, hold_bars=h, trail_factor=0.93, rvol_threshold=1.5)
     hist = signal_history(src.bars(spark, sf), src.fundamentals(spark, sf), p).cache()
+    cut = replace(p, segment_rows=rows)
     got = {
-        (r.ticker, r.entry_date): (r.exit_reason, r.exit_price) for r in bt.backtest(hist, p).collect()
+        (r.ticker, r.entry_date): (r.exit_reason, r.exit_price) for r in bt.backtest(hist, cut).collect()
     }
+    if rows:  # every column, and the profit of every day
+        assert sorted(bt.backtest(hist, cut).collect()) == sorted(bt.backtest(hist, p).collect())
+        assert bt.paper_profit(hist, cut).collect() == bt.paper_profit(hist, p).collect()
     want = {}
     pdf = hist.select("ticker", "date", "close", "signal", "status").toPandas()
     for _, g in pdf.groupby("ticker"):
@@ -115,6 +122,18 @@ def test_against_a_loop(spark, sf, h):
     assert len(want) > 50 and got == want
 
 
+def test_a_long_ticker_is_dealt_to_several_tasks(spark):
+    """One ticker with 5,000 bars: its pieces are grouped by piece, none holds more than one and its copies."""
+    h = history(spark, [100.0 + i % 7 for i in range(5000)], set(range(0, 5000, 5))).cache()
+    p = Params(hold_bars=20, segment_rows=100)
+    paths = bt.trade_paths(h, p)
+    assert paths.groupBy("_piece").agg(F.countDistinct("bar_no").alias("n")).agg(F.max("n")).first()[0] <= 120
+    assert paths.select("_piece").distinct().count() == 50
+    plan = bt.backtest(h, p)._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert len(keys) == 1 and "_piece" in keys[0]
+
+
 def test_quality(spark):
     t = spark.createDataFrame(
         [(10.0, "TIMEOUT"), (20.0, "TAKE_PROFIT"), (-5.0, "STOP_LOSS"), (0.0, "TIMEOUT"), (None, "OPEN")],

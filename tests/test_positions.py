@@ -7,7 +7,7 @@ import build
 from volsignals import Params
 from volsignals.operators import positions as pos
 from volsignals.operators.store import latest_close
-from volsignals.plans.dashboard import as_json, dashboard
+from volsignals.plans.dashboard import as_json, dashboard, feed, read_feed
 from volsignals.sources import driver_tables as src
 
 D = build.day(0)
@@ -192,3 +192,16 @@ def test_dashboard(spark):
     assert d.signals.first().signal_type == "STOP_LOSS"
     assert [r.ticker for r in d.tickers.collect()] == ["A", "B"]
     assert '"signal_type":"STOP_LOSS"' in as_json(d.signals).first().json
+
+
+def test_dashboard_feed_gives_the_values_back(spark):
+    b = build.bars(spark, build.series("A", [10.0, 5.0], [1, 1]), build.series('B"é\n', [1 / 3], [1]))
+    d = dashboard(build.positions(spark, ("A", 0.1 + 0.2, 5, 1e17 / 3, D), ("Z", 1e-300, 1, 2.0, None)), b)
+    rows = feed(d).cache()
+    assert [r["count"] for r in rows.groupBy("part").count().orderBy("part").collect()] == [2, 1, 1, 2]
+    for name in ("positions", "summary", "signals", "tickers"):
+        table = getattr(d, name)
+        back = read_feed(rows, name).select(*table.columns)
+        assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, table.collect()), key=repr)
+    none = dashboard(build.positions(spark, ("A", 1.0, 1, 1.0, D)).limit(0), b.limit(0))
+    assert [r.part for r in feed(none).collect()] == ["summary"]

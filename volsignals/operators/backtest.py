@@ -18,6 +18,15 @@ from volsignals.params import Params
 TRADE = ["ticker", "entry_no", "entry_date", "entry_price"]
 
 
+def piece_rows(p: Params) -> int:
+    """Bars of a piece: at least a horizon, so that an entry's bars lie in one piece and its copies."""
+    return max(p.segment_rows, p.hold_bars)
+
+
+def _pieces(p: Params) -> list[str]:
+    return ["ticker", "_piece"] if p.segment_rows else ["ticker"]
+
+
 def trade_paths(history: DataFrame, p: Params = Params()) -> DataFrame:
     """Each entry with its own bar and the bars of its horizon, and the rule each bar meets.
 
@@ -25,9 +34,13 @@ def trade_paths(history: DataFrame, p: Params = Params()) -> DataFrame:
     look back over ``hold_bars`` bars for entries still running and are repeated for each. That
     takes the ticker partitioning the history already has and no join, so the rows are neither
     read nor shuffled a second time; grouping by (ticker, entry) afterwards is covered by it too.
-    A ticker's bars, at most one per day, times the entries that run at once stay in one task.
+    A ticker's bars, at most one per day, times the entries that run at once stay in one task, unless
+    ``segment_rows`` cuts series into pieces: a piece has its own bars, whose entries it follows, and
+    copies of the bars of the horizon after them, which are no entries there. An entry lies in one
+    piece with all its horizon, so results are equal, and no task holds more than a piece.
     """
-    w = Window.partitionBy("ticker").orderBy("date")
+    by = _pieces(p)
+    w = Window.partitionBy(*by).orderBy("date")
     enters = (
         (F.col("signal") == "BUY") & (F.col("status") == "success") & F.col("close").isNotNull()
     )
@@ -40,16 +53,24 @@ def trade_paths(history: DataFrame, p: Params = Params()) -> DataFrame:
         ),
     )
     last = F.max("_entry.entry_no").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    by_no = Window.partitionBy("ticker").orderBy("bar_no")
+    by_no = Window.partitionBy(*by).orderBy("bar_no")
     running = F.collect_list("_entry").over(by_no.rangeBetween(-p.hold_bars, 0))
+    rows = history.select("ticker", "bar_no", "date", "close", entry.alias("_entry"))
+    if p.segment_rows:
+        size = piece_rows(p)
+        home, place = F.floor((F.col("bar_no") - 1) / size), (F.col("bar_no") - 1) % size
+        own = F.struct(home.alias("_piece"), F.col("_entry").alias("_own"))
+        copy = F.struct((home - 1).alias("_piece"), F.lit(None).cast(rows.schema["_entry"].dataType).alias("_own"))
+        follows = (home > 0) & (place < p.hold_bars)
+        dealt = F.inline(F.when(follows, F.array(own, copy)).otherwise(F.array(own)))
+        rows = rows.select("ticker", "bar_no", "date", "close", dealt).withColumnRenamed("_own", "_entry")
     bars = (
-        history.select("ticker", "bar_no", "date", "close", entry.alias("_entry"))
-        .withColumn("_near", F.col("bar_no") - last <= p.hold_bars)
+        rows.withColumn("_near", F.col("bar_no") - last <= p.hold_bars)
         .filter("_near")
         .withColumn("_running", running)
-        .select("ticker", F.inline("_running"), "bar_no", "date", "close")
+        .select(*by, F.inline("_running"), "bar_no", "date", "close")
     )
-    we = Window.partitionBy("ticker", "entry_no").orderBy("bar_no")
+    we = Window.partitionBy(*by, "entry_no").orderBy("bar_no")
     seen = we.rowsBetween(Window.unboundedPreceding, 0)
     before = we.rowsBetween(Window.unboundedPreceding, -1)
     price, close, peak = F.col("entry_price"), F.col("close"), F.col("peak")
@@ -71,7 +92,7 @@ def backtest(history: DataFrame, p: Params = Params()) -> DataFrame:
     bar = F.struct("bar_no", "date", "close", "rule")
     trades = (
         trade_paths(history, p)
-        .groupBy("ticker", "entry_no")
+        .groupBy(*_pieces(p), "entry_no")
         .agg(
             F.first("entry_date").alias("entry_date"),
             F.first("entry_price").alias("entry_price"),

@@ -510,6 +510,8 @@ _QUERIES: dict[str, Query] = {
     "dashboard": _dashboard,
     "bonus_adjust": lambda i: adjust_for_bonus(i.bars, src.corp_actions(i.bars)),
     "backtest": lambda i: bt.backtest(i.history, P),
+    "backtest_segmented": lambda i: bt.backtest(i.history, replace(P, segment_rows=256)),
+    "paper_profit_segmented": lambda i: bt.paper_profit(i.history, replace(P, segment_rows=256)),
     "trade_quality": lambda i: bt.trade_quality(bt.backtest(i.history, P), P),
     "paper_profit": lambda i: bt.paper_profit(i.history, P),
 }
