@@ -128,6 +128,19 @@ def test_lines_of_files_are_not_shuffled(spark, folder):
     assert "FileScan csv" in plan and "FileScan text" not in plan
 
 
+@pytest.mark.parametrize("named", [csv_files.MOST_NAMED, 0])
+def test_last_of_several_files_of_a_ticker(spark, tmp_path, monkeypatch, named):
+    monkeypatch.setattr(csv_files, "MOST_NAMED", named)
+    for k, name in enumerate(["A", "A_data", "A_data_data", "B"]):
+        (tmp_path / f"{name}.csv").write_text(HEAD + f"2024-01-05,{k},,{k},,{k}\n2024-01-0{k + 1},9,9,9,9,9\n")
+    want = [("A", "2024-01-01"), ("A", "2024-01-02"), ("A", "2024-01-03"), ("A", "2024-01-05"), ("B", "2024-01-04"), ("B", "2024-01-05")]
+    for df in (csv_files.load_folder(spark, str(tmp_path), 1).bars, csv_files.read_uniform(spark, str(tmp_path), 1)):
+        got = rows(df)
+        assert [r[:2] for r in got] == want
+        # all columns of the winner, missing ones too
+        assert got[3][2:] == (2.0, None, 2.0, None, 2) and got[5][2:] == (3.0, None, 3.0, None, 3)
+
+
 def test_no_file_can_be_used(spark, tmp_path):
     (tmp_path / "X.csv").write_text("a,b\n1,2\n")
     load = csv_files.load_folder(spark, str(tmp_path), 1)

@@ -244,7 +244,7 @@ def merge_bars(
             return None
         old = _stored(spark, path, state, touched & set(state.parts))
         newest = side.merge_newest(read_newest(spark, path, state.number), new)
-        return touched, upsert(old, parted), newest
+        return touched, upsert(old, parted, unique=True), newest
 
     try:
         return _changed(spark, path, buckets, change, dict([stream]) if stream else None)

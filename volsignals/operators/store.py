@@ -9,6 +9,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from volsignals.operators.indicators import newest_bars
 from volsignals.params import Params
@@ -22,8 +23,17 @@ KEY = ["ticker", "date"]
 
 def keep_last(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     """One row per ``key``, the one highest in ``order``. An aggregation, so copies of a key
-    collapse before the shuffle no matter how many there are."""
+    collapse before the shuffle no matter how many there are.
+
+    Where ``order`` and the columns have a fixed width, each column has a winner of its own, all under
+    the same order and so of the same row, in a hash aggregation. Otherwise the row is one value,
+    which has no fixed width, and Spark sorts the rows by key before it combines them.
+    """
     rest = [c for c in df.columns if c not in key]
+    typed = df.select(*[F.col(c) for c in rest], order.alias("_order_"))
+    if all(_fixed(f.dataType) for f in typed.schema):
+        best = [F.max_by(c, order).alias(c) for c in rest]
+        return df.groupBy(*key).agg(*best).select(*df.columns)
     return (
         df.groupBy(*key)
         .agg(F.max_by(F.struct(*rest), order).alias("_row"))
@@ -31,16 +41,21 @@ def keep_last(df: DataFrame, key: list[str], order: Column) -> DataFrame:
     )
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY) -> DataFrame:
+def _fixed(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY, unique: bool = False) -> DataFrame:
     """Rows of ``new`` replace rows of ``old`` with the same key; the rest is appended.
 
     Of several rows of ``new`` with one key the last counts: the highest ``ingest_seq`` if there
-    is such a column, then the largest in its columns. The old table must be unique and is only
+    is such a column, then the largest in its columns; with ``unique`` there is one. The old table must be unique and is only
     filtered: when the increment is small, Spark broadcasts its keys and history is not shuffled
     at all; when it is large, the anti-join shuffles both sides on the key.
     """
     order = ["ingest_seq"] if "ingest_seq" in new.columns else []
-    new = keep_last(new, key, F.struct(*order, *[c for c in new.columns if c not in (*key, *order)]))
+    if not unique:
+        new = keep_last(new, key, F.struct(*order, *[c for c in new.columns if c not in (*key, *order)]))
     kept = old.join(new.select(*key), key, "left_anti")
     return kept.select(*old.columns).unionByName(new.select(*old.columns))
 

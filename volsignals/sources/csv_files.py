@@ -29,9 +29,23 @@ def ticker_of(uri: Column) -> Column:
     return F.replace(stem, F.lit("_data"), F.lit(""))
 
 
-def _order() -> Column:
-    """Place of a row in its file: the blocks by offset, the rows within a block in turn."""
-    return F.struct("_file", "_block", F.col("_row"))
+def _order(uris: Iterable[tuple[str, str]] = ()) -> Column:
+    """Place of a row among those of its ticker: the files by name, their blocks, the rows in turn.
+
+    ``uris``: files and their tickers. As a number, which a hash aggregation can compare, where few
+    tickers have several files; a row's id in its task and its block's offset have 10 and 14 digits.
+    """
+    own: dict[str, list[str]] = {}
+    for uri, ticker in sorted(uris):
+        own.setdefault(ticker, []).append(uri)
+    later = [(uri, k) for files in own.values() for k, uri in enumerate(files) if k]
+    if not own or len(later) > MOST_NAMED:
+        return F.struct("_file", "_block", F.col("_row"))
+    place = F.lit(0)
+    for k in {k for _, k in later}:
+        place = F.when(F.col("_file").isin([uri for uri, n in later if n == k]), F.lit(k)).otherwise(place)
+    block = (place.cast("bigint") * 10**14 + F.col("_block")).cast("decimal(20,0)") * F.lit(10**11).cast("decimal(12,0)")
+    return block + F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(11,0)")
 
 
 def read_uniform(
@@ -51,19 +65,19 @@ def read_uniform(
     name is that of the folder it lies in.
     """
     name = folder_name if folders else file_name
+    files = spark.read.schema(TEXT_SCHEMA).options(header=True, enforceSchema=False).csv(path)
     raw = (
-        spark.read.schema(TEXT_SCHEMA)
-        .options(header=True, enforceSchema=False)
-        .csv(path)
-        .select(
+        files.select(
             "*",
             (F.lit(ticker) if ticker else ticker_of(name(F.col("_metadata.file_path")))).alias("ticker"),
-            F.col("_metadata.file_path").alias("_file"),
+            F.input_file_name().alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_row"),
         )
     )
-    return canonical(parse(raw, thousands, formats), source, ingest_seq, _order())
+    names = spark.createDataFrame([(uri,) for uri in files.inputFiles()], "uri STRING")
+    ranked = names.select("uri", F.lit(ticker) if ticker else ticker_of(name(F.col("uri")))).collect()
+    return canonical(parse(raw, thousands, formats), source, ingest_seq, _order(map(tuple, ranked)))
 
 
 @dataclass(frozen=True)
@@ -120,7 +134,8 @@ def load_folder(
         return Load(spark.createDataFrame([], BARS), spark.createDataFrame([], none))
     name = folder_name if folders else file_name
     files = spark.createDataFrame([(uri,) for uri in uris], "_file STRING").withColumn("ticker", ticker_of(name(F.col("_file"))))
-    wanted = {r._file for r in files.filter(_wanted(only)).collect()}
+    tickers = {r._file: r.ticker for r in files.filter(_wanted(only)).collect()}
+    wanted = set(tickers)
     if only is not None and wanted:
         text = spark.read.text(_paths(sorted(wanted)))
     heads = _headers(_lines(text), wanted) if wanted else {}
@@ -150,7 +165,8 @@ def load_folder(
         empty = spark.createDataFrame([], ", ".join(f"{c} STRING" for c in (*REQUIRED, "ticker", "_file", "_text")) + ", _block LONG, _row LONG")
         parsed = [parse(empty)]
     rows = reduce(DataFrame.unionByName, parsed)
-    return _load(rows, files.withColumn("_wanted", _wanted(only)), source, ingest_seq)
+    order = _order((uri, tickers[uri]) for uri in heads)
+    return _load(rows, files.withColumn("_wanted", _wanted(only)), source, ingest_seq, order)
 
 
 def _wanted(only: list[str] | None) -> Column:
@@ -237,9 +253,9 @@ def _day_first(scans: Iterable[DataFrame]) -> dict[str, bool]:
     return {r._file: r.first for r in per_file.select("_file", _by_votes().alias("first")).collect()}
 
 
-def _load(parsed: DataFrame, files: DataFrame, source: str, ingest_seq: int) -> Load:
+def _load(parsed: DataFrame, files: DataFrame, source: str, ingest_seq: int, order: Column) -> Load:
     """Bars of parsed rows, and the outcome of each of ``files`` (_file, ticker, _wanted)."""
-    bars = canonical(parsed, source, ingest_seq, _order())
+    bars = canonical(parsed, source, ingest_seq, order)
     good = F.col("date").isNotNull() & F.coalesce(*PRICES).isNotNull()
     # a header or a blank is no date that failed
     failed = F.col("date").isNull() & (F.trim("_text") != "") & (F.trim("_text") != "Date")
@@ -284,7 +300,7 @@ def load_lines(
     """
     files = files.withColumn("_wanted", _wanted(only))
     plan, parsed = _parsed_lines(lines, files, thousands, formats)
-    return _load(parsed, plan, source, ingest_seq)
+    return _load(parsed, plan, source, ingest_seq, _order())
 
 
 def _parsed_lines(
