@@ -271,6 +271,30 @@ def test_op7_changed_template(spark):
     assert [(s.label, s.start) for s in r.spans] == [("bsd", 1)]
 
 
+def test_op7_long_template_with_edits(spark):
+    """A template of 500 words, met with words changed, put in and left out, and once out of order."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in rng.integers(0, 300, 500)]
+    edited = list(words)
+    for at in (50, 120, 260, 400):
+        edited[at] = "changed"
+    edited.insert(200, "extra")
+    del edited[330:332]
+    shuffled = [w for k in rng.permutation(25) for w in words[20 * k : 20 * k + 20]]
+    rows = [(1, "before " + " ".join(edited).upper() + " after"), (2, " ".join(words)), (3, " ".join(shuffled)), (4, " ".join(words[:250]))]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, *rows), [], [("long", " ".join(words))]).collect()}
+    assert [got[k].labels for k in (1, 2, 3, 4)] == ["long", "long", "", ""]
+    assert got[2].score == 1 and 0.9 < got[1].score < 1 and [(s.start, s.end) for s in got[2].spans] == [(0, 500)]
+    assert [(s.start, s.end) for s in got[1].spans] == [(1, 500)]
+
+
+def test_op7_letters_that_fold_to_ascii(spark):
+    """Only A-Z are lower-cased: a Kelvin sign is no k, a dotted capital I no i."""
+    rows = [(1, "UNDER the MIT License"), (2, "under the M\u0130T license"), (3, "cc by nc CC BY NC"), (4, "cc by n\u0106")]
+    got = {r.doc_id: (r.n_base, r.n_words) for r in licenses.scan(docs(spark, *rows)).collect()}
+    assert got == {1: (1, 4), 2: (0, 4), 3: (2, 6), 4: (0, 3)}
+
+
 def test_op8_against_all_pairs(spark):
     sf = "/root/testdata/sf0.1"
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding").orderBy("vec_id").collect()
