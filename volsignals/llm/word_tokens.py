@@ -38,15 +38,21 @@ _SIGN_RUN = re.compile(f"([{_SIGNS}]+)")
 _ONE_RUN = re.compile(f"[{''.join(sorted(_LETTERS))}]+|[{_SIGNS}]+")
 
 
+#: Bytes as the vocabulary writes them: printing ones as themselves, the others in turn from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+
+
+def _spelled(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+
+
 class WordTokens:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -54,18 +60,23 @@ class WordTokens:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Runs of one class end with the vocabulary's word end, so one call encodes them all."""
-        one = [w for w in words if _ONE_RUN.fullmatch(w)]
-        ids = np.array(self.tokenizer.encode(" ".join(one), add_special_tokens=False).ids, "<u4")
-        raw = ids.tobytes()
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4 if len(ids) else np.zeros(0, int)
-        if len(stops) != len(one):
-            return self.known.update(zip(words, self._encode(words), strict=True))
+        """A run of one class needs no folding or splitting any more, so the vocabulary's merges alone do."""
+        merged, rest = self.tokenizer.model.tokenize, []
+        ids: list[int] = []
+        ends: list[int] = []
+        one = []
+        for word in words:
+            if _ONE_RUN.fullmatch(word):
+                one.append(word)
+                ids += [t.id for t in merged(_spelled(word))]
+                ends.append(4 * len(ids))
+            else:
+                rest.append(word)
+        raw = np.array(ids, "<u4").tobytes()
         at = 0
-        for word, stop in zip(one, stops.tolist(), strict=True):
-            self.known[word] = raw[at:stop]
-            at = stop
-        rest = [w for w in words if w not in self.known]
+        for word, end in zip(one, ends, strict=True):
+            self.known[word] = raw[at:end]
+            at = end
         self.known.update(zip(rest, self._encode(rest), strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
