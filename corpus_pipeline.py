@@ -25,12 +25,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated runs of lines go; a document of which nothing is left goes too."""
     ship(spark)
-    out = line_dedup.deduplicate(docs)
+    # under names of their own, so that columns called as the operator calls its own stay as they are
+    others = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = line_dedup.deduplicate(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in others.items()]))
     emptied = (F.col("n_removed") > 0) & (F.trim(F.col("text")) == "")
-    # what was removed changes the length; other lengths stay as given
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    out = out.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = out.filter(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in others:
+        # what was removed changes the length; other lengths stay as given
+        own = others["n_chars"]
+        n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(own))
+        out = out.withColumn(own, n_chars.cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import collections
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from test_brute import _links
 
 from volsignals.llm import quality
@@ -41,3 +42,56 @@ def test_stages(spark, sf):
     assert set(taken) <= set(kept) and max(taken.values()) <= 3
     packed = docs.filter("piece = 0").groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in packed} == taken
+
+
+FIELDS = "doc_id LONG, text STRING, source STRING, n_lines INT, n_removed STRING, score DOUBLE, `a.b` STRING, size STRING, row STRING"
+RUN = "\n".join(f"a line with some words in it number {k}" for k in range(4))
+
+
+def _odd(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, names that operators use; no n_chars."""
+    long = "\n".join(f"word{i} and others, that go on." for i in range(9000))
+    rows = [
+        (1, None, "s"), (2, "", None), (3, "  \n\n", "s"), (4, long, "s"), (5, RUN, "t"), (6, "before\n" + RUN, "t"), (6, "before\n" + RUN, "t"),
+        (None, "one two three four five six seven", None), (7, RUN + "\nafter it comes more", "u"), (8, "x", "s"), (8, "y", "s"),
+    ]
+    return spark.createDataFrame([(*r, i, f"r{i}", None if i % 2 else 0.5, "dot", None, "z") for i, r in enumerate(rows)], FIELDS)
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stage_on_odd_rows(spark, sf, stage):
+    docs = _odd(spark)
+    rows = docs.collect()
+    out = stage[1](spark, docs, sf)
+    got = out.collect()
+    last = stage[0] == corpus_pipeline.STAGES[-1][0]
+    if last:
+        # every row is packed once: its pieces begin at 0 and have ids
+        assert collections.Counter(r.doc_id for r in got if r.piece == 0) == collections.Counter(r.doc_id for r in rows)
+        return
+    assert out.columns == docs.columns and out.schema == docs.schema
+    own = {r["n_removed"]: r for r in rows}  # every row has a number of its own there
+    for r in got:
+        was = own[r["n_removed"]]
+        assert [r[c] for c in docs.columns if c != "text"] == [was[c] for c in docs.columns if c != "text"]
+        assert r.text == was.text or stage[0] == "line dedup"
+    times = collections.Counter(r["n_removed"] for r in got)
+    if stage[0] == "line dedup":
+        left = {r["n_removed"]: r.text for r in got}
+        assert left["r4"] == RUN and left["r5"] == "before" and left["r8"] == "after it comes more" and left["r0"] is None
+        assert max(times.values()) == 1
+    elif stage[0] == "MinHash near-dedup":
+        assert max(times.values()) == 1 and {"r3", "r7"} <= set(times) and len({"r4", "r5", "r6"} & set(times)) == 1
+    elif stage[0].startswith("mixing"):
+        assert max(times.values()) <= 3
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stage_on_an_empty_table(spark, sf, stage):
+    assert stage[1](spark, _odd(spark).limit(0), sf).collect() == []
+
+
+def test_lengths_follow_the_texts(spark, sf):
+    docs = spark.createDataFrame([(1, RUN, 150), (2, "mine\n" + RUN, 999), (3, "short", -1)], "doc_id LONG, text STRING, n_chars INT")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf).collect()}
+    assert got == {1: (RUN, 150), 2: ("mine", 4), 3: ("short", -1)}
