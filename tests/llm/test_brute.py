@@ -362,13 +362,69 @@ def test_op9_edges(spark):
     assert got == dict(enumerate(_bytes_left(rows)))
 
 
+def _suffixes(spark, *rows):
+    full = [(prefix, 0, str(text), at, 0, 400) for prefix, text, at in rows]
+    return spark.createDataFrame(full, substring_dedup.SUFFIX)
+
+
 def test_op9_levels(spark):
-    family = substring_dedup.IndexFamily()
-    batch = lambda k: spark.createDataFrame([(k, k, 1), (99, k, 2)], "prefix LONG, text_id LONG, at INT")
+    family = substring_dedup.IndexFamily(spark)
     for k in range(1, 6):
-        family.add(batch(k))
+        family.add(_suffixes(spark, (k, k, 1), (99, k, 2), (50, k % 2, 3)))
     assert [size for size, _ in family.levels] == [4, 1]
-    assert [r.prefix for r in family.repeated().collect()] == [99]
+    assert sorted(r.prefix for r in family.repeated().collect()) == [50, 99]
+    top = {r.prefix: r.n for r in family.level(family.levels[0][1]).collect()}
+    assert top == {1: 1, 2: 1, 3: 1, 4: 1, 50: 4, 99: 4}
+    assert sorted(r.at for r in family.suffixes().collect()) == [1] * 5 + [2] * 5 + [3] * 5
+    family.delete()
+
+
+def test_op9_levels_meet_without_shuffle(spark):
+    family = substring_dedup.IndexFamily(spark)
+    for k in range(3):
+        family.add(_suffixes(spark, (k, k, 1), (99, k, 2)))
+    (_, old), (_, new) = family.levels
+    for df in (family.scanned(new, old), family.merged(old, new)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    family.delete()
+
+
+def test_op9_family_stays(spark, sf, texts, tmp_path):
+    """A later call with new documents gives what one call over all gives; indexed texts are not read into it again."""
+    rows = [(d, t) for d, t, _ in texts]
+    rows = [*rows[: len(rows) // 2], *((d + 10_000, t) for d, t in rows[: len(rows) // 4]), *rows[len(rows) // 2 :]]
+    folder = f"{tmp_path}/family"
+    for part, grows in ((rows[: len(rows) // 2], True), (rows, True), (rows[len(rows) // 3 :], False)):
+        family = substring_dedup.IndexFamily(spark, folder)
+        before = family.suffixes().count() if family.arrays else 0
+        out = substring_dedup.without_repeats(docs(spark, *part), 1, family).collect()
+        got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in out}
+        assert got == {d: w for (d, _), w in zip(part, _bytes_left([t for _, t in part]))}
+        after = substring_dedup.IndexFamily(spark, folder)
+        assert len(after.arrays) == family.version == after.version
+        assert (after.suffixes().count() > before) == grows
+
+
+def test_op9_lost_driver(spark, tmp_path, monkeypatch):
+    """A driver lost before the state is written leaves the family as it was; the batch can be added again."""
+    folder = f"{tmp_path}/family"
+    family = substring_dedup.IndexFamily(spark, folder)
+    family.add(_suffixes(spark, (1, 1, 1), (2, 1, 2)))
+    second = _suffixes(spark, (2, 2, 1), (3, 2, 2))
+
+    def lost(self):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(substring_dedup.IndexFamily, "_write_state", lost)
+        with pytest.raises(RuntimeError):
+            family.add(second)
+    again = substring_dedup.IndexFamily(spark, folder)
+    assert [size for size, _ in again.levels] == [1] and again.repeated().count() == 0
+    again.add(second)
+    assert [r.prefix for r in again.repeated().collect()] == [2]
+    assert {r.prefix: r.n for r in again.level(again.levels[0][1]).collect()} == {1: 1, 2: 2, 3: 1}
 
 
 def test_op10(spark, sf, texts):

@@ -1,31 +1,37 @@
-"""Removal of long repeated byte strings by a logarithmic family of suffix indexes.
+"""Removal of long repeated byte strings by a logarithmic family of suffix arrays.
 
-A suffix is known by its place and ordered by the hash of its first ``PREFIX`` bytes, so that
-suffixes that begin alike are neighbours. Only suffixes at anchors are indexed: every string of
+A suffix is known by its place (text, byte) and ordered by the hash of its first ``PREFIX`` bytes, so
+that suffixes that begin alike are neighbours. Only suffixes at anchors are indexed: every string of
 ``LENGTH`` bytes holds one, and equal strings hold it at the same place. Texts come in batches.
-A batch's sorted suffixes are merge-scanned against those of every existing level; then the batch
-becomes a level itself, and levels of equal size merge into one of twice the size, so that there
-are logarithmically many. Prefixes met twice are candidates.
+A batch gets its suffix array, sorted and written; a level has the runs of suffixes that begin alike,
+sorted and in buckets. A batch's level is merge-scanned against every older level, bucket by bucket;
+then levels of equal size merge into one of twice the size, so that there are logarithmically many.
+Arrays and levels stay on disk (``IndexFamily``), so that a later batch meets the earlier ones.
+Prefixes met twice are candidates.
 
 A candidate's context is all that strings holding its anchor can reach. Where two places have the
 same context, all of it is repeated. Where contexts differ, the hashes of the strings in them are
-compared, and the repeated ones of an anchor, which all overlap, make one span.
+compared; how far an anchor's repeated strings, which all overlap, reach before and behind it is the
+length of its match, one span.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from volsignals.llm import repeats as rp
 from volsignals.llm import shingles as sh
-from volsignals.llm.common import dropped, maybe_in, release, row_slices, stored, utf8, whole_text, width
+from volsignals.llm.common import dropped, maybe_in, release, row_slices, stored, text_key, utf8, whole_text, width
+from volsignals.session import shared_folder
 
 #: Batches of a table that comes at once.
 BATCHES = 4
@@ -34,6 +40,11 @@ BATCHES = 4
 HOT = 8192
 #: Contexts compared in one step.
 STEP_ROWS = 2048
+#: Spark's own bound on the buckets of a table.
+MOST_BUCKETS = 100_000
+
+SUFFIX = "prefix long, context long, text_id string, at int, left int, right int"
+RUN = "prefix BIGINT, one BIGINT, other BIGINT, n BIGINT"
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
@@ -62,38 +73,140 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 )
 
     return docs.select("text_id", "text").mapInArrow(
-        run, "prefix long, context long, text_id long, at int, left int, right int"
+        run, SUFFIX
     )
 
 
 class IndexFamily:
-    """Levels of sorted suffixes, each a table of prefixes; batches hold different texts."""
+    """Suffix arrays of batches of different texts, and levels of their sorted runs, in a folder.
+
+    A level's row is a run of suffixes that begin alike: prefix, smallest and largest place (64 bits
+    of text and byte) and number of places, so that a level holds one row for a prefix however many
+    texts share it. The places themselves are in the batches' arrays. Levels are bucketed and sorted
+    by prefix: scans and merges of two levels shuffle nothing.
 
-    def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.met: list[DataFrame] = []
+    ``folder`` names a family that stays: its state is a file per batch that ends with a marker of
+    its own, so that a driver lost while it adds a batch leaves the family as it was before. Without
+    ``folder`` the family is one for the job, below the folder all executors share.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None):
+        self.spark = spark
+        self.folder = (folder or f"{shared_folder(spark)}/suffix-family-{uuid.uuid4().hex}").rstrip("/")
+        state = self._read_state()
+        self.version: int = state.get("version", 0)
+        self.buckets: int = state.get("buckets") or min(width(spark), MOST_BUCKETS)
+        #: Batches in a level and its folder; folders of batches' arrays and of prefixes met.
+        self.levels: list[tuple[int, str]] = [(n, path) for n, path in state.get("levels", [])]
+        self.arrays: list[str] = state.get("arrays", [])
+        self.met: list[str] = state.get("met", [])
+
+    def _path(self, path: str):
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _read_state(self) -> dict:
+        fs, p = self._path(f"{self.folder}/state")
+        if not fs.exists(p):
+            return {}
+        done = [
+            x.getPath().toString() for x in fs.listStatus(p)
+            if fs.exists(self._path(f"{x.getPath().toString()}/_SUCCESS")[1])
+        ]
+        return json.loads(self.spark.read.text(max(done)).first()[0]) if done else {}
+
+    def _write_state(self) -> None:
+        self.version += 1
+        state = {k: getattr(self, k) for k in ("version", "buckets", "levels", "arrays", "met")}
+        row = self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1)
+        # what a lost driver left of a state that was never finished is written over
+        row.write.mode("overwrite").text(f"{self.folder}/state/{self.version:09d}")
+
+    def _new(self, kind: str) -> str:
+        return f"{self.folder}/{kind}/{uuid.uuid4().hex}"
+
+    def _name(self, path: str) -> str:
+        return f"suffix_level_{path.rsplit('/', 1)[1]}"
+
+    def _write_level(self, runs: DataFrame) -> str:
+        path = self._new("levels")
+        runs = runs.select("prefix", "one", "other", "n")
+        runs.write.bucketBy(self.buckets, "prefix").sortBy("prefix").option("path", path).saveAsTable(self._name(path))
+        return path
+
+    def level(self, path: str) -> DataFrame:
+        """A level as a table whose buckets Spark knows; named anew where another session wrote it."""
+        name = self._name(path)
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} ({RUN}) USING parquet CLUSTERED BY (prefix) SORTED BY (prefix) "
+                f"INTO {self.buckets} BUCKETS LOCATION '{path}'"
+            )
+        return self.spark.table(name)
+
+    def _gone(self, path: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(path)}")
+        fs, p = self._path(path)
+        fs.delete(p, True)
+
+    def merged(self, old: str, new: str) -> DataFrame:
+        """The runs of two levels as those of one."""
+        a, b = self.level(old), self.level(new).toDF("_prefix", "_one", "_other", "_n")
+        both = a.hint("merge").join(b, F.col("prefix") == F.col("_prefix"), "full")
+        zero = F.lit(0).cast("long")
+        return both.select(
+            F.coalesce("prefix", "_prefix").alias("prefix"), F.least("one", "_one").alias("one"),
+            F.greatest("other", "_other").alias("other"),
+            (F.coalesce("n", zero) + F.coalesce("_n", zero)).alias("n"),
+        )
+
+    def scanned(self, own: str, older: str) -> DataFrame:
+        """Prefixes of one level that are in another."""
+        a, b = self.level(own), self.level(older).select("prefix")
+        return a.hint("merge").join(b, "prefix").select("prefix")
 
     def add(self, batch: DataFrame) -> None:
-        """Scan a batch against itself and every level, then keep it as a level."""
+        """Scan a batch of suffixes against itself and every level, then keep it as a level.
+
+        ``batch``: columns of ``suffixes``, of texts that are in no earlier batch. Rows of equal texts
+        are the same places.
+        """
+        array = self._new("arrays")
+        batch.sortWithinPartitions("prefix").write.parquet(array)
         place = F.xxhash64("text_id", "at")
-        sums = batch.groupBy("prefix").agg(F.min(place).alias("one"), F.max(place).alias("other"))
-        sums = stored(sums.sortWithinPartitions("prefix"), "suffix-batch")
-        self.met.append(stored(sums.filter("one != other").select("prefix"), "suffix-met"))
-        own = sums.select("prefix")
-        for _, level in self.levels:
-            self.met.append(stored(own.join(level, "prefix", "left_semi"), "suffix-met"))
-        size, new = 1, own
-        while self.levels and self.levels[-1][0] == size:
-            _, old = self.levels.pop()
-            merged = stored(old.unionByName(new).distinct().sortWithinPartitions("prefix"), "suffix-level")
-            for gone in (old, new):
-                dropped(gone)
-            size, new = 2 * size, merged
-        self.levels.append((size, new))
+        runs = self.spark.read.schema(SUFFIX).parquet(array).groupBy("prefix").agg(
+            F.min(place).alias("one"), F.max(place).alias("other"), F.count(F.lit(1)).alias("n")
+        )
+        own = self._write_level(runs)
+        found = [self.level(own).filter("one != other").select("prefix")]
+        found += [self.scanned(own, level) for _, level in self.levels]
+        met = self._new("met")
+        reduce(DataFrame.unionByName, found).write.parquet(met)
+        levels, old, size = list(self.levels), [], 1
+        while levels and levels[-1][0] == size:
+            _, before = levels.pop()
+            old += [before, own]
+            own = self._write_level(self.merged(before, own))
+            size *= 2
+        self.levels, self.arrays, self.met = [*levels, (size, own)], [*self.arrays, array], [*self.met, met]
+        self._write_state()
+        for path in old:
+            self._gone(path)
 
     def repeated(self) -> DataFrame:
         """Prefixes that stand in two places or more."""
-        return reduce(DataFrame.unionByName, self.met).distinct()
+        return self.spark.read.schema("prefix long").parquet(*self.met).distinct()
+
+    def suffixes(self) -> DataFrame:
+        """The arrays of all batches."""
+        return self.spark.read.schema(SUFFIX).parquet(*self.arrays)
+
+    def delete(self) -> None:
+        for _, path in self.levels:
+            self._gone(path)
+        fs, p = self._path(self.folder)
+        fs.delete(p, True)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -132,7 +245,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # rows with one id and text are one document
     return rows.select("text_id", "text", "own").mapInArrow(
         run,
-        "prefix long, context long, text_id long, at int, left int, right int, single boolean, bytes binary",
+        "prefix long, context long, text_id string, at int, left int, right int, single boolean, bytes binary",
     )
 
 
@@ -155,9 +268,8 @@ def _compared(contexts: DataFrame) -> DataFrame:
         row, before, h = _strings(rows.combine_chunks().to_batches()[0])
         # a string may hold several anchors: it is repeated if it begins in two places
         at = np.asarray(rows.column("at")).astype(np.int64)
-        text = np.asarray(rows.column("text_id"))
-        with np.errstate(over="ignore"):
-            place = sh.mixed(text.view(np.uint64)[row] + (at[row] - before).astype(np.uint64) * sh.RAW[0])
+        text = np.asarray(rows.column("text_id").combine_chunks().dictionary_encode().indices).astype(np.int64)
+        place = text[row] << 32 | (at[row] - before)
         order = np.lexsort((place, h))
         heads = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1])) if len(h) else np.zeros(0, int)
         tails = np.append(heads[1:], len(h))
@@ -193,7 +305,7 @@ def _compared(contexts: DataFrame) -> DataFrame:
             yield spans(pa.Table.from_batches(held))
 
     dealt = contexts.repartition(width(contexts.sparkSession), "prefix").sortWithinPartitions("prefix")
-    return dealt.mapInArrow(run, "text_id long, start int, end int")
+    return dealt.mapInArrow(run, "text_id string, start int, end int")
 
 
 def _compared_one_by_one(contexts: DataFrame) -> DataFrame:
@@ -215,7 +327,7 @@ def _compared_one_by_one(contexts: DataFrame) -> DataFrame:
                 )
 
     strings = stored(
-        contexts.mapInArrow(run, "hash long, text_id long, at int, before int, single boolean"), "suffix-strings"
+        contexts.mapInArrow(run, "hash long, text_id string, at int, before int, single boolean"), "suffix-strings"
     )
     place = F.xxhash64("text_id", F.col("at") - F.col("before"))
     again = strings.groupBy("hash").agg(F.min(place).alias("one"), F.max(place).alias("other"))
@@ -225,8 +337,11 @@ def _compared_one_by_one(contexts: DataFrame) -> DataFrame:
     ).select("text_id", "start", "end")
 
 
-def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """text_id and spans (bytes) of what stands elsewhere too. ``docs``: doc_id, text_id, text."""
+def repeated_spans(docs: DataFrame, batches: int = BATCHES, family: IndexFamily | None = None) -> DataFrame:
+    """text_id and spans (bytes) of what stands elsewhere too. ``docs``: doc_id, text_id, text.
+
+    ``family``: one that stays. Texts it does not hold yet are added to it in ``batches`` batches.
+    """
     spark = docs.sparkSession
     texts = stored(
         docs.groupBy("text_id").agg(
@@ -234,14 +349,27 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         ),
         "suffix-texts",
     )
-    found = stored(suffixes(docs), "suffixes")
-    family = IndexFamily()
+    own = family or IndexFamily(spark)
+    later = bool(own.arrays)
+    new = docs
+    if later:
+        new = docs.join(own.suffixes().select("text_id").distinct(), "text_id", "left_anti")
+    found = suffixes(new)
+    if batches > 1:
+        found = stored(found, "suffixes")
     for b in range(batches):
-        family.add(found.filter(F.pmod("text_id", F.lit(batches)) == b))
-    repeated = stored(family.repeated(), "suffix-repeated")
+        own.add(found.filter(F.pmod(F.xxhash64("text_id"), F.lit(batches)) == b) if batches > 1 else found)
+    repeated = stored(own.repeated(), "suffix-repeated")
     release(spark)
-    rows = stored(found.join(repeated, "prefix", "left_semi").distinct(), "suffix-rows")
-    dropped(found)
+    rows = own.suffixes().join(repeated, "prefix", "left_semi")
+    if later:
+        # texts that are not among the documents any more are no places
+        rows = rows.join(texts.select("text_id"), "text_id", "left_semi")
+    rows = stored(rows.distinct(), "suffix-rows")
+    if batches > 1:
+        dropped(found)
+    if family is None:
+        own.delete()
     place = F.xxhash64("text_id", "at")
     alike = stored(
         rows.groupBy("prefix", "context").agg(
@@ -284,7 +412,7 @@ def _cut(raw: bytes, spans: list[dict]) -> tuple[bytes, int]:
     return b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)), len(runs)
 
 
-def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def without_repeats(docs: DataFrame, batches: int = BATCHES, family: IndexFamily | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the bytes left when repeated ones are removed.
 
     A byte goes if a string of 400 bytes over it also starts elsewhere, in the same document or
@@ -292,9 +420,13 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     where nothing is removed) and kept_sha256. Null text is empty; rows equal in id and text are
     copies of each other like any other rows; an empty table gives an empty table; other columns
     are left out.
+
+    ``family``: an index that stays on disk. ``docs`` is still the whole table, but only texts that the
+    family does not hold are hashed, sorted and scanned; the result is that of one run over ``docs``.
+    Texts that the family holds and ``docs`` does not are no copies of anything.
     """
-    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text"))
-    spans = stored(repeated_spans(keyed, batches), "suffix-spans")
+    keyed = docs.select("doc_id", text_key().alias("text_id"), whole_text().alias("text"))
+    spans = stored(repeated_spans(keyed, batches, family), "suffix-spans")
     release(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     maybe, rest = maybe_in(keyed, "text_id", spans.select("text_id"))
