@@ -98,6 +98,40 @@ def test_op3_targets(spark):
     assert got == {"a": 30.0, "b": 300.0, "c": 770.0, None: 15.0}
 
 
+def test_op3_targets_of_equal_sources(spark):
+    """Sources that reach their caps at one level share it."""
+    d = docs(spark, *[(i, "w " * 100, s) for i, s in enumerate("abcd")])
+    got = {r.source: r.target for r in mixing.mix(d).collect()}
+    assert got == pytest.approx({"a": 5 * 400 / 13, "b": 2 * 400 / 13, "c": 400 / 13, "d": 5 * 400 / 13})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_op3_targets_of_many_sources(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.choice([0, 1, 2, 5, 5000, 10**6], 300).tolist()
+    names = [f"s{i:03}" for i in range(299)] + [None]
+    weights = [mixing.WEIGHTS[i % 3] for i in range(300)]
+    per = spark.createDataFrame(list(zip(names, sizes)), "source string, size long").repartition(5)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        short = sum(min(3 * n, w * level) for n, w in zip(sizes, weights)) < sum(sizes)
+        low, high = (level, high) if short else (low, level)
+    expected = {s: min(3 * n, w * high) for s, n, w in zip(names, sizes, weights)}
+    got = {r.source: r.target for r in mixing.targets(per).collect()}
+    assert got == pytest.approx(expected)
+
+
+def test_op3_ties_refined_by_place(spark, monkeypatch):
+    """A boundary bucket of equal rows is cut without adding them up one by one."""
+    monkeypatch.setattr(mixing, "FEW", 2)
+    rows = [(1, "a b c d", "x")] * 700 + [(i, "a b c", "y") for i in range(2, 100)]
+    got = mixing.mix(docs(spark, *rows).repartition(5)).groupBy("source", "target").sum("taken").collect()
+    assert len(got) == 2
+    for r in got:
+        assert 0 <= r.target - r["sum(taken)"] <= 4
+
+
 def test_op3_hot_ties(spark):
     """Half of all rows are one row over and over; the source still comes near its target."""
     rows = [(1, "a b c d", "x")] * 3000 + [(i, "a b c", "y") for i in range(2, 400)]
@@ -460,6 +494,16 @@ def test_op10_runs_of_short_lines(spark):
     assert got == {1: rows[0][1], 2: "", 3: rows[2][1], 4: "x\n\ny"}
 
 
+def test_op10_long_document_of_repeated_lines(spark):
+    """Every second line goes; the work grows with the lines, not with lines times runs."""
+    n = 60_000
+    lines = [f"line number {i} has ten words in it or more" for i in range(n)]
+    text = "\n".join(x for i, line in enumerate(lines) for x in (line, f"own {i}"))
+    got = {r.doc_id: r for r in line_dedup.deduplicate(docs(spark, (1, "\n".join(lines)), (2, text))).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (0, n)
+    assert got[2].text == "\n".join(f"own {i}" for i in range(n))
+
+
 def _pairs_at(n, dims, cosine):
     """n vectors and, for each, another one at the given cosine."""
     rng = np.random.default_rng(0)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from volsignals.llm.common import stored, whole_text
+from volsignals.operators.ranking import global_rank
 
 #: Weights by place of the source in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -20,6 +21,10 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 #: Hash bits, bits of one histogram, rows of a boundary bucket that are added up one by one.
 BITS, STEP, FEW = 60, 12, 1024
+#: The key's digits from the highest: the hash, then the row's number, which has 63 bits.
+DIGITS = [
+    (key, max(0, shift)) for key, bits in (("hash", BITS), ("pos", 63)) for shift in range(bits - STEP, -STEP, -STEP)
+]
 #: Fillings: the first, and those of what the boundary row left open.
 ROUNDS = 3
 #: Source tables up to this many rows are broadcast; larger ones are joined by shuffles.
@@ -41,28 +46,41 @@ def hash_of(doc_id: str = "doc_id", text: str = "text") -> Column:
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Per source: ``source_size`` and ``target``; the targets share all words by weight.
 
-    No target is above ``most`` times its source; the excess goes to the others by weight. With
-    sources in order of cap/weight the capped ones come first, so that one running sum finds the
-    level. One row per source here.
+    No target is above ``most`` times its source; the excess goes to the others by weight: a
+    target is the smaller of its cap and its weight times one level. Sources are ranked in range
+    parts, and the level comes from sums alone, so that no task sees all sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1
-    w = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
+    per = global_rank(per, [F.isnull("source"), F.col("source")], "place")
+    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
     per = per.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by = Window.orderBy(F.col("cap") / F.col("w"), F.asc_nulls_last("source"))
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    after = by.rowsBetween(0, Window.unboundedFollowing)
-    per = per.withColumn("total", F.sum("source_size").over(Window.partitionBy())).withColumn(
-        "level",
-        (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(after),
-    )
-    open_ = F.col("cap") / F.col("w") >= F.col("level")
-    shared = F.min_by(F.when(open_, F.col("level")), F.when(open_, F.col("cap") / F.col("w")))
-    per = per.withColumn("shared", shared.over(Window.partitionBy()))
-    target = F.least(F.col("cap"), F.coalesce(F.col("w") * F.col("shared"), F.col("cap")))
+    level = _level(per)
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.col("w") * F.lit(level))
     return per.select("source", "source_size", target.alias("target"))
 
 
+def _level(per: DataFrame) -> float | None:
+    """The level at which all sources together give all words; None without sources.
+
+    Starts at the level without caps and caps what ends below it, until nothing more does. What
+    the sources give is concave in the level, so this is Newton's method from below: each round
+    is one sum over the sources, and only ever more of them are capped.
+    """
+    full, level = F.col("cap") / F.col("w"), 0.0
+    while True:
+        row = per.agg(
+            F.sum("source_size").cast("double").alias("total"),
+            F.sum(F.when(full < level, F.col("cap"))).alias("capped"),
+            F.sum(F.when(full >= level, F.col("w"))).alias("open"),
+        ).first()
+        if not row.open:
+            return level if row.total is not None else None
+        new = (row.total - (row.capped or 0.0)) / row.open
+        if new <= level:
+            return new
+        level = new
+
+
 def _joined(rows: DataFrame, per_source: DataFrame, small: bool, how: str = "inner") -> DataFrame:
     """``per_source`` columns for each row; broadcast where the number of sources was checked."""
     right = per_source.withColumnRenamed("source", "_source")
@@ -73,14 +91,13 @@ def _joined(rows: DataFrame, per_source: DataFrame, small: bool, how: str = "inn
 def _threshold(rows: DataFrame, budget: DataFrame, small: bool) -> DataFrame:
     """Per source of ``budget`` (source, gap): the key below which rows fill the gap, what is left.
 
-    ``rows``: source, size, hash, pos. The key is (hash, pos): pos only parts equal rows.
+    ``rows``: source, size, hash, pos. The key is (hash, pos): pos only parts equal rows. A
+    boundary bucket of very many equal rows is refined by the bits of pos in the same way.
     """
-    spark = rows.sparkSession
     state = budget.select("source", F.lit(0).cast("long").alias("low"), "gap")
-    inside, shift = rows, BITS
-    while True:
-        shift -= STEP
-        bucket = F.shiftrightunsigned("hash", shift)
+    inside = rows
+    for key, shift in DIGITS:
+        bucket = F.shiftrightunsigned(key, shift)
         sums = inside.groupBy("source", bucket.alias("bucket")).agg(
             F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")
         )
@@ -98,11 +115,11 @@ def _threshold(rows: DataFrame, budget: DataFrame, small: bool) -> DataFrame:
         most = after.agg(F.max("n")).first()[0] or 0
         state = after.drop("n")
         inside = _joined(inside, state.select("source", "low"), small).filter(
-            F.shiftrightunsigned("hash", shift) == F.col("low")
+            bucket == F.col("low")
         ).drop("low")
-        if most <= FEW or shift < STEP:
+        if most <= FEW:
             break
-    # few rows per source are left (beyond that, rows with the same id and text): add them up
+    # few rows per source are left: add them up
     by = Window.partitionBy("source").orderBy("hash", "pos")
     one = _joined(inside, state, small).withColumn("cum", F.sum("size").over(by))
     first_out = one.filter(F.col("cum") > F.col("gap")).groupBy("source").agg(

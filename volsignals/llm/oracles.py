@@ -32,7 +32,7 @@ l AS (
   FROM w),
 t AS (
   SELECT src, source_size,
-         least(cap, coalesce(w * (SELECT min_by(level, cap / w) FROM l WHERE cap / w >= level), cap)) AS target
+         least(cap, coalesce(w * (SELECT level FROM l WHERE cap / w >= level ORDER BY cap / w, src LIMIT 1), cap)) AS target
   FROM l),
 p AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS repeats FROM t),
