@@ -120,7 +120,11 @@ def _place(*more: Column | str) -> Column:
 
 
 def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Per document (doc_id, text_id) the runs (first, last line) that stand earlier elsewhere."""
+    """Per document (doc_id, text_id) the runs (first, last line) that stand earlier elsewhere.
+
+    In order of their first line, which is that of their last line too: windows are shortest, so
+    none lies in another one without its first and last line.
+    """
     keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text"))
     prints = stored(_fingerprints(keyed, least), "line-prints")
     met = prints.groupBy("fingerprint").agg(F.sum("times").alias("n")).filter("n > 1")
@@ -134,7 +138,7 @@ def repeated_runs(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     ).filter("earliest != latest").select("hash", "earliest")
     later = around.join(firsts, "hash").filter(place > F.col("earliest"))
     return later.groupBy("doc_id", "text_id").agg(
-        F.collect_set(F.struct("first", "last")).alias("runs")
+        F.array_sort(F.collect_set(F.struct("first", "last"))).alias("runs")
     )
 
 
@@ -159,11 +163,14 @@ def deduplicate(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     )
     lines = F.split(F.col(names["text"]), "\n")
     both = both.withColumn("_lines", F.when(F.col("runs").isNotNull(), lines))
-    left = F.filter(
-        F.col("_lines"),
-        lambda _, i: ~F.exists(F.col("runs"), lambda r: (r["first"] <= i) & (i <= r["last"])),
+    # what lies between one run and the next: every line and every run is passed once
+    after = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["last"] + 1))
+    until = F.concat(F.transform("runs", lambda r: r["first"]), F.array(F.size("_lines")))
+    left = F.transform(
+        F.arrays_zip(after.alias("after"), until.alias("until")),
+        lambda x: F.slice("_lines", x["after"] + 1, F.greatest(x["until"] - x["after"], F.lit(0))),
     )
-    both = both.withColumn("_left", left)
+    both = both.withColumn("_left", F.flatten(left))
     count = F.coalesce(F.length(names["text"]) - F.length(F.replace(F.col(names["text"]), F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     gone = F.coalesce(F.size("_lines") - F.size("_left"), F.lit(0))
     text = F.coalesce(F.array_join("_left", "\n"), F.col(names["text"]))
