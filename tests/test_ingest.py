@@ -374,3 +374,56 @@ def test_large_increment_is_joined_by_sort_merge(spark, tmp_path):
         assert got.exceptAll(new).count() == 0 and got.count() == 50
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def _pack(spark, folder, path):
+    """The files of ``folder`` as packed rows, by the lines that a packer would read."""
+    import glob
+    import os
+
+    lines = []
+    for f in sorted(glob.glob(f"{folder}/*.csv")):
+        with open(f, newline="") as h:
+            lines += [(os.path.basename(f), k, x) for k, x in enumerate(h.read().splitlines() or [None])]
+    csv_files.packed(spark.createDataFrame(lines, "name STRING, _row LONG, value STRING")).write.parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("only", [None, ["GOOD", "LACK"]])
+def test_packed_files_load_as_the_folder_does(spark, folder, tmp_path, only):
+    (tmp_path / "csv" / "DMY_data.csv").write_text("\n" + HEAD + "13-02-2024,1,1,1,1,1\n01-02-2024,2,2,2,2,2\n")
+    (tmp_path / "csv" / "MDY_data.csv").write_text(HEAD + "02-13-2024,1,1,1,1,1\n02-01-2024,2,2,2,2,2\n")
+    (tmp_path / "csv" / "GOOD_data_data.csv").write_text(HEAD + "2024-01-01,8,8,8,8,8\n")
+    path = _pack(spark, folder, str(tmp_path / "packed"))
+    want, got = csv_files.load_folder(spark, folder, 1, only), csv_files.load_packed(spark, path, 1, only)
+    assert got.bars.schema == want.bars.schema and rows(got.bars) == rows(want.bars)
+    key = lambda load: sorted((r.file.rsplit("/", 1)[-1], *r[1:]) for r in load.files.collect())
+    assert key(got) == key(want) and len(key(got)) == 9
+
+
+def test_packed_uniform_files(spark, tmp_path):
+    f = tmp_path / "csv"
+    f.mkdir()
+    (f / "A_data.csv").write_text(HEAD + '2024-01-01,"1,000.5",1,1,1,"2,000"\n2024-01-02,1,1,1,1,1\n2024-01-02,2,2,2,2,2\n')
+    (f / "A_data_data.csv").write_text(HEAD + "2024-01-01,3,3,3,3,3\n")
+    (f / "B.csv").write_text(HEAD + "2024-01-01,4,4,4,4,4\n")
+    want = csv_files.read_uniform(spark, str(f), 1, thousands=True)
+    got = csv_files.read_packed(spark, _pack(spark, str(f), str(tmp_path / "packed")), 1, thousands=True)
+    assert rows(got) == rows(want) and len(rows(got)) == 3
+    (f / "C.csv").write_text("Open,Date,High,Low,Close,Volume\n1,2024-01-01,1,1,1,1\n")
+    with pytest.raises(Exception, match="unexpected header in C.csv"):
+        csv_files.read_packed(spark, _pack(spark, str(f), str(tmp_path / "odd")), 1).collect()
+
+
+@pytest.mark.parametrize("name", ["csv_lines", "csv_uniform", "stream_ingest"])
+def test_landed_files_do_not_grow_with_tickers(spark, sf, name, monkeypatch, tmp_path):
+    import glob
+
+    from volsignals.plans import catalog
+
+    monkeypatch.setattr(catalog, "shared_folder", lambda _: str(tmp_path))
+    big = sf.replace("sf0.001", "sf0.01")
+    catalog.queries()[name](spark, big)
+    tickers = catalog.queries()["tickers"](spark, big).count()
+    landed = [p for p in glob.glob(f"{tmp_path}/land*/**/*", recursive=True) if p.endswith((".parquet", ".csv", ".txt")) and "/table/" not in p]
+    assert 0 < len(landed) <= 2 * 8 < tickers

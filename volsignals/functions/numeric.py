@@ -106,7 +106,11 @@ def clean_date(
 
 
 def order_votes(text: Column) -> Column:
-    """1 for a date that can only have the day first, -1 for the month first, else 0."""
+    """1 for a date that can only have the day first, -1 for the month first, else 0.
+
+    Only text with the year last is taken apart: a cast of what is no number raises and catches an error inside.
+    """
     t = F.trim(text)
     a, b = (F.regexp_extract(t, _YEAR_LAST, k).try_cast("int") for k in (1, 2))
-    return F.when((a > 12) & (b <= 12), 1).when((b > 12) & (a <= 12), -1).otherwise(0)
+    vote = F.when((a > 12) & (b <= 12), 1).when((b > 12) & (a <= 12), -1).otherwise(0)
+    return F.when(t.rlike(_YEAR_LAST), vote).otherwise(0)

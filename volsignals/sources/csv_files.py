@@ -1,4 +1,7 @@
-"""Bars from CSV files, one file per ticker (S1-S4, S13), and the fundamentals file."""
+"""Bars from CSV files, one file per ticker (S1-S4, S13), and the fundamentals file.
+
+Files lie in a folder each on its own, or many of them packed into one table (``PACKED``).
+"""
 
 from __future__ import annotations
 
@@ -10,12 +13,13 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volsignals.functions.numeric import DATE_FORMATS, clean_number, order_votes
 from volsignals.operators.store import keep_last
 from volsignals.schema import BARS, PRICES
+from volsignals.session import written
 from volsignals.sources.cleaning import REQUIRED, canonical, parse
 from volsignals.texts import CSV_SOURCE
 
@@ -38,8 +42,12 @@ def _order(uris: Iterable[tuple[str, str]] = ()) -> Column:
     own: dict[str, list[str]] = {}
     for uri, ticker in sorted(uris):
         own.setdefault(ticker, []).append(uri)
-    later = [(uri, k) for files in own.values() for k, uri in enumerate(files) if k]
-    if not own or len(later) > MOST_NAMED:
+    return _placed([(uri, k) for files in own.values() for k, uri in enumerate(files) if k] if own else None)
+
+
+def _placed(later: list[tuple[str, int]] | None) -> Column:
+    """The order from ``later``: every file that is not its ticker's first, and its place among them."""
+    if later is None or len(later) > MOST_NAMED:
         return F.struct("_file", "_block", F.col("_row"))
     place = F.lit(0)
     for k in {k for _, k in later}:
@@ -344,6 +352,120 @@ def _parsed_lines(
     return plan, parse(ordered.withColumn("_text", F.col("Date")), thousands, formats, F.col("_day_first")).drop("_day_first")
 
 
+#: Many small files as one table, a row for each record of each file: the file's name, its header line, the
+#: record's number in it, and the record as text. A file without records has one row without a text.
+PACKED = "name STRING, header STRING, line BIGINT, value STRING"
+
+
+def packed(lines: DataFrame) -> DataFrame:
+    """``PACKED`` rows of ``lines`` (name, value, _row), each with the first line of its file that is not blank.
+
+    One shuffle and one sort on the name, whatever the number of files. A folder with a file for each ticker
+    costs a few milliseconds a file in each step that lists, opens or renames it; the packed table
+    costs what its bytes cost.
+    """
+    w = Window.partitionBy("name").orderBy("_row")
+    head = F.when(F.trim("value") != "", F.col("value"))
+    return lines.select(
+        "name", F.first(head, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("header"),
+        F.row_number().over(w).cast("bigint").alias("line"), "value",
+    )
+
+
+def _named(header: Column) -> Column:
+    return F.split(F.regexp_replace(header, '^\ufeff|"', ""), ",")
+
+
+def _unpacked(lines: DataFrame) -> DataFrame:
+    return lines.select(
+        "header", "value", F.col("name").alias("_file"), F.lit(0).cast("bigint").alias("_block"), F.col("line").alias("_row")
+    )
+
+
+def packed_fields(lines: DataFrame) -> DataFrame:
+    """S1 of ``PACKED`` rows: the six columns as text, the ticker, and each row's place. Fails at a file whose
+    header is not the six columns in their usual order."""
+    usual = F.lower(F.array_join(_named(F.col("header")), ",")) == ",".join(REQUIRED).lower()
+    odd = F.raise_error(F.concat(F.lit("unexpected header in "), F.col("name")))
+    rows = lines.withColumn("value", F.when(F.col("header").isNull() | usual, F.col("value")).otherwise(odd))
+    # a generator keeps the optimizer from parsing a line for each of its fields
+    fields = F.inline(F.array(F.from_csv("value", TEXT_SCHEMA)))
+    others = [c for c in lines.columns if c not in ("name", "header", "line", "value")]
+    return rows.select(
+        *others, F.col("name").alias("_file"), F.lit(0).cast("bigint").alias("_block"), F.col("line").alias("_row"),
+        ticker_of(F.col("name")).alias("ticker"), fields,
+    )
+
+
+def _later(files: DataFrame) -> list[tuple[str, int]]:
+    """Of ``files`` (_file, ticker), those that are not their ticker's first, by name; no more than are ever named."""
+    w = Window.partitionBy("ticker").orderBy("_file")
+    late = files.select("_file", (F.row_number().over(w) - 1).alias("_k")).filter("_k > 0")
+    return [(r._file, r._k) for r in late.limit(MOST_NAMED + 1).collect()]
+
+
+def read_packed(
+    spark: SparkSession,
+    folder: str,
+    ingest_seq: int,
+    source: str = CSV_SOURCE,
+    thousands: bool = False,
+    formats: tuple[str, ...] = DATE_FORMATS,
+) -> DataFrame:
+    """:func:`read_uniform` over files that were packed."""
+    lines = spark.read.schema(PACKED).parquet(folder)
+    files = lines.select(F.col("name").alias("_file")).distinct().withColumn("ticker", ticker_of(F.col("_file")))
+    return canonical(parse(packed_fields(lines), thousands, formats), source, ingest_seq, _placed(_later(files)))
+
+
+def load_packed(
+    spark: SparkSession,
+    folder: str,
+    ingest_seq: int,
+    only: list[str] | None = None,
+    source: str = CSV_SOURCE,
+    thousands: bool = False,
+    formats: tuple[str, ...] = DATE_FORMATS,
+) -> Load:
+    """:func:`load_folder` over files that were packed, however many they are.
+
+    A first pass counts each file's dates by what they say about days and months, which is combined before
+    the shuffle to one row per file; that table is written. The second pass meets it in one join by name,
+    which Spark splits where a file is large, and parses. No file's name gets to the driver, but for
+    those of tickers with several files.
+    """
+    lines = spark.read.schema(PACKED).parquet(folder)
+    heads = lines.select("header").distinct().select(_named(F.col("header")).alias("_names"))
+    usable = reduce(Column.__and__, [F.array_contains("_names", c) for c in REQUIRED])
+    # the last field that a usable file needs
+    width = heads.filter(usable).agg(
+        F.max(F.greatest(*[F.array_position("_names", c) for c in REQUIRED]))
+    ).first()[0] or len(REQUIRED)
+    cells = F.inline(F.array(F.struct(F.from_csv("value", ", ".join(f"c{i} STRING" for i in range(width))).alias("_fields"))))
+    cell = lambda place: F.try_element_at(F.array(*[F.col(f"_fields.c{i}") for i in range(width)]), place)
+    rows = _unpacked(lines)
+    place = lambda c: F.nullif(F.array_position(_named(F.col("header")), c), F.lit(0)).cast("int")
+    dates = rows.select("_file", "header", cells).select("_file", "header", cell(place("Date")).alias("Date"))
+    votes = dates.groupBy("_file").agg(F.max("header").alias("header"), *_votes())
+    plan = written(
+        votes.withColumn("_names", _named(F.col("header")))
+        .select(
+            "_file", ticker_of(F.col("_file")).alias("ticker"), F.coalesce(usable, F.lit(False)).alias("_usable"),
+            F.struct(*[F.array_position("_names", c).cast("int").alias(c) for c in REQUIRED]).alias("_place"),
+            _by_votes().alias("_day_first"),
+        ),
+        "files",
+    ).withColumn("_wanted", _wanted(only))
+    accepted = plan.filter("_wanted AND _usable").select("_file", "ticker", "_place", "_day_first")
+    picked = (
+        rows.drop("header").join(accepted, "_file")
+        .select("ticker", "_file", "_block", "_row", "_place", "_day_first", cells)
+        .select("ticker", "_file", "_block", "_row", "_day_first", *[cell(F.col(f"_place.{c}")).alias(c) for c in REQUIRED])
+    )
+    parsed = parse(picked.withColumn("_text", F.col("Date")), thousands, formats, F.col("_day_first")).drop("_day_first")
+    return _load(parsed, plan, source, ingest_seq, _placed(_later(plan.filter("_wanted AND _usable"))))
+
+
 def load_stats(files: DataFrame) -> DataFrame:
     """One row of file counts, and how many rows were dropped for their date."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
