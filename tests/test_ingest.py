@@ -221,6 +221,42 @@ def test_vendor_a(spark):
         vendors.vendor_a_bars(df.drop("Close"), 1)
 
 
+def test_typed_deliveries_give_what_their_text_gives(spark):
+    from volsignals.sources.cleaning import REQUIRED, parse
+
+    inf, nan = float("inf"), float("nan")
+    odd = [
+        (dt.date(2024, 2, 29), 1.5, -0.0, nan, inf, 7), (None, 1e300, 1e-320, -inf, 2.675, -3),
+        (dt.date(1, 1, 1), None, 0.1, 1e16, -1e7, 2**63 - 1), (dt.date(9999, 12, 31), 3.0, 1.0, 1.0, 1.0, None),
+        (dt.date(1582, 10, 15), 5e-324, 123456.789, 1.7976931348623157e308, 9.0, 2**53 + 1),
+    ]
+    kinds = "Date DATE, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume BIGINT"
+    df = spark.createDataFrame(odd, kinds)
+    # years beyond four digits and before the first
+    far = df.limit(1).withColumn("Date", F.explode(F.expr("array(make_date(10000,1,1), make_date(0,3,1), make_date(-1,1,1))")))
+    df = df.unionByName(far.select(*df.columns)).withColumns({"Open": F.col("Volume"), "Volume": F.col("Volume")})
+    more = df.withColumns({"Volume": F.col("Low"), "Close": F.col("High").cast("float"), "Open": F.lit(7).cast("int")})
+    for typed in (df, more):
+        text = typed.select(*[F.col(c).cast("string").alias(c) for c in REQUIRED])
+        show = lambda x: sorted(repr(r) for r in x.withColumn("date", F.col("date").cast("string")).collect())
+        assert show(parse(typed)) == show(parse(text))
+
+
+def test_large_delivery_is_dealt_by_its_length(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "landed")
+    day = F.date_add(F.lit(build.DAY0), (F.col("id") % 50).cast("int"))
+    price = [F.col("id").cast("double").alias(c) for c in ("Open", "High", "Low", "Close")]
+    spark.range(1000).select(
+        F.concat(F.lit("T"), (F.col("id") % 7).cast("string")).alias("ticker"), day.alias("Date"), *price, F.col("id").alias("Volume")
+    ).coalesce(1).write.parquet(path)
+    whole = vendors.vendor_a_bars(spark.read.parquet(path), 1)
+    monkeypatch.setattr(vendors, "TASK_ROWS", 100)
+    dealt = vendors.vendor_a_bars(spark.read.parquet(path), 1)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and ", 10), REPARTITION_BY_NUM" in plan
+    assert whole.count() == 350 and sorted(whole.collect()) == sorted(dealt.collect())
+
+
 def canonical(spark, *recs):
     return spark.createDataFrame(
         [(t, build.day(n), c, c, c, c, 1, s, q) for t, n, c, s, q in recs], BARS

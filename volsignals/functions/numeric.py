@@ -62,11 +62,27 @@ def clean_number(text: Column, thousands: bool = False) -> Column:
     return F.when(plain & (F.abs(x) < float("inf")), x)
 
 
+def finite(x: Column) -> Column:
+    """What :func:`clean_number` makes of the text of a double or whole number."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < float("inf"), x)
+
+
 def clean_volume(text: Column, thousands: bool = False) -> Column:
     """Text to whole shares; bad or missing is 0, fractions are cut off."""
     return F.coalesce(clean_number(text, thousands).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def whole(x: Column) -> Column:
+    """What :func:`clean_volume` makes of the text of a double or whole number."""
+    return F.coalesce(finite(x).try_cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def plain_date(day: Column) -> Column:
+    """What :func:`clean_date` makes of the text of a date: years have four digits."""
+    return F.when(F.year(day).between(0, 9999), day)
+
+
 # fixed values: patterns of dates with a named month
 DATE_FORMATS = (
     "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "d-MMMM-yyyy",

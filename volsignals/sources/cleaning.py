@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from volsignals.functions.numeric import DATE_FORMATS, clean_date, clean_number, clean_volume
+from volsignals.functions.numeric import (
+    DATE_FORMATS, clean_date, clean_number, clean_volume, finite, plain_date, whole,
+)
 from volsignals.operators.store import KEY, keep_last
 from volsignals.schema import BAR_COLUMNS, PRICES
 
@@ -31,15 +34,20 @@ def parse(
     day_first: Column | None = None,
 ) -> DataFrame:
     """Typed columns from the six named ones; bad dates and prices become NULL, bad volumes 0.
-    Other columns are kept. ``day_first`` tells how dates with the year last are read."""
+    Other columns are kept. ``day_first`` tells how dates with the year last are read. Columns that
+    are dates, doubles or whole numbers already give what their text would, without being spelled."""
     require_columns(df)
     text = lambda c: F.col(c).cast("string")
     others = [c for c in df.columns if c not in REQUIRED]
+    # a float or a decimal may be spelled as another double than its own
+    number = lambda c: isinstance(df.schema[c].dataType, (T.DoubleType, T.IntegralType))
+    price = lambda c: finite(F.col(c)) if number(c) else clean_number(text(c), thousands)
+    typed = isinstance(df.schema["Date"].dataType, T.DateType)
     return df.select(
         *others,
-        clean_date(text("Date"), formats, day_first).alias("date"),
-        *[clean_number(text(c.capitalize()), thousands).alias(c) for c in PRICES],
-        clean_volume(text("Volume"), thousands).alias("volume"),
+        (plain_date(F.col("Date")) if typed else clean_date(text("Date"), formats, day_first)).alias("date"),
+        *[price(c.capitalize()).alias(c) for c in PRICES],
+        (whole(F.col("Volume")) if number("Volume") else clean_volume(text("Volume"), thousands)).alias("volume"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from volsignals.operators.store import KEY
 from volsignals.sources.cleaning import REQUIRED, canonical, parse, require_columns
 from volsignals.texts import VENDOR_A_SOURCE, VENDOR_B_SOURCE
 
@@ -19,6 +20,10 @@ VENDOR_B_NAMES = {
 }
 
 
+#: Rows of a delivery that one task groups, about 200 bytes each.
+TASK_ROWS = 500_000
+
+
 def from_vendor_a(df: DataFrame, ticker: Column | None = None) -> DataFrame:
     """Names in any case."""
     low = df.toDF(*[c.lower() for c in df.columns])
@@ -50,10 +55,18 @@ def delivered_bars(
     six: DataFrame, source: str, ingest_seq: int, order: Column | None = None
 ) -> DataFrame:
     """Canonical bars of a delivery. Unlike a file, a delivery with a bad date is refused for
-    that ticker as a whole."""
+    that ticker as a whole.
+
+    The delivery is read three times (its length, its bad dates, its rows), so it should be landed. Split by
+    bytes, its rows would meet in as few tasks as there are cores; a large one is dealt by its length, so
+    that no task groups many more than ``TASK_ROWS`` rows before the shuffle on ticker and date.
+    """
     order = F.monotonically_increasing_id() if order is None else order
     parsed = parse(six.withColumn("_order", order))
     sound = parsed.join(bad_date_tickers(parsed), "ticker", "left_anti")
+    tasks = -(-six.count() // TASK_ROWS)
+    if tasks > 1:
+        sound = sound.repartition(tasks, F.xxhash64(*KEY, "_order"))
     return canonical(sound, source, ingest_seq, F.col("_order"))
 
 
