@@ -178,3 +178,25 @@ def test_newest_of_missing_prices_and_nothing(spark):
     none = kept.limit(0)
     assert newest.merge_newest(none, rows.limit(0)).collect() == []
     assert newest_as_kept(newest.merge_newest(none, rows)) == newest_as_computed(rows)
+
+
+def test_old_and_new_rows_meet_once(spark, table):
+    old = snapshots._stored(spark, table, snapshots.snapshot(spark, table))
+    new = bars(spark, ("A", 0, 9.0, 2), ("B", 1, 4.0, 2), ("C", 5, 9.0, 2)).select("*", *snapshots._part(4))
+    rows = snapshots._merged(old, new, 4).sortWithinPartitions("year", "bucket", "ticker", "date")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert content(rows) == {("A", 0): 9.0, ("A", 400): 2.0, ("B", 0): 3.0, ("B", 1): 4.0, ("C", 5): 9.0}
+
+
+def test_unique_batches_merge_as_others_do_and_nothing_adds_nothing(spark, tmp_path):
+    found = {}
+    for unique in (False, True):
+        path = str(tmp_path / str(unique))
+        assert snapshots.merge_bars(spark, path, bars(spark, ("A", 0, 1.0, 1)).limit(0), unique=unique) == 0
+        merge = lambda *rows: snapshots.merge_bars(spark, path, bars(spark, *rows), buckets=2, unique=unique)
+        merge(*[(f"T{k}", n, float(k + n), 1) for k in range(40) for n in range(30)])
+        merge(*[(f"T{k}", n, 99.0, 2) for k in range(0, 40, 3) for n in (3, 29, 400)])
+        assert newest_as_kept(snapshots.read_newest(spark, path)) == newest_as_computed(snapshots.read_bars(spark, path))
+        found[unique] = content(snapshots.read_bars(spark, path))
+    assert found[True] == found[False] and len(found[True]) == 40 * 30 + 14

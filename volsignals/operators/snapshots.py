@@ -20,7 +20,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from volsignals.operators import newest as side
@@ -29,6 +29,8 @@ from volsignals.schema import BAR_COLUMNS, BARS
 
 #: Parts of a year on disk, by ticker, unless the first merge says otherwise.
 BUCKETS = 64
+#: Tasks that write a year at least; with fewer buckets a part is written by several, a file each.
+TASKS = 32
 LAYOUT = BARS + ", year INT, bucket INT"
 
 Part = tuple[int, int]
@@ -172,20 +174,35 @@ def _part(buckets: int) -> tuple[Column, Column]:
     return F.year("date").alias("year"), F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def _laid(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows with those of a part in one task, or in one of a few by ticker."""
+    slices = F.pmod(F.xxhash64("ticker", F.lit("slice")), F.lit(-(-TASKS // buckets)))
+    return rows.withColumn("_slice", slices).repartition("year", "bucket", "_slice")
+
+
+def _merged(old: DataFrame, new: DataFrame, buckets: int) -> DataFrame:
+    """Upsert of rows of the same parts, both unique: they meet once, on their part, and are sorted once."""
+    rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    key = Window.partitionBy("year", "bucket", "ticker", "date", "_slice").orderBy(F.desc("_new"))
+    return _laid(rows, buckets).withColumn("_place", F.row_number().over(key)).filter("_place = 1")
+
+
 def _commit(
-    spark: SparkSession, path: str, state: Snapshot, touched: set[Part], rows: DataFrame, newest: DataFrame,
-    streams: dict[str, int],
+    spark: SparkSession, path: str, state: Snapshot, touched: set[Part], rows: DataFrame,
+    newest: Callable[[DataFrame], DataFrame], streams: dict[str, int],
 ) -> int:
-    """Write ``rows`` as the new content of the parts ``touched`` and swap the snapshot."""
+    """Write ``rows``, laid out by part, as the new content of the parts ``touched`` and swap the snapshot.
+
+    ``newest`` makes the table of newest bars from the rows as written.
+    """
     batch = uuid.uuid4().hex
     folder = f"{path}/data/batch={batch}"
     (
-        rows.repartition("year", "bucket")
-        .sortWithinPartitions("year", "bucket", "ticker", "date")
+        rows.sortWithinPartitions("year", "bucket", "ticker", "date")
+        .select(*BAR_COLUMNS, "year", "bucket")
         .write.partitionBy("year", "bucket")
         .parquet(folder)
     )
-    newest.write.parquet(f"{path}/newest/batch={batch}")
     # bounded by the calendar and the number of buckets, not by the data
     own: set[Part] = set()
     for year, _ in _names(spark, folder):
@@ -193,6 +210,10 @@ def _commit(
             own |= {
                 (int(year[5:]), int(b[7:])) for b, _ in _names(spark, f"{folder}/{year}") if b.startswith("bucket=")
             }
+    if not own and not touched:  # nothing has come
+        _remove(spark, folder)
+        return state.number
+    newest(spark.read.schema(LAYOUT).parquet(folder)).write.parquet(f"{path}/newest/batch={batch}")
     kept = {p: b for p, b in state.parts.items() if p not in touched}
     parts = kept | dict.fromkeys(own, batch)
     sizes = {b: n for b, n in state.sizes.items() if b in kept.values()} | {batch: len(own)}
@@ -203,7 +224,7 @@ def _commit(
 
 def _changed(
     spark: SparkSession, path: str, buckets: int,
-    change: Callable[[Snapshot], tuple[set[Part], DataFrame, DataFrame] | None],
+    change: Callable[[Snapshot], tuple[set[Part], DataFrame, Callable[[DataFrame], DataFrame]] | None],
     streams: dict[str, int] | None = None,
 ) -> int:
     """Apply ``change`` to the newest snapshot; again to a newer one if another writer was first."""
@@ -223,28 +244,34 @@ def _changed(
 
 
 def merge_bars(
-    spark: SparkSession, path: str, new: DataFrame, buckets: int = BUCKETS, stream: tuple[str, int] | None = None
+    spark: SparkSession, path: str, new: DataFrame, buckets: int = BUCKETS, stream: tuple[str, int] | None = None,
+    unique: bool = False,
 ) -> int:
     """Upsert ``new`` into the table at ``path``; returns the number of the snapshot.
 
-    A part is a year and a hash bucket of tickers, so a late bar rewrites one part of its year. Rows
-    meet by a plain shuffle on the part (a range sort would sample its input, that is compute it
+    A part is a year and a hash bucket of tickers, so a late bar rewrites one part of its year. Old and
+    new rows meet by one plain shuffle on the part (a range sort would sample its input, that is compute it
     twice) and lie sorted by ticker and date, so that lookups prune row groups. ``buckets`` counts for
     the table's first snapshot only. ``stream``: a name and a batch number; a batch that a
-    snapshot already has is not merged again.
+    snapshot already has is not merged again. ``unique``: ``new`` has one row per ticker and date;
+    otherwise the last of several is found first.
     """
-    order = ["ingest_seq"] if "ingest_seq" in new.columns else []
-    rest = [c for c in new.columns if c not in ("ticker", "date", *order)]
-    new = keep_last(new, ["ticker", "date"], F.struct(*order, *rest)).persist()
+    if not unique:
+        order = ["ingest_seq"] if "ingest_seq" in new.columns else []
+        rest = [c for c in new.columns if c not in ("ticker", "date", *order)]
+        new = keep_last(new, ["ticker", "date"], F.struct(*order, *rest))
 
-    def change(state: Snapshot) -> tuple[set[Part], DataFrame, DataFrame] | None:
+    def change(state: Snapshot) -> tuple[set[Part], DataFrame, Callable[[DataFrame], DataFrame]] | None:
         parted = new.select(*BAR_COLUMNS, *_part(state.buckets))
+        newest = lambda written: side.merge_newest(read_newest(spark, path, state.number), written)
+        if not state.parts:  # nothing to find or to replace, so that the rows are read once
+            return set(), _laid(parted, state.buckets), newest
+        new.persist()
         touched = {tuple(r) for r in parted.select("year", "bucket").distinct().collect()}
         if not touched:
             return None
         old = _stored(spark, path, state, touched & set(state.parts))
-        newest = side.merge_newest(read_newest(spark, path, state.number), new)
-        return touched, upsert(old, parted, unique=True), newest
+        return touched, _merged(old, parted, state.buckets), newest
 
     try:
         return _changed(spark, path, buckets, change, dict([stream]) if stream else None)
@@ -261,7 +288,7 @@ def replace_bars(spark: SparkSession, path: str, tickers: list[str], new: DataFr
     """S14 on disk: all bars of ``tickers`` go and theirs in ``new`` come, in one snapshot."""
     names = spark.createDataFrame([(t,) for t in tickers], "ticker STRING")
 
-    def change(state: Snapshot) -> tuple[set[Part], DataFrame, DataFrame] | None:
+    def change(state: Snapshot) -> tuple[set[Part], DataFrame, Callable[[DataFrame], DataFrame]] | None:
         bucket = _part(state.buckets)[1]
         hit = {r.bucket for r in names.select(bucket).distinct().collect()}
         touched = {p for p in state.parts if p[1] in hit}
@@ -274,7 +301,7 @@ def replace_bars(spark: SparkSession, path: str, tickers: list[str], new: DataFr
             rows = upsert(rows.unionByName(beside), own)
             newest = side.merge_newest(newest, upsert(own.limit(0), own))
             touched |= more
-        return (touched, rows, newest) if touched else None
+        return (touched, _laid(rows, state.buckets), lambda _: newest) if touched else None
 
     return _changed(spark, path, BUCKETS, change)
 

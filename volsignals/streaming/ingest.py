@@ -60,7 +60,7 @@ def start_ingest(
         rows = batch.withColumn("_row", F.coalesce("_row", F.monotonically_increasing_id()))
         order = F.struct("_landed", "_file", "_block", "_row")
         bars = canonical(rows, source, batch_id, order)
-        merge_bars(batch.sparkSession, table_path, bars, buckets, (checkpoint, batch_id))
+        merge_bars(batch.sparkSession, table_path, bars, buckets, (checkpoint, batch_id), unique=True)
 
     return (
         landing_rows(spark, folder, max_files, folders, packed)
