@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pandas as pd
 import pytest
@@ -126,3 +127,39 @@ def test_newest_bars(spark):
     b = build.bars(spark, build.series("A", [1.0] * 30, [1] * 30), build.series("B", [1.0] * 4, [1] * 4))
     n = build.by(newest_bars(b, 20).groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("d")))
     assert (n["A"].n, n["A"].d, n["B"].n) == (20, build.day(10), 4)
+
+
+def test_segmented_query_derives_bars_once(spark, sf):
+    from volsignals.plans import catalog
+
+    plan = catalog.queries()["indicators_segmented"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "l_suppkey" not in plan
+
+
+def test_no_decimal_is_added_for_a_price_of_few_decimals(spark):
+    from volsignals.functions.numeric import micros
+
+    xs = [104.6, 0.000001, -7.25, 0.0, 999999.999999, 1e6, 0.1 + 0.2, 1e-7, float("inf"), None]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(xs)], "n INT, x DOUBLE")
+    got = [r.m for r in df.orderBy("n").select(micros(F.col("x")).alias("m")).collect()]
+    assert got == [104600000, 1, -7250000, 0, 999999999999, None, None, None, None, None]
+
+
+@pytest.mark.parametrize("kind", ["few", "many", "mixed", "large"])
+def test_means_are_rounded_from_the_exact_sum(spark, kind):
+    rng = random.Random(kind)
+    few = lambda: round(rng.uniform(1, 500), rng.randrange(7))
+    many = lambda: rng.uniform(1, 500)
+    make = {"few": few, "many": many, "mixed": lambda: rng.choice([few, many])(), "large": lambda: rng.choice([few(), rng.randrange(1, 3000) * 1e15])}
+    closes = [None if rng.random() < 0.1 else make[kind]() for _ in range(90)]
+    volumes = [rng.choice([rng.randrange(100), 2**62 - rng.randrange(100), -(2**40), 0]) for _ in closes]
+    p = Params(sma_period=16, rvol_period=5)
+    rows = [("A", build.day(n), c, c, c, c, v) for n, (c, v) in enumerate(zip(closes, volumes))]
+    got = indicators(spark.createDataFrame(rows, build.SCHEMA), p).orderBy("date").collect()
+    for n, r in enumerate(got):
+        window = [Fraction(repr(c)) for c in closes[max(0, n - 15) : n + 1] if c is not None]
+        # half up at 18 places, then to the double next to it
+        mean = Fraction(int(sum(window) / len(window) * 10**18 + Fraction(1, 2)), 10**18) if window else None
+        assert r.sma_200 == (None if mean is None else float(mean))
+        held = volumes[max(0, n - 4) : n + 1]
+        assert r.avg_volume_20 == float(sum(held)) / len(held)

@@ -41,6 +41,36 @@ def exact(x: Column) -> Column:
     return x.try_cast(EXACT)
 
 
+#: ``exact`` holds what is smaller.
+EXACT_END = 1e20
+
+
+def micros(x: Column) -> Column:
+    """A double as whole millionths; NULL if its text has more than six decimals or it is a million or more.
+
+    A number of at most 15 digits is the shortest text of the double next to it, so this is :func:`exact`
+    without a decimal for each row. Sums over the days of a ticker, 3.7 million in years of four digits,
+    stay within a long.
+    """
+    n = F.rint(x * 1e6)
+    return F.when((F.abs(n) < 1e12) & (n / 1e6 == x), n.cast("bigint"))
+
+
+def micros_mean(total: Column, n: Column) -> Column:
+    """:func:`exact_mean` of a sum of :func:`micros`, without a decimal where the mean has at most 18 places.
+
+    There the quotient of two whole numbers below 2^53 is the double next to the mean.
+    """
+    n = F.nullif(n, F.lit(0).cast("bigint"))
+    short = (F.lit(10**12) % n == 0) & (F.abs(total) < 2**53)
+    return F.when(short, total / (n * 1e6)).otherwise(exact_mean(micros_exact(total).cast(EXACT), n))
+
+
+def micros_exact(total: Column) -> Column:
+    """A sum of :func:`micros` as a decimal of 18 places."""
+    return (total.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(6,6)")).cast("decimal(32,18)")
+
+
 def exact_mean(total: Column, n: Column) -> Column:
     """Mean of an exact sum, divided before it is cut to a double; NULL when nothing was summed."""
     return F.try_divide(total, n.cast("decimal(20,0)")).cast("double")

@@ -6,18 +6,21 @@ with a map-side combine. For series too long for one task there is
 :func:`indicators_segmented`, with equal results.
 
 Means come from running sums: ``S[i] - S[i-n]`` costs the same for any window length, while a
-sliding frame re-adds n rows for each row. Prices are summed as decimals of 18 places and volumes
-as whole numbers, hence exactly, so the difference equals the frame's own sum, and the mean is
-divided before it is cut to a double. A price beyond 10^20 makes the means over it NULL, for its
+sliding frame re-adds n rows for each row. Sums are exact, so the difference equals the frame's own
+sum: prices of at most six decimals as whole millionths, the others as decimals of 18 places, volumes
+as two halves of 32 bits. Arithmetic of decimals for each row would cost more than all the rest. The mean is
+rounded to 18 places, then cut to a double. A price beyond 10^20 makes the means over it NULL, for its
 ticker only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from volsignals.functions.numeric import exact, exact_mean
+from volsignals.functions.numeric import EXACT, EXACT_END, exact, exact_mean, micros, micros_exact, micros_mean
 from volsignals.params import Params
 from volsignals.schema import PRICES
 
@@ -26,6 +29,9 @@ INDICATORS = [
     "daily_range", "short_history", "ghost", "stuck", "flat_idle",
 ]
 
+#: A volume is summed in two halves, so that no sum leaves a long.
+_HALF = 2**32
+
 
 def without_nan(bars: DataFrame) -> DataFrame:
     """Missing prices as NULL only: a NaN would pass through sums and means."""
@@ -35,12 +41,17 @@ def without_nan(bars: DataFrame) -> DataFrame:
 
 def _running(w: WindowSpec, p: Params) -> dict[str, Column]:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
+    close, volume = F.col("close"), F.col("volume").cast("bigint")
+    few = micros(close)
     return {
         "bar_no": F.row_number().over(w).cast("bigint"),
-        "_close_sum": F.try_sum(exact(F.col("close"))).over(run),
+        "_micros": F.try_sum(F.coalesce(few, F.lit(0).cast("bigint"))).over(run),
+        "_rest": F.try_sum(exact(F.when(few.isNull(), close))).over(run),
+        "_rest_n": F.count_if(few.isNull() & (F.abs(close) < EXACT_END)).over(run),
         "_close_n": F.count("close").over(run),
-        "_close_out": F.count_if(F.col("close").isNotNull() & exact(F.col("close")).isNull()).over(run),
-        "_volume_sum": F.sum(F.col("volume").cast("decimal(20,0)")).over(run),
+        "_close_out": F.count_if(F.abs(close) >= EXACT_END).over(run),
+        "_volume_low": F.sum(volume.bitwiseAND(_HALF - 1)).over(run),
+        "_volume_high": F.sum(F.shiftright(volume, 32)).over(run),
         "_filled": F.last("close", ignorenulls=True).over(run),
     }
 
@@ -56,11 +67,10 @@ def _recent(w: WindowSpec, p: Params) -> dict[str, Column]:
 
 
 def _lagged(w: WindowSpec, p: Params) -> dict[str, Column]:
+    sums = ["_micros", "_rest", "_rest_n", "_close_n", "_close_out"]
     return {
-        "_close_sum0": F.lag("_close_sum", p.sma_period).over(w),
-        "_close_n0": F.lag("_close_n", p.sma_period).over(w),
-        "_close_out0": F.lag("_close_out", p.sma_period).over(w),
-        "_volume_sum0": F.lag("_volume_sum", p.rvol_period).over(w),
+        **{f"{c}0": F.lag(c, p.sma_period).over(w) for c in sums},
+        **{f"{c}0": F.lag(c, p.rvol_period).over(w) for c in ("_volume_low", "_volume_high")},
         "_filled0": F.lag("_filled", 1).over(w),
     }
 
@@ -75,16 +85,32 @@ def _flags(p: Params) -> dict[str, Column]:
     }
 
 
+def _mean_close(within: Callable[[str], Column]) -> Column:
+    """Mean close of a window; ``within`` gives what the window added to a running sum."""
+    n, more = within("_close_n"), within("_micros")
+    none = F.lit(0).cast(EXACT)
+    rest = F.when(F.col("_rest_n") > 0, F.col("_rest")).otherwise(none)
+    rest0 = F.when(F.col("_rest_n0") > 0, F.col("_rest0")).otherwise(none)
+    # sums below 10^18 keep all 18 places, a difference of two beyond it 17
+    cut = lambda c: c.try_cast("decimal(36,18)")
+    total = F.coalesce(cut(rest) - cut(rest0) + micros_exact(more), (rest - rest0 + micros_exact(more)).try_cast(EXACT))
+    mean = F.when(within("_rest_n") == 0, micros_mean(more, n)).otherwise(exact_mean(total, n))
+    return F.when(within("_close_out") == 0, mean)
+
+
+def _shares(low: Column, high: Column) -> Column:
+    """Volume from sums of its halves, as the double next to it."""
+    wide = high.cast("decimal(20,0)") * F.lit(_HALF).cast("decimal(10,0)") + low.cast("decimal(20,0)")
+    return F.when((F.abs(high) < 2**30) & (low < 2**62), (high * _HALF + low).cast("double")).otherwise(wide.cast("double"))
+
+
 def _finish(df: DataFrame, keep: list[str], p: Params) -> DataFrame:
-    zero = F.lit(0).cast("bigint")
-    total = F.col("_close_sum") - F.coalesce("_close_sum0", zero.cast("decimal(38,18)"))
-    in_range = F.col("_close_out") == F.coalesce("_close_out0", zero)
-    n = F.col("_close_n") - F.coalesce("_close_n0", zero)
-    shares = F.col("_volume_sum") - F.coalesce("_volume_sum0", zero.cast("decimal(30,0)"))
+    within = lambda c: F.col(c) - F.coalesce(f"{c}0", F.lit(0).cast("bigint"))
+    shares = _shares(within("_volume_low"), within("_volume_high"))
     return (
         df.withColumns({
-            "sma_200": F.when(in_range, exact_mean(total, n)),
-            "avg_volume_20": shares.cast("double") / F.least("bar_no", F.lit(p.rvol_period)),
+            "sma_200": _mean_close(within),
+            "avg_volume_20": shares / F.least("bar_no", F.lit(p.rvol_period)),
             "price_change": F.try_divide("_filled", "_filled0") - 1.0,
         })
         .withColumns({
@@ -185,18 +211,15 @@ def indicators_segmented(
         F.sum("_n").over(whole).alias("_total"),
     )
     ws = Window.partitionBy("ticker", "_segment").orderBy("date")
+    # the windows come first, so that the join finds its rows sorted
+    within = cut.withColumns({
+        "_no": F.row_number().over(ws),
+        "_filled": F.last("close", ignorenulls=True).over(ws.rowsBetween(Window.unboundedPreceding, 0)),
+    })
     numbered = (
-        cut.join(starts, ["ticker", "_segment"])
-        .withColumn("_no", F.row_number().over(ws) + F.col("_offset"))
-        .withColumn(
-            "_filled",
-            F.coalesce(
-                F.last("close", ignorenulls=True).over(
-                    ws.rowsBetween(Window.unboundedPreceding, 0)
-                ),
-                F.col("_carried"),
-            ),
-        )
+        within.join(starts, ["ticker", "_segment"])
+        .withColumn("_no", F.col("_no") + F.col("_offset"))
+        .withColumn("_filled", F.coalesce("_filled", "_carried"))
         .withColumn("is_latest", F.col("_no") == F.col("_total"))
         .drop("_segment", "_offset", "_carried", "_total")
     )
