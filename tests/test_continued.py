@@ -92,3 +92,23 @@ def test_history_is_not_read(spark, tmp_path):
     assert spark.read.parquet(path).select(F.max(F.size("bars"))).first()[0] <= 13
     assert key(plan) == key(indicators(every, P).filter(F.col("date") >= F.lit(build.day(50))))
     assert isinstance(build.day(50), dt.date)
+
+
+def test_a_state_hands_on_without_a_join_of_every_bar(spark, tmp_path):
+    every = bars(spark)
+    old, new = before(every, 50)
+    go.indicator_state(old, P).write.parquet(str(tmp_path / "state"))
+    plan = go.continued(spark.read.parquet(str(tmp_path / "state")), new, P)._jdf.queryExecution().executedPlan().toString()
+    # the tickers of the increment pick their states; nothing else is joined
+    assert plan.count("LeftSemi") == 1 and "LeftOuter" not in plan
+    # the bars of a state are not copied to each of their own rows
+    assert "Generate inline(bars" in plan
+    assert not any("exists(bars" in x for x in plan.split("Generate inline(bars")[0].splitlines())
+
+
+def test_each_delivery_is_read_alone(spark, sf):
+    from volsignals.plans import catalog
+
+    plan = catalog.queries()["indicators_continued"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "/bars-" in x]
+    assert scans and all("PartitionFilters: [isnotnull(arrived" in x for x in scans)

@@ -66,19 +66,23 @@ def continued(state: DataFrame, increment: DataFrame, p: Params = Params()) -> D
     states of its tickers, at most ``reach`` bars each.
     """
     held = state.join(increment.select("ticker").distinct(), "ticker", "left_semi")
-    old = held.select("ticker", F.inline("bars")).withColumn("_new", F.lit(False))
     # the last close before the kept bars: the state's, unless one of them has it
     kept = F.exists("bars", lambda b: b["close"].isNotNull())
-    carried = held.select("ticker", F.col("before").alias("_before"), F.when(~kept, F.col("filled")).alias("_carried"))
-    new = without_nan(increment).select("ticker", *_BAR).withColumn("_new", F.lit(True))
-    rows = old.select("ticker", *_BAR, "_new").unionByName(new).join(carried, "ticker", "left")
+    told = held.select("ticker", "bars", F.col("before").alias("_before"), F.when(~kept, F.col("filled")).alias("_carried"))
+    # in a step of its own: what is computed from the bars beside the generator is computed for each of them
+    old = told.select("ticker", "_before", "_carried", F.inline("bars")).withColumn("_new", F.lit(False))
+    # windows look back at closes and volumes only
+    old = old.withColumns({c: F.lit(None).cast("double") for c in PRICES if c != "close"})
+    new = without_nan(increment).select("ticker", *_BAR).withColumns({
+        "_before": F.lit(None).cast("bigint"), "_carried": F.lit(None).cast("double"), "_new": F.lit(True),
+    })
     w = Window.partitionBy("ticker").orderBy("date")
+    # kept bars come before the new ones and hand on what their state says; no join with it
+    handed = lambda c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     first = _running(w, p) | _recent(w, p)
-    first["bar_no"] = F.row_number().over(w) + F.coalesce("_before", F.lit(0).cast("bigint"))
-    first["_filled"] = F.coalesce(first["_filled"], F.col("_carried"))
-    done = rows.withColumns(first).withColumns(_lagged(w, p))
-    # a ticker's first new bar may follow kept bars without any close, or none at all
-    done = done.withColumn("_filled0", F.coalesce("_filled0", F.when(F.col("bar_no") > 1, F.col("_carried"))))
+    first["bar_no"] = F.row_number().over(w) + F.coalesce(handed("_before"), F.lit(0).cast("bigint"))
+    first["_filled"] = F.coalesce(first["_filled"], handed("_carried"))
+    done = old.unionByName(new).withColumns(first).withColumns(_lagged(w, p))
     return _finish(done.filter("_new"), ["ticker", *_BAR], p)
 
 
